@@ -1,0 +1,29 @@
+"""Breadth queries over the stand-in market."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tickloom.plans.catalog import Registry
+
+AGG_06 = """
+with daily as (
+  select user_id, {date} as session_date, {last}(value, ts) as ltp from events group by user_id, {date}),
+prev as (
+  select *, lag(ltp) over (partition by user_id order by session_date) as pc from daily),
+counts as (
+  select session_date,
+    count(*) filter (where ltp > pc) as advancing, count(*) filter (where ltp < pc) as declining,
+    count(*) filter (where ltp = pc) as unchanged, count(*) filter (where pc is null) as unknown
+  from prev group by session_date)
+select *, round(cast(advancing as double) / nullif(declining, 0), 4) as ad_ratio from counts
+"""
+
+
+def breadth_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(AGG_06.format(date="to_date(ts)", last="max_by").replace("from events", "from {events}"), events=events)
+
+
+def register(r: Registry) -> None:
+    r.add("agg_06", breadth_by_session, AGG_06.format(date="cast(ts as date)", last="arg_max"))
