@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.secret_scan import scan_secrets
 
@@ -36,12 +48,49 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tickloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"), [3, 1, 2]).drop("source")
 
 
+OP1_SQL = r"""
+with recursive docs as (
+  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x != '') as w
+  from documents),
+tokens as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as token from docs),
+sizes as (select doc_id, count(*) as n from tokens group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from tokens a join tokens b on a.token = b.token and a.doc_id != b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from docs union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select d.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, r.component_id
+from docs d left join sizes s using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
+"""
+
+OP2_SQL = """
+with rows_ as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select q.vec_id as query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
+  from rows_ q join rows_ r on q.vec_id != r.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
 OP5_SQL = r"""
 with parts as (
   select page_id, case when url is null or position('://' in url) = 0 then '' else substr(url, position('://' in url) + 3) end as rest from pages),
@@ -83,13 +132,16 @@ select doc_id, size, source_size, target,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
+        "op2_topk_search": op2_topk_search,
         "op3_secret_scan": op3_secret_scan,
         "op5_url_filter": op5_url_filter,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
+        "op9_packing": op9_packing,
         "op10_mix_sources": op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_topk_search": OP2_SQL, "op5_url_filter": OP5_SQL, "op10_mix_sources": OP10_SQL}
