@@ -20,7 +20,7 @@ SCALE = 1 << 20
 #: At most so many trusted documents, those of the lowest hashes, make up the target; their ids are broadcast.
 TARGET_DOCUMENTS = 20_000
 #: In nats an n-gram.
-THRESHOLD = -0.5
+THRESHOLD = -0.1
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -54,8 +54,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
 
 def _scores(docs: DataFrame, ratios: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per id and text the mean ratio of its n-grams; sums of whole numbers, so that no order of adding changes it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), whole(text_col).alias("t"))
-    grams = rows.select("d", F.xxhash64("t").alias("h"), F.explode(_grams(words(F.col("t")))).alias("bucket"))
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(whole(text_col)).alias("h"), words(whole(text_col)).alias("w"))
+    grams = rows.select("d", "h", F.explode(_grams(F.col("w"))).alias("bucket"))
     sums = grams.join(F.broadcast(ratios), "bucket").groupBy("d", "h").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
     return sums.select("d", "h", (F.col("sum") / F.col("n") / F.lit(float(SCALE))).alias("score"))
 
