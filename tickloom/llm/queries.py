@@ -28,6 +28,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tickloom.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.url_filter import judge_urls
 
@@ -135,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op2_topk_search": op2_topk_search,
         "op3_secret_scan": op3_secret_scan,
+        "op4_token_count": op4_token_count,
         "op5_url_filter": op5_url_filter,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
