@@ -42,6 +42,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.lm_score import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.quality_rules import quality_verdicts
 
@@ -145,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_token_count": op4_token_count,
         "op5_url_filter": op5_url_filter,
+        "op6_lm_score": op6_lm_score,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
