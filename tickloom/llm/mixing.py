@@ -50,13 +50,13 @@ def mix_sources(
 ) -> DataFrame:
     """How many words the mix takes of every record, repeats counted.
 
-    Returns doc_id, source, size, source_size, target and taken. A null text has no words, null sources form one source
+    Returns doc_id, source, text_hash, size, source_size, target and taken. A null text has no words, null sources form one source
     that sorts last, repeated rows are taken one by one, an empty table gives an empty result; other columns are not
     read. Whole epochs take every word of a source; the last one takes records in key order and cuts at the budget, so
     each source's words come to the whole part of its target, and no record exceeds `most` times its size.
     """
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(whole(text_col))).cast("long").alias("size")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(whole(text_col))).cast("long").alias("size"), F.xxhash64(whole(text_col)).alias("text_hash")
     ).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("b"))
@@ -72,4 +72,15 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     at = at.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("b0") - F.col("b")))
-    return at.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return at.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as mixed: every row as often as its words are taken, rounded to whole documents; all columns stay."""
+    mix = mix_sources(docs, weights, id_col=id_col, text_col=text_col, source_col=source_col)
+    # Rows alike share what is taken of them.
+    mix = mix.where("size > 0").groupBy("doc_id", "text_hash").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    mix = mix.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.floor(F.col("share") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    rows = docs.withColumn("_hash", F.xxhash64(whole(text_col)))
+    rows = rows.join(mix, rows[id_col].eqNullSafe(mix["_d"]) & (rows["_hash"] == mix["_h"]))
+    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

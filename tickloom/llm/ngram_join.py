@@ -178,3 +178,16 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_c
         parts = connected(links)
     out = sets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row, that of the smallest id, of each group that ngram_join links; all columns stay.
+
+    Rows without an id stay; of rows with the same id one stays.
+    """
+    joined = ngram_join(docs, size, num, den, id_col, text_col)
+    first = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    first = written(first.select(F.col("doc_id").alias("_first"), "_n"), "firsts")
+    kept = docs.join(first, F.col(id_col) == F.col("_first"))
+    repeated = kept.where("_n > 1").dropDuplicates([id_col])
+    return kept.where("_n = 1").unionByName(repeated).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

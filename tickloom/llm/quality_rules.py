@@ -7,6 +7,8 @@ doesn't follow the length, and one fixed threshold decides on every document. Al
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,12 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
     return counts.crossJoin(F.broadcast(sums)).select("bucket", ratio.cast("long").alias("ratio"))
 
 
-def _scores(docs: DataFrame, ratios: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per id and text the mean ratio of its n-grams; sums of whole numbers, so that no order of adding changes it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(whole(text_col)).alias("h"), words(whole(text_col)).alias("w"))
-    grams = rows.select("d", "h", F.explode(_grams(F.col("w"))).alias("bucket"))
-    sums = grams.join(F.broadcast(ratios), "bucket").groupBy("d", "h").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
-    return sums.select("d", "h", (F.col("sum") / F.col("n") / F.lit(float(SCALE))).alias("score"))
+def _as_literal(ratios: DataFrame) -> Column:
+    """The table as one array literal: BUCKETS numbers whatever the corpus, so it may pass the driver."""
+    values = [0] * BUCKETS
+    for x in ratios.collect():
+        values[x["bucket"]] = x["ratio"]
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def _repeated_words(sorted_windows: Column) -> Column:
@@ -82,7 +84,7 @@ def quality_verdicts(
     null ids are judged like others; repeated rows are judged each; an empty table gives an empty result. Only the named
     columns are read, so any others may clash.
     """
-    scores = _scores(docs, ratio_table(docs, trusted, id_col, text_col), id_col, text_col)
+    table = _as_literal(ratio_table(docs, trusted, id_col, text_col))
     kept_columns = [F.col(c).alias(f"in_{c}") for c in keep or []]
     names = [f"in_{c}" for c in keep or []]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("t"), *kept_columns)
@@ -94,10 +96,10 @@ def quality_verdicts(
         "doc_id", *names, "w", F.size("w").cast("long").alias("n_words"),
         F.length(_without(t, WHITE)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-        F.xxhash64("t").alias("th"), lines.alias("lines"), F.sort_array(windows).alias("s"),
+        _grams(w).alias("grams"), lines.alias("lines"), F.sort_array(windows).alias("s"),
     )
     rows = rows.select(
-        "doc_id", *names, "n_words", "word_chars", "n_symbols", "th",
+        "doc_id", *names, "n_words", "word_chars", "n_symbols", "grams",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("s")).alias("at"),
     )
@@ -106,11 +108,17 @@ def quality_verdicts(
     rows = rows.select(
         "doc_id", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_repeat_words"),
-        "th",
+        # Whole numbers: no order of adding changes the sum.
+        F.coalesce(F.try_divide(F.aggregate("grams", F.lit(0).cast("long"), lambda acc, g: acc + F.get(table, g)), F.size("grams") * F.lit(float(SCALE))), F.lit(0.0)).alias("score"),
     )
-    rows = rows.join(scores, rows["doc_id"].eqNullSafe(scores["d"]) & (rows["th"] == scores["h"]), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
         "doc_id", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score",
         (~failed & (F.col("score") >= F.lit(threshold))).alias("kept"),
     )
+
+
+def kept_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that quality_verdicts keeps; their texts aren't shuffled."""
+    judged = quality_verdicts(docs, trusted, id_col, text_col, keep=docs.columns)
+    return judged.where("kept").select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
