@@ -2,17 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: SQL can't express the n-gram model, the packing by tokenizer ids and the ownership of secrets.
+from tickloom.llm.common import table, written
+from tickloom.llm.mixing import mixed_documents
+from tickloom.llm.ngram_join import first_of_each
+from tickloom.llm.packing import pack_documents
+from tickloom.llm.quality_rules import kept_documents
+from tickloom.llm.secret_scan import redact_secrets
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kept_documents(docs, good)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five words, a similarity of 0.8 or more."""
+    return first_of_each(docs, size=5, num=8, den=10)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return redact_secrets(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixed_documents(docs, [3, 1, 2])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources", mixture),
+    ("best-fit packing", packed),
+]
+#: SQL can't express the packing by a tokenizer's ids; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tickloom.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
