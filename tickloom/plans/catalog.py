@@ -7,37 +7,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from tickloom.plans.dialect import Operator
+from tickloom.sources.market import duckdb_query, market
 
-#: Modules of this package that register queries.
-MODULES = ("breadth",)
+Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules with a list OPERATORS, and modules with queries() and oracle_sql() of their own.
+OPERATORS = ("windows", "indicators", "aggregates")
+QUERIES: tuple[str, ...] = ()
 
-class Registry:
-    """Queries and their SQL under one name each."""
 
-    def __init__(self) -> None:
-        self.queries: dict[str, Query] = {}
-        self.sql: dict[str, str] = {}
+def operators() -> dict[str, Operator]:
+    out: dict[str, Operator] = {}
+    for name in OPERATORS:
+        for op in importlib.import_module(f"tickloom.operators.{name}").OPERATORS:
+            if op.name in out:
+                raise ValueError(f"{op.name} is registered already")
+            out[op.name] = op
+    return out
 
-    def add(self, name: str, query: Query, sql: str | None = None) -> None:
-        if name in self.queries:
-            raise ValueError(f"{name} is registered already")
-        self.queries[name] = query
-        if sql is not None:
-            self.sql[name] = sql
 
-
-def _all() -> Registry:
-    out = Registry()
-    for name in MODULES:
-        importlib.import_module(f"tickloom.plans.{name}").register(out)
-    return out
+def _over_market(op: Operator) -> Query:
+    return lambda spark, sf_dir: op(**market(spark, sf_dir, op.inputs()))
 
 
 def queries() -> dict[str, Query]:
-    return _all().queries
+    out = {name: _over_market(op) for name, op in operators().items()}
+    for name in QUERIES:
+        out |= importlib.import_module(name).queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return _all().sql
+    out = {name: duckdb_query(op) for name, op in operators().items()}
+    for name in QUERIES:
+        out |= importlib.import_module(name).oracle_sql()
+    return out
