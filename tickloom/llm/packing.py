@@ -8,7 +8,6 @@ places a run of equally long pieces into a run of bins; pieces find their row by
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,16 +18,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import whole, written
+from tickloom.llm.wordhash import blocks, hashed
 
 #: Words a worker remembers; the store starts anew when it is full.
-MEMORY = 300_000
+MEMORY = 2_000_000
 #: Parts of the pieces of one length, so that a common length is ranked by many tasks.
 PARTS = 256
-BLANKS = re.compile("[ \t\n\r]+")
 
 
-class _Ids(dict):
-    """The ids of words as little-endian bytes. The tokenizer drops white space and joins nothing across it."""
+class _Ids:
+    """The ids of words by hash. The tokenizer drops white space, joins nothing across it and lower-cases A-Z itself."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -36,13 +35,50 @@ class _Ids(dict):
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_padding()
         self.encoder.no_truncation()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > MEMORY:
-            self.clear()
-        new = list(words)
-        for word, found in zip(new, self.encoder.encode_batch(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        self.restart()
+
+    def restart(self) -> None:
+        self.words = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes sorted, none of them known."""
+        found = self.encoder.encode_batch_fast(words, add_special_tokens=False)
+        new = [np.array(x.ids, np.uint32) for x in found]
+        lengths = np.array([len(x) for x in new], np.int64)
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids = np.concatenate([self.ids, *new])
+        at = np.searchsorted(self.words, hashes)
+        self.words, self.starts, self.lengths = (np.insert(x, at, y) for x, y in ((self.words, hashes), (self.starts, starts), (self.lengths, lengths)))
+
+    def of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in data on end, and where each text's ids begin."""
+        hashes, first = hashed(data, starts)
+        if not len(hashes):
+            return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        unique, place, back = np.unique(hashes, return_index=True, return_inverse=True)
+        while True:
+            at = np.searchsorted(self.words, unique)
+            known = np.zeros(len(unique), bool)
+            inside = at < len(self.words)
+            known[inside] = self.words[at[inside]] == unique[inside]
+            if known.all():
+                break
+            if len(self.words) > MEMORY:
+                self.restart()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            # A word ends where the next blank or text begins.
+            ends = np.append(first[1:], len(data))
+            raw = data.tobytes()
+            self.learn(unique[new], [raw[first[i] : ends[i]].decode() for i in place[new].tolist()])
+        entry = np.searchsorted(self.words, unique)[back]
+        lengths = self.lengths[entry]
+        after = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.starts[entry] - after + lengths, lengths) + np.arange(after[-1])]
+        return ids, np.concatenate([[0], after])[np.searchsorted(first, starts)]
 
 
 _known: dict[str, _Ids] = {}
@@ -52,25 +88,34 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    ids = _known.setdefault(path, _Ids(path)) if path not in _known else _known[path]
-    end, width = b"\0\0\0\0", 4 * capacity
+    if path not in _known:
+        _known[path] = _Ids(path)
+    store, end = _known[path], np.zeros(1, np.uint32)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         out: list[list[int | None]] = [[] for _ in names]
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            texts = [BLANKS.split(x) for x in part.column(1).to_pylist()]
-            if new := {x for t in texts for x in t if x not in ids}:
-                ids.learn(new)
-                if new := {x for t in texts for x in t if x not in ids}:
-                    ids.learn(new)
-            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                data = b"".join(map(ids.__getitem__, text)) + end
-                for k, i in enumerate(range(0, len(data), width)):
-                    piece = data[i : i + width]
-                    for column, value in zip(out, (doc_id, k, i // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
-                        column.append(value)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        doc_ids = batch.column(0).to_pylist()
+        held: list[np.ndarray] = []
+        last = -1
+
+        def close(doc_id: int | None, parts: list[np.ndarray]) -> None:
+            ids = np.concatenate([*parts, end])
+            for k, i in enumerate(range(0, len(ids), capacity)):
+                piece = ids[i : i + capacity]
+                for column, value in zip(out, (doc_id, k, i, len(piece), zlib.crc32(piece.astype("<u4").tobytes())), strict=True):
+                    column.append(value)
+
+        for row, _, data, starts in blocks(batch.column(1)):
+            ids, bounds = store.of(data, starts)
+            for k, part in enumerate(np.split(ids, bounds[1:]), row):
+                if k != last:
+                    if last >= 0:
+                        close(doc_ids[last], held)
+                    held, last = [], k
+                held.append(part)
+        if last >= 0:
+            close(doc_ids[last], held)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 

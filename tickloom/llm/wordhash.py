@@ -57,37 +57,58 @@ def hashed(data: np.ndarray, starts_of: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed((sums[last + 1] - sums[first]) * inverse[first] + (last - first + 1).astype(np.uint64)), first
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of each text of a column without nulls, in order. Long texts are hashed in blocks cut at blanks."""
+def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, row after the last, bytes, where each row's text begins) of blocks of a column without nulls, in order.
+
+    A text longer than BLOCK comes as several blocks of that one row, cut at blanks.
+    """
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        start, to = offsets[row], row + 1
+        start, to = int(offsets[row]), row + 1
         while to < len(column) and offsets[to + 1] - start <= BLOCK:
             to += 1
-        if offsets[to] - start <= BLOCK:
-            h, first = hashed(data[start : offsets[to]], offsets[row:to] - start)
-            bounds = np.searchsorted(first, offsets[row : to + 1] - start)
-            for k in range(row, to):
-                yield k, h[bounds[k - row] : bounds[k - row + 1]]
-        else:
-            parts, at, stop = [], int(start), int(offsets[to])
-            while at < stop:
-                upto = min(stop, at + BLOCK)
-                while upto < stop:
-                    blanks = np.flatnonzero(_BLANK[data[at:upto]])
-                    if len(blanks):
-                        upto = at + int(blanks[-1]) + 1
-                        break
-                    upto = min(stop, upto + BLOCK)
-                parts.append(hashed(data[at:upto], np.zeros(0, np.int64))[0])
-                at = upto
-            yield row, np.concatenate(parts)
+        stop = int(offsets[to])
+        if stop - start <= BLOCK:
+            yield row, to, data[start:stop], offsets[row:to] - start
+        while stop - start > BLOCK:
+            upto = min(stop, start + BLOCK)
+            while upto < stop:
+                blanks = np.flatnonzero(_BLANK[data[start:upto]])
+                if len(blanks):
+                    upto = start + int(blanks[-1]) + 1
+                    break
+                upto = min(stop, upto + BLOCK)
+            yield row, to, data[start:upto], np.zeros(1, np.int64)
+            start = upto
+            if stop - start <= BLOCK:
+                yield row, to, data[start:stop], np.zeros(1, np.int64)
         row = to
 
 
+def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of each text of a column without nulls, in order."""
+    held: list[np.ndarray] = []
+    last = -1
+    for row, to, data, starts in blocks(column):
+        h, first = hashed(data, starts)
+        if to - row > 1:
+            bounds = [*np.searchsorted(first, starts).tolist(), len(h)]
+            parts = [h[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        else:
+            parts = [h]
+        for k, part in enumerate(parts, row):
+            if k != last:
+                if last >= 0:
+                    yield last, np.concatenate(held) if len(held) > 1 else held[0]
+                held, last = [], k
+            held.append(part)
+    if last >= 0:
+        yield last, np.concatenate(held) if len(held) > 1 else held[0]
+
+
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` words; of the whole sequence where there are fewer; none without words."""
     n = len(h)
