@@ -35,7 +35,7 @@ OPERATORS = [
           round(avg(case when volume > 100 then 1e0 else 0e0 end), 6) as active, round(sum(close * volume), 2) as turnover from p group by session_date""",
     ),
     Operator("agg_10", "select sector, session_date, round(median(close - open), 6) as middle, count(*) as n from {daily} group by sector, session_date"),
-    Operator("agg_11", "select symbol, session_date, case when count(close) over w > 1 then round(((sum(close) over w) - close) / ((count(close) over w) - 1), 3) end as others_mean from {daily} window w as (partition by session_date, sector)"),
+    Operator("agg_11", "select symbol, session_date, case when count(close) over w > 1 then round(((sum(cast(round(close * 100) as bigint)) over w) - round(close * 100)) / ((count(close) over w) - 1e0), 4) end as others_mean from {daily} window w as (partition by session_date, sector)"),
     Operator(
         "agg_12",
         """with r as (select symbol, session_date, sector, close, row_number() over (partition by session_date, sector order by close, symbol) as k, count(*) over (partition by session_date, sector) as n from {daily}),
