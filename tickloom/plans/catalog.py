@@ -13,8 +13,8 @@ from tickloom.sources.market import duckdb_query, market
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a list OPERATORS, and modules with queries() and oracle_sql() of their own.
-OPERATORS = ("windows", "indicators", "aggregates")
-QUERIES: tuple[str, ...] = ()
+OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars")
+QUERIES = ("tickloom.plans.recursions",)
 
 
 def operators() -> dict[str, Operator]:
