@@ -25,6 +25,11 @@ from tickloom.llm.wordhash import mixed, shingles, texts
 SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
+#: Bits of the filter that says which texts are looked at again, and its hashes.
+FILTER_BITS = 1 << 26
+HASHES = 3
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -105,33 +110,62 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray
     return docs.mapInArrow(run, "token long, doc_id long, n long")
 
 
-def _whole_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, its tokens and its prefixes under the orders by hash."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])
+def _marked(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words) of a Bloom filter of column doc_id, of FILTER_BITS bits at most, so its words may pass the driver."""
+    bits = int(np.clip(16 * max(1, ids.count()), 1 << 12, FILTER_BITS))
+    at = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(HASHES)])).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+    out = np.zeros(-(-bits // 32), np.uint32)
+    for x in words.collect():
+        out[x["word"]] = x["bits"]
+    return bits, out
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, name: str) -> DataFrame:
+    """doc_id and tokens of the documents in ids: texts are looked at where they are, none is shuffled."""
+    width, words = _marked(ids)
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(width)) for k in range(HASHES)]
+    rows = docs.select("doc_id", "text", F.array(*at).alias("at"))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for doc_id, tokens in _sets(batches, size):
-                if not len(tokens):
-                    continue
-                p = prefix_length(len(tokens), num, den)
-                firsts = [tokens[np.argsort(mixed(tokens ^ s), kind="stable")[:p]].view(np.int64) for s in SEEDS]
-                yield len(tokens), doc_id, tokens.view(np.int64), *firsts
+        schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
-        yield from _batches(rows(), schema, 500_000)
+        def some() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    at = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+                    hit = ((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1)
+                    yield b.select([0, 1]).filter(pa.array(hit))
 
-    return docs.mapInArrow(run, "doc_id long, tokens array<long>, first array<long>, second array<long>")
+        rows = ((len(tokens), doc_id, tokens.view(np.int64)) for doc_id, tokens in _sets(some(), size) if len(tokens))
+        yield from _batches(rows, schema, 500_000)
+
+    found = rows.mapInArrow(run, "doc_id long, tokens array<long>")
+    return found.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias(name), F.col("tokens").alias(f"{name}_tokens"))
 
 
 def _links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters under the other orders and whose sets are as similar as asked."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _whole_sets(docs.join(ids, "doc_id", "left_semi"), size, num, den)
-    side = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("tokens", "first", "second")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.arrays_overlap("a_first", "b_first") & F.arrays_overlap("a_second", "b_second"))
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(den * common >= num * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
+    """The pairs (a, b) that share prefix tokens under the orders by hash too and whose sets are as similar as asked."""
+    sides = [_whole_sets(docs, pairs.select(F.col(x).alias("doc_id")).distinct(), size, x) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_tokens", "b_tokens")
+
+    def prefix(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
+        order = mixed(tokens ^ seed)
+        p = prefix_length(len(tokens), num, den)
+        return np.partition(order, p - 1)[:p] if p < len(order) else order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (2, 3))
+                if all(len(np.intersect1d(prefix(x, s), prefix(y, s), assume_unique=True)) for s in SEEDS):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[k] = den * common >= num * (len(x) + len(y) - common)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,13 +188,13 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_c
     copies = named.join(copies, "digest").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
 
     posted = written(_postings(rows.where("doc_id is not null"), size, num, den, counts, bits), "postings")
-    hubs = posted.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high"))
-    hubs = hubs.where("low.doc_id != high.doc_id")
+    hubs = posted.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
+    listed = written(posted.join(hubs, "token"), "lists")
+    star = listed.select("doc_id", F.explode(F.array("low", "high")).alias("hub")).where("doc_id != hub")
+    star = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    size_of = lambda x, n: named.select(F.col("doc_id").alias(x), F.col("n").alias(n)).distinct()
     near = num * F.greatest("n", "m") <= den * F.least("n", "m")
-    listed = posted.join(hubs, "token")
-    star = listed.select("doc_id", "n", F.explode(F.array("low", "high")).alias("hub")).select("doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("m"))
-    star = star.where(near & (F.col("doc_id") != F.col("hub"))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-    star = written(star.distinct(), "pairs")
+    star = written(star.join(size_of("a", "n"), "a").join(size_of("b", "m"), "b").where(near).select("a", "b").distinct(), "pairs")
     links = written(_links(rows, star, size, num, den).unionByName(copies), "links")
     parts = written(connected(links), "components")
 

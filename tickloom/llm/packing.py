@@ -21,7 +21,9 @@ from tickloom.llm.common import whole, written
 from tickloom.llm.wordhash import blocks, hashed
 
 #: Words a worker remembers; the store starts anew when it is full.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
+#: Words tokenized at once.
+LEARNED = 2048
 #: Parts of the pieces of one length, so that a common length is ranked by many tasks.
 PARTS = 256
 
@@ -45,8 +47,9 @@ class _Ids:
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """hashes sorted, none of them known."""
-        found = self.encoder.encode_batch_fast(words, add_special_tokens=False)
-        new = [np.array(x.ids, np.uint32) for x in found]
+        new = []
+        for at in range(0, len(words), LEARNED):  # an encoding takes much more room than its ids
+            new += [np.array(x.ids, np.uint32) for x in self.encoder.encode_batch_fast(words[at : at + LEARNED], add_special_tokens=False)]
         lengths = np.array([len(x) for x in new], np.int64)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, *new])
