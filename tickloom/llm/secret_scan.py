@@ -91,9 +91,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("doc_id", F.coalesce("found", none).alias("found"))
     found = F.col("found")
     count = lambda f: F.size(F.filter(found, f)).cast("long")
+    of_kind = lambda k: count(lambda x: x["kind"] == k)
     return rows.select(
         "doc_id",
-        *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_joined(F.filter(found, lambda x: x["base"])), 256).alias("base_sha256"),
         _joined(found).alias("spans"),
         count(lambda x: x["kind"] == 3).alias("n_owned"),
