@@ -10,7 +10,7 @@ only pairs are left that aren't in one component yet.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,10 @@ from tickloom.llm.wordhash import mixed, shingles, texts
 SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
+#: Buckets of tokens, in bits, whose counts say how rare a token is: as many whatever the corpus.
+COUNT_BITS = 18
+#: Bins of tokens whose counts, compared bin by bin, bound how many tokens two sets have in common.
+BINS = 64
 #: Bits of the filter that says which texts are looked at again, and its hashes.
 FILTER_BITS = 1 << 26
 HASHES = 3
@@ -56,8 +60,8 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, at_most: int) -> Iterator
 
 
 def _summaries(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """A row per document (doc_id, n, digest of its set) and, per task, one for each bucket of tokens (bucket, count)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bucket", pa.int32()), ("count", pa.int64())])
+    """A row per document (doc_id, n, digest of its set, counts of its tokens by bin) and, per task, one for each bucket of tokens (bucket, count)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bucket", pa.int32()), ("count", pa.int64()), ("bins", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
@@ -65,20 +69,51 @@ def _summaries(docs: DataFrame, size: int, bits: int) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for doc_id, tokens in _sets(batches, size):
                 np.add.at(counts, (tokens >> np.uint64(64 - bits)).astype(np.int64), 1)
-                yield 1, doc_id, len(tokens), hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None, None, None
+                yield 1, doc_id, len(tokens), hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None, None, None, np.bincount((tokens % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
 
         yield from _batches(rows(), schema, 10_000)
         for at in range(0, len(counts), 1 << 16):
             some = np.flatnonzero(counts[at : at + (1 << 16)]) + at
             none = pa.nulls(len(some), pa.int64())
             if len(some):
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(counts[some])], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(counts[some]), pa.nulls(len(some), schema.field("bins").type)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bucket int, count long")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bucket int, count long, bins array<int>")
 
 
-def _postings(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray, bits: int) -> DataFrame:
-    """token, doc_id, n: the prefixes under the order of rare tokens first; one document a task of those with equal sets."""
+def _marked(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words) of a Bloom filter of column doc_id, of FILTER_BITS bits at most, so its words may pass the driver."""
+    bits = int(np.clip(16 * max(1, ids.count()), 1 << 12, FILTER_BITS))
+    at = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(HASHES)])).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+    out = np.zeros(-(-bits // 32), np.uint32)
+    for x in words.collect():
+        out[x["word"]] = x["bits"]
+    return bits, out
+
+
+def _looked_up(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """Rows to map over, and what leaves of their batches doc_id and text of the documents in ids, and maybe of some others.
+
+    Texts are looked at where they are, none is shuffled.
+    """
+    width, words = _marked(ids)
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(width)) for k in range(HASHES)]
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+                hit = ((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1)
+                yield b.select([0, 1]).filter(pa.array(hit))
+
+    return docs.select("doc_id", "text", F.array(*at).alias("at")), some
+
+
+def _postings(docs: DataFrame, firsts: DataFrame, size: int, num: int, den: int, counts: np.ndarray, bits: int) -> DataFrame:
+    """token, doc_id, n: the prefixes under the order of rare tokens first, of the documents in firsts, one for each set."""
+    rows, some = _looked_up(docs, firsts)
     told = docs.sparkSession.sparkContext.broadcast(counts)  # 2 ** bits numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +127,7 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
 
         weight = 0
-        for doc_id, tokens in _sets(batches, size):
+        for doc_id, tokens in _sets(some(batches), size):
             n = len(tokens)
             if not n or doc_id is None or (digest := hashlib.md5(tokens.tobytes()).digest()) in seen:
                 continue
@@ -107,44 +142,32 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "token long, doc_id long, n long")
-
-
-def _marked(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, words) of a Bloom filter of column doc_id, of FILTER_BITS bits at most, so its words may pass the driver."""
-    bits = int(np.clip(16 * max(1, ids.count()), 1 << 12, FILTER_BITS))
-    at = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(HASHES)])).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
-    out = np.zeros(-(-bits // 32), np.uint32)
-    for x in words.collect():
-        out[x["word"]] = x["bits"]
-    return bits, out
+    return rows.mapInArrow(run, "token long, doc_id long, n long")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, name: str) -> DataFrame:
-    """doc_id and tokens of the documents in ids: texts are looked at where they are, none is shuffled."""
-    width, words = _marked(ids)
-    at = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(width)) for k in range(HASHES)]
-    rows = docs.select("doc_id", "text", F.array(*at).alias("at"))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    """doc_id and tokens of the documents in ids."""
+    rows, some = _looked_up(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-
-        def some() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    at = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
-                    hit = ((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1)
-                    yield b.select([0, 1]).filter(pa.array(hit))
-
-        rows = ((len(tokens), doc_id, tokens.view(np.int64)) for doc_id, tokens in _sets(some(), size) if len(tokens))
-        yield from _batches(rows, schema, 500_000)
+        found = ((len(tokens), doc_id, tokens.view(np.int64)) for doc_id, tokens in _sets(some(batches), size) if len(tokens))
+        yield from _batches(found, schema, 500_000)
 
     found = rows.mapInArrow(run, "doc_id long, tokens array<long>")
     return found.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias(name), F.col("tokens").alias(f"{name}_tokens"))
 
 
+def _possible(pairs: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose counts by bin allow the similarity: no set is looked at, and no pair that has it goes."""
+    for x in ("a", "b"):
+        side = named.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")).distinct()
+        pairs = pairs.join(side, x)
+    common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda acc, k: acc + k)
+    union = F.col("n_a") + F.col("n_b") - F.col("common")
+    return pairs.withColumn("common", common).where(den * F.col("common") >= num * union).select("a", "b").distinct()
+
+
 def _links(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under the orders by hash too and whose sets are as similar as asked."""
     sides = [_whole_sets(docs, pairs.select(F.col(x).alias("doc_id")).distinct(), size, x) for x in ("a", "b")]
@@ -177,24 +200,21 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_c
     texts, and reported each; an empty table gives an empty result. Only id and text are read. Tokens are 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    bits = int(np.clip(np.ceil(np.log2(max(2, rows.count()))), 12, 22))
-    summary = written(_summaries(rows, size, bits), "summaries")
-    counts = np.zeros(1 << bits, np.int64)
-    for bucket, n in summary.where("bucket is not null").groupBy("bucket").agg(F.sum("count")).collect():  # 2 ** bits rows at most
+    summary = written(_summaries(rows, size, COUNT_BITS), "summaries")
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for bucket, n in summary.where("bucket is not null").groupBy("bucket").agg(F.sum("count")).collect():  # 2 ** COUNT_BITS rows at most
         counts[bucket] = n
-    sets = summary.where("bucket is null").select("doc_id", "n", "digest")
+    sets = summary.where("bucket is null").select("doc_id", "n", "digest", "bins")
     named = sets.where("digest is not null and doc_id is not null")
-    copies = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = named.join(copies, "digest").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    copies = named.join(firsts, "digest").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
 
-    posted = written(_postings(rows.where("doc_id is not null"), size, num, den, counts, bits), "postings")
+    posted = written(_postings(rows.where("doc_id is not null"), firsts.select(F.col("least").alias("doc_id")).distinct(), size, num, den, counts, COUNT_BITS), "postings")
     hubs = posted.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
     listed = written(posted.join(hubs, "token"), "lists")
     star = listed.select("doc_id", F.explode(F.array("low", "high")).alias("hub")).where("doc_id != hub")
     star = star.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    size_of = lambda x, n: named.select(F.col("doc_id").alias(x), F.col("n").alias(n)).distinct()
-    near = num * F.greatest("n", "m") <= den * F.least("n", "m")
-    star = written(star.join(size_of("a", "n"), "a").join(size_of("b", "m"), "b").where(near).select("a", "b").distinct(), "pairs")
+    star = written(_possible(star, named, num, den), "pairs")
     links = written(_links(rows, star, size, num, den).unionByName(copies), "links")
     parts = written(connected(links), "components")
 
@@ -204,9 +224,10 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_c
     mixed_lists = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x != y and c > 2")
     members = written(members.join(mixed_lists.select("token"), "token", "left_semi"), "members")
     other = members.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("bc"))
-    rest = members.join(other, "token").where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("bc")) & near)
+    rest = members.join(other, "token").where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("bc")))
+    rest = rest.where(num * F.greatest("n", "m") <= den * F.least("n", "m"))
     rest = rest.select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = written(rest, "pairs")
+    rest = written(_possible(rest, named, num, den), "pairs")
     if not rest.isEmpty():
         links = written(links.unionByName(_links(rows, rest, size, num, den)), "links")
         parts = connected(links)
