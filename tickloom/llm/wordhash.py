@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _FACTOR = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
