@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a list OPERATORS, and modules with queries() and oracle_sql() of their own.
 OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars", "engines")
-QUERIES = ("tickloom.plans.recursions",)
+QUERIES = ("tickloom.plans.recursions", "tickloom.plans.streams")
 
 
 def operators() -> dict[str, Operator]:
