@@ -332,3 +332,16 @@ def test_pipeline(spark):
     assert docs.count() > 0
     out = corpus_pipeline.run(spark, SMALL)
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_texts_longer_than_a_block_have_the_same_words(monkeypatch):
+    import pyarrow as pa
+
+    from tickloom.llm import wordhash
+
+    rows = ["one Two " * 20, "", "x" * 300, "a " + "y" * 150 + " b", " " * 200, "é " * 90, "end"]
+    whole = {k: h.tolist() for k, h in wordhash.texts(pa.array(rows))}
+    assert [len(whole[k]) for k in range(len(rows))] == [len(words(x)) for x in rows]
+    for block in (16, 64, 1000):
+        monkeypatch.setattr(wordhash, "BLOCK", block)
+        assert {k: h.tolist() for k, h in wordhash.texts(pa.array(rows))} == whole
