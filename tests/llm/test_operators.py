@@ -240,6 +240,30 @@ def test_quality_rules(spark, docs, none):
     assert kept_documents(docs, good).columns == docs.columns
 
 
+def test_quality_keeps_held_out_documents_at_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import quality_rules as r
+
+    rng = np.random.default_rng(7)
+    draw = lambda kind, n: " ".join(f"{kind}{i}" for i in np.minimum(rng.zipf(1.3, n), 4000))
+    schema = "doc_id long, text string"
+    for size, labelled in ((60, 20), (60, 40), (600, 50), (600, 400)):
+        rows = [(k, draw("w", 200)) for k in range(size)] + [(10_000 + k, draw("junk", 200)) for k in range(size // 6)]
+        docs, good = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame([(k,) for k in range(labelled)], "doc_id long")
+        got = {x.doc_id: x for x in r.quality_verdicts(docs, good).collect() if not x.base_failed}
+        held_out = [x.kept for k, x in got.items() if labelled <= k < 10_000]
+        assert np.mean(held_out) > 0.95, (size, labelled)
+        assert not any(x.kept for k, x in got.items() if k >= 10_000), (size, labelled)
+        grams = {x.doc_id: collections.Counter(x.g) for x in docs.select("doc_id", r._grams(r.words(F.col("text"))).alias("g")).collect()}
+        raw, own = sum(grams.values(), collections.Counter()), sum((grams[k] for k in range(labelled)), collections.Counter())
+        for k in (0, labelled - 1, size - 1, 10_000):
+            mine = grams[k] if k < labelled else collections.Counter()
+            share = (own.total() - mine.total()) / (raw.total() - mine.total())
+            want = sum(n * math.log((own[b] - mine[b] + r.PRIOR) / ((raw[b] - mine[b]) * share + r.PRIOR)) for b, n in grams[k].items())
+            assert abs(got[k].score - want / grams[k].total()) < 1e-5
+
+
 def test_sharding(docs, none):
     from tickloom.llm.sharding import shard_by_splitters
 
