@@ -369,3 +369,16 @@ def test_texts_longer_than_a_block_have_the_same_words(monkeypatch):
     for block in (16, 64, 1000):
         monkeypatch.setattr(wordhash, "BLOCK", block)
         assert {k: h.tolist() for k, h in wordhash.texts(pa.array(rows))} == whole
+
+
+def test_packing_tells_special_tokens_from_other_spellings():
+    from tickloom.llm.packing import _Ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["<|ENDOFTEXT|> x<|EndOfText|>y", "<|endoftext|> x<|endoftext|>y Word word", "<|StartOfText|> <|startoftext|>"]
+    for order in (texts, texts[::-1]):
+        store = _Ids(path)
+        for text in order:
+            ids, _ = store.of(np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64))
+            assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids

@@ -29,7 +29,10 @@ PARTS = 256
 
 
 class _Ids:
-    """The ids of words by hash. The tokenizer drops white space, joins nothing across it and lower-cases A-Z itself."""
+    """The ids of words by the hash of their exact bytes, as special tokens are matched in their own case only.
+
+    The tokenizer drops white space and joins nothing across it.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -58,7 +61,7 @@ class _Ids:
 
     def of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in data on end, and where each text's ids begin."""
-        hashes, first = hashed(data, starts)
+        hashes, first = hashed(data, starts, exact=True)
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
         unique, place, back = np.unique(hashes, return_index=True, return_inverse=True)

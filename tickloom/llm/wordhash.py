@@ -23,6 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
+_EXACT = _BYTES.copy()
 _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,8 +38,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def hashed(data: np.ndarray, starts_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data (bytes), A-Z like a-z, and each word's start. starts_of: where a text begins."""
+def hashed(data: np.ndarray, starts_of: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data (bytes), A-Z like a-z unless exact, and each word's start. starts_of: where a text begins."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -52,7 +53,7 @@ def hashed(data: np.ndarray, starts_of: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends[cut - 1] |= ~blank[cut - 1]
     power, inverse = _power(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
+    np.cumsum((_EXACT if exact else _BYTES)[data] * power[:n], out=sums[1:])
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     return mixed((sums[last + 1] - sums[first]) * inverse[first] + (last - first + 1).astype(np.uint64)), first
 
