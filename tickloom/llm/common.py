@@ -33,10 +33,12 @@ def words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only on one machine where none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tickloom-"))
     return named or sc.getCheckpointDir()
 
@@ -47,3 +49,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Buckets of keys that say which rows may be meant: as many at most are broadcast, whatever the number of keys.
+BUCKETS = 1 << 20
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def told_apart(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of `keys`, rows that surely have none); key is a long, keys has one column of them.
+
+    Many keys fill the buckets and put more rows on the first side, which costs time, not results; no text is shuffled.
+    """
+    bucket = fresh(docs, "bucket")
+    full = F.broadcast(keys.toDF("key").select(F.pmod("key", F.lit(BUCKETS)).alias(bucket)).distinct())
+    same = F.pmod(key, F.lit(BUCKETS)) == F.col(bucket)
+    return docs.join(full, same, "left_semi"), docs.join(full, same, "left_anti")

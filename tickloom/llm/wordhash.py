@@ -22,40 +22,51 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
-_EXACT = _BYTES.copy()
-_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
+#: Places in a word whose values are looked up; those of later places are computed.
+PLACES = 256
+
 
+def _values(key: np.ndarray) -> np.ndarray:
+    """The value of a byte at a place of its word, key = 256 * place + byte."""
+    return mixed((key.astype(np.uint64) + np.uint64(1)) * np.uint64(_FACTOR))
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd factor and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = pow(_FACTOR, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(f))])) for f in (_FACTOR, inverse)]
-    return _powers[0], _powers[1]
+
+_EXACT = _values(np.arange(256 * PLACES))
+_FOLDED = _EXACT.reshape(PLACES, 256).copy()
+_FOLDED[:, ord("A") : ord("Z") + 1] = _FOLDED[:, ord("a") : ord("z") + 1]
+_FOLDED = _FOLDED.ravel()
+_FOLD = np.arange(256)
+_FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def hashed(data: np.ndarray, starts_of: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data (bytes), A-Z like a-z unless exact, and each word's start. starts_of: where a text begins."""
+    """Hashes of the words of data (bytes), A-Z like a-z unless exact, and each word's start. starts_of: where a text begins.
+
+    A word's hash is the mixed sum of values that each byte has at its place: the values are unrelated, so no pattern of
+    letters makes sums meet.
+    """
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blank = _BLANK[data]
-    begins = ~blank
+    begins, ends = ~blank, ~blank
     begins[1:] &= blank[:-1]
-    ends = ~blank
     ends[:-1] &= blank[1:]
     cut = starts_of[(starts_of > 0) & (starts_of < n)]
     begins[cut] |= ~blank[cut]
     ends[cut - 1] |= ~blank[cut - 1]
-    power, inverse = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_EXACT if exact else _BYTES)[data] * power[:n], out=sums[1:])
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    return mixed((sums[last + 1] - sums[first]) * inverse[first] + (last - first + 1).astype(np.uint64)), first
+    if not len(first):
+        return np.zeros(0, np.uint64), first
+    origin = np.zeros(n, np.int64)
+    origin[first] = np.diff(first, prepend=0)
+    key = ((np.arange(n) - np.cumsum(origin)) << 8) | data
+    values = (_EXACT if exact else _FOLDED)[np.minimum(key, 256 * PLACES - 1)]
+    late = np.flatnonzero((key >= 256 * PLACES) & ~blank)
+    if len(late):
+        values[late] = _values(key[late] if exact else (key[late] & ~255) | _FOLD[data[late]])
+    values[blank] = 0
+    return mixed(np.add.reduceat(values, first) + (last - first + 1).astype(np.uint64)), first
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
