@@ -175,8 +175,14 @@ def _alike(num: int, den: int) -> Column:
 
 
 def _smaller_has_it() -> Column:
-    """Whether the common token is one that suffices for the smaller set of a and b."""
-    return F.expr("case when a_n < b_n then a_own when a_n > b_n then b_own else a_own or b_own end")
+    """Whether the common token is one that suffices for the smaller set of a and b, for a if they are of one size."""
+    return F.expr("case when a_n <= b_n then a_own else b_own end")
+
+
+def _first_common() -> Column:
+    """Whether no smaller token makes the same pair, so that a pair comes once, however many tokens it shares."""
+    common = F.when(F.col("a_n") <= F.col("b_n"), F.array_intersect("a_owned", "b_listed")).otherwise(F.array_intersect("b_owned", "a_listed"))
+    return F.col("token") == F.array_min(common)
 
 
 def _side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -224,10 +230,11 @@ def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     members = posted.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     several = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x != y and c > 2")
     members = members.join(several.select("token"), "token", "left_semi").join(sets.select("digest", "sketch").dropDuplicates(["digest"]), "digest")
-    members = written(members, "members")
-    sides = [members.select("token", *[F.col(c).alias(f"{x}_{c}" if c != "digest" else x) for c in ("digest", "n", "own", "component", "sketch")]) for x in ("a", "b")]
-    rest = sides[0].join(sides[1], "token").where("a < b and a_component != b_component").where(_smaller_has_it()).where(_alike(num, den))
-    rest = rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    tokens = members.groupBy("digest").agg(F.collect_set("token").alias("listed"), F.collect_set(F.when(F.col("own"), F.col("token"))).alias("owned"))
+    members = written(members.join(tokens, "digest"), "members")
+    sides = [members.select("token", *[F.col(c).alias(f"{x}_{c}" if c != "digest" else x) for c in ("digest", "n", "own", "component", "sketch", "listed", "owned")]) for x in ("a", "b")]
+    rest = sides[0].join(sides[1], "token").where(F.expr("a < b and a_component != b_component") & _smaller_has_it() & _alike(num, den) & _first_common())
+    rest = rest.select("a", "b").join(star, ["a", "b"], "left_anti")
     more = written(_links(rest, sets, num, den), "links")
     if not more.isEmpty():
         # Components of components.
