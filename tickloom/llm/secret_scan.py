@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find secrets in every text. A wider pattern proposes random-looking tokens besides; the hashes of all
-candidates are counted by distinct repositories and owners over the corpus. A proposal held by a single owner looks
-live and is added to the spans; what many owners hold is a widely copied example.
+candidates are counted by distinct repositories and owners over the corpus. A proposal held by few repositories of a
+single owner looks live and is added to the spans; what many owners or many repositories hold is a widely copied example.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import whole
+from tickloom.llm.common import fresh, told_apart, whole, written
 
 #: Fixed values. The keyword is taken in either case.
 ASSIGN = (
@@ -22,6 +22,10 @@ HEX = r"([0-9a-f]{24,})"
 #: Proposals: long tokens that mix letters with digits.
 PROPOSED = r"([A-Za-z0-9+_-]{20,})"
 KINDS = ("assign", "access", "hex", "owned")
+#: Owners and repositories that a live value has at most.
+MOST_OWNERS, MOST_REPOSITORIES = 1, 8
+#: Parts into which the rows of one value are dealt where its counts are looked up.
+SALTS = 16
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,base:boolean>>"
 
 
@@ -56,18 +60,30 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str) ->
     return rows.select("doc_id", "owner", "text_hash", F.concat(base, apart).alias("spans")).where(F.size("spans") > 0)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+def secret_spans(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
+) -> DataFrame:
     """Per document with candidates: doc_id, text_hash and `found`, its sorted spans (start, kind, end, live, base).
 
-    A document is a repository and its source the owner. Spans of base kinds are always there; proposals only if at most
-    `most_owners` owners hold the value. `live` says so for every span.
+    A document is a repository and its source the owner; a null source counts as an owner. `live` says of every span
+    whether its value has at most `most_owners` owners and `most_repositories` repositories. Spans of base kinds are
+    always there, proposals only if they look live. A null text is empty; repeated rows come once and count as one
+    repository; an empty table gives an empty result. Texts are searched once and not shuffled.
     """
-    spans = _candidates(docs, id_col, text_col, owner_col).select("doc_id", "text_hash", "owner", F.explode("spans").alias("s"))
+    spans = written(_candidates(docs, id_col, text_col, owner_col), "candidates").select("doc_id", "text_hash", "owner", F.explode("spans").alias("s"))
     spans = spans.select("doc_id", "text_hash", "owner", "s", F.sha2(F.col("s.value"), 256).alias("hash"))
     # By distinct repositories, then owners: each step is summed before it is shuffled.
     held = spans.groupBy("hash", "owner", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    spans = spans.join(held, "hash").withColumn("live", F.col("owners") <= most_owners)
+    # A value without a row here has one owner and one repository.
+    held = held.where("repositories > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spans = spans.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")).join(held, ["hash", "salt"], "left").na.fill(1, ["owners", "repositories"])
+    spans = spans.withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
     spans = spans.where(F.col("s.base") | F.col("live"))
     found = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "live", F.col("s.base").alias("base"), "owners", "repositories")
     return spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(found)).alias("found"))
@@ -104,10 +120,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of every text replaced by the mark; all columns stay, a null text stays null."""
-    found = secret_spans(docs, id_col, text_col, owner_col).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("found").alias("_found"))
-    rows = docs.withColumn("_hash", F.xxhash64(whole(text_col)))
-    rows = rows.join(found, rows[id_col].eqNullSafe(found["_d"]) & (rows["_hash"] == found["_h"]), "left")
+    """docs with every span of every text replaced by the mark; overlapping spans get one mark.
+
+    All rows and columns stay, whatever their names; a null text stays null, null ids and owners count as values, rows
+    alike are changed alike, an empty table gives an empty result. Only rows that may hold a span are shuffled.
+    """
+    key, known, held = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("text_hash")), fresh(docs, "known"), fresh(docs, "held")
+    found = written(secret_spans(docs, id_col, text_col, owner_col).select(F.struct("doc_id", "text_hash").alias(known), F.col("found").alias(held)), "spans")
+    some, rest = told_apart(docs, F.xxhash64(F.col(id_col), F.xxhash64(whole(text_col))), found.select(F.xxhash64(F.col(f"{known}.doc_id"), F.col(f"{known}.text_hash"))))
     t = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -115,5 +135,6 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new = F.concat(acc["out"], upto, F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
 
-    clean = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return rows.withColumn(text_col, F.when(F.col("_found").isNotNull(), clean).otherwise(t)).select(*docs.columns)
+    clean = F.aggregate(held, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    some = some.join(found, key == F.col(known), "left").withColumn(text_col, F.when(F.col(held).isNotNull(), clean).otherwise(t))
+    return rest.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
