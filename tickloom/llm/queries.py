@@ -73,7 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.mixing import mix_sources
 
-    return mix_sources(table(spark, sf_dir, "documents"), [3, 1, 2]).drop("source", "text_hash")
+    return mix_sources(table(spark, sf_dir, "documents"), [3, 1, 2]).drop("source", "text_hash", "key", "epochs")
 
 
 OP1_SQL = r"""
