@@ -1,10 +1,11 @@
 """Scores by a log-bilinear language model trained with noise-contrastive estimation.
 
-The model predicts the class of the next token from the classes of the two before it: frequent words are classes of
-their own, all others share one, within which a word has its add-one share of the counts. Counts are those of all
-training tokens. Every partition trains on its own documents, minibatches against shared noise words, and the
-parameters are averaged after each round; each training document is used once. Scores are exactly normalised: batched
-matrix products give the normaliser of every context, of which there are as many as pairs of classes.
+The model predicts the next token from the two before it, in two steps: a node, then a class of that node; frequent words
+are classes of their own, the others are dealt by hash over the tail classes, within which a word has its add-one share of
+the class's counts. The number of classes grows with the vocabulary up to a bound, and counts are those of all training
+tokens. Every partition trains on its own documents, minibatches against noise words drawn node by node, and the
+parameters are averaged after each round; each token of each training document is used once. Scores are exactly
+normalised: batched matrix products give the scores of all nodes, and of all classes of the node a token is in.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import whole, written
 from tickloom.llm.wordhash import texts
 
-#: Classes, the model's bound: 0 for all other words, 1 for the end of a text, then words by falling count.
-CLASSES = 512
+#: Nodes, and classes of a node, at most: that bounds the model, not the vocabulary.
+MOST_NODES = 64
+#: Words of the vocabulary for each class.
+WORDS_A_CLASS = 8
 WIDTH = 16
 #: Words whose counts are broadcast; the others' are joined.
 HOT = 1 << 17
-BATCH, NOISE, RATE, ROUNDS = 8192, 32, 0.1, 2
-OTHER, END = 0, 1
+BATCH, NOISE, NODE_NOISE, RATE, ROUNDS = 8192, 32, 16, 0.1, 2
+END = 0
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
@@ -54,69 +57,109 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-class Hot:
-    """Counts of frequent words by hash, and the class of each."""
+class Classes:
+    """The classes of words: 0 is the end of a text, then come frequent words by falling count, then the tail, by hash.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
-        """By falling count."""
+    Class k belongs to node k % nodes.
+    """
+
+    def __init__(self, vocabulary: int, words: np.ndarray, counts: np.ndarray) -> None:
+        """words: the hashes of the most frequent ones, by falling count."""
+        self.nodes = int(np.clip(np.ceil(np.sqrt(vocabulary / WORDS_A_CLASS)), 4, MOST_NODES))
+        self.number = self.nodes**2
+        self.tail = self.number // 4
+        self.own = min(len(words), self.number - self.tail - 1)
         order = np.argsort(words)
-        classes = np.arange(2, len(words) + 2)
-        classes[CLASSES - 2 :] = OTHER
-        self.words, self.counts, self.classes = words[order], counts[order], classes[order]
+        self.words, self.counts = words[order], counts[order]
+        self.classes = np.where(order < self.own, order + 1, self.of_tail(self.words))
+
+    def of_tail(self, h: np.ndarray) -> np.ndarray:
+        return self.number - self.tail + h % self.tail
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, count) of each word, count 0 where it isn't among the frequent ones."""
+        """(class, count) of each word, count 0 where it isn't among the most frequent ones."""
         if not len(self.words):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            return self.of_tail(h), np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         hit = self.words[at] == h
-        return np.where(hit, self.classes[at], OTHER), np.where(hit, self.counts[at], 0)
+        return np.where(hit, self.classes[at], self.of_tail(h)), np.where(hit, self.counts[at], 0)
 
 
-def start(shares: np.ndarray) -> dict[str, np.ndarray]:
+def start(shares: np.ndarray, nodes: int) -> dict[str, np.ndarray]:
     """Parameters from which the model predicts the shares of the classes whatever the context."""
     rng = np.random.default_rng(6)
-    some = lambda: rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
-    return {"first": some(), "second": some(), "out": some(), "bias": np.log(shares).astype(np.float32)}
+    some = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+    of_node = np.bincount(np.arange(len(shares)) % nodes, shares)
+    within = shares / of_node[np.arange(len(shares)) % nodes]
+    return {
+        "first": some(len(shares)), "second": some(len(shares)), "node": some(nodes), "out": some(len(shares)),
+        "node_bias": np.log(of_node).astype(np.float32), "bias": np.log(within).astype(np.float32),
+    }
 
 
-def _spread(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _spread(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by index."""
     order = np.argsort(index, kind="stable")
     sorted_index = index[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_index[1:] != sorted_index[:-1]]))
-    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    out = np.zeros((n, rows.shape[1]), np.float32)
     out[sorted_index[first]] = np.add.reduceat(rows[order], first, axis=0)
     return out
 
 
-def train(p: dict[str, np.ndarray], shares: np.ndarray, classes: Iterator[np.ndarray], seed: int) -> int:
+def _pull(score: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(score)), without overflow."""
+    return 1 / (1 + np.exp(np.clip(score, -60, 60)))
+
+
+def train(p: dict[str, np.ndarray], shares: np.ndarray, nodes: int, classes: Iterator[np.ndarray], seed: int) -> int:
     """Noise-contrastive steps over texts given as classes, each ending in END; p changes in place. Returns the tokens seen.
 
-    A minibatch has its noise words in common, so their scores are one matrix product.
+    All tokens of a minibatch have their noise nodes in common, those of a node their noise classes, so that noise scores
+    are matrix products. The last minibatch may be smaller and then weighs less.
     """
     rng = np.random.default_rng(seed)
-    edges = np.cumsum(shares)
+    n = len(shares)
+    of_node = np.bincount(np.arange(n) % nodes, shares)
+    edges = np.cumsum(of_node)
+    within = [shares[k::nodes] / of_node[k] for k in range(nodes)]
+    inner = [np.cumsum(x) for x in within]
     squares = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-    offset = np.log(NOISE * shares).astype(np.float32)
     seen = 0
 
+    def contrast(context: np.ndarray, out: np.ndarray, bias: np.ndarray, q: np.ndarray, word: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Derivatives of -log s(good) - sum log(1 - s(bad)): by context, by each good score, by each noise row of out, and by each noise score summed."""
+        offset = np.log(len(noise) * q).astype(np.float32)
+        target, other = out[word], out[noise]
+        g = -_pull((context * target).sum(1) + bias[word] - offset[word])
+        b = _pull(-(context @ other.T + (bias - offset)[noise]))
+        return g[:, None] * target + b @ other, g, b.T @ context, b.sum(0)
+
     def step(text: np.ndarray) -> None:
         word, one, two = text[2:], text[1:-1], text[:-2]
-        noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), CLASSES - 1)
         context = p["first"][one] + p["second"][two]
-        target, other = p["out"][word], p["out"][noise]
-        good = (context * target).sum(1) + p["bias"][word] - offset[word]
-        bad = context @ other.T + (p["bias"] - offset)[noise]
-        # Derivatives of -log s(good) - sum log(1 - s(bad)).
-        g = -1 / (1 + np.exp(np.minimum(good, 60)))
-        b = 1 / (1 + np.exp(np.minimum(-bad, 60)))
-        to_context = g[:, None] * target + b @ other
-        grad = {"first": _spread(one, to_context), "second": _spread(two, to_context), "out": _spread(word, g[:, None] * context)}
-        np.add.at(grad["out"], noise, b.T @ context)
-        grad["bias"] = np.bincount(word, g, CLASSES) + np.bincount(noise, b.sum(0), CLASSES)
+        at = word % nodes
+        noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), nodes - 1)
+        to_context, g, rows, sums = contrast(context, p["node"], p["node_bias"], of_node, at, noise)
+        grad = {"node": _spread(at, g[:, None] * context, nodes), "node_bias": np.bincount(at, g, nodes) + np.bincount(noise, sums, nodes)}
+        np.add.at(grad["node"], noise, rows)
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(nodes + 1))
+        goods = np.zeros(len(word), np.float32)
+        extra, extra_bias = np.zeros((n, WIDTH), np.float32), np.zeros(n)
+        for k in np.flatnonzero(np.diff(bounds)):
+            mine = order[bounds[k] : bounds[k + 1]]
+            drawn = np.minimum(np.searchsorted(inner[k], rng.random(NODE_NOISE)), len(inner[k]) - 1)
+            more, g, rows, sums = contrast(context[mine], p["out"][k::nodes], p["bias"][k::nodes], within[k], word[mine] // nodes, drawn)
+            to_context[mine] += more
+            goods[mine] = g
+            np.add.at(extra, drawn * nodes + k, rows)
+            np.add.at(extra_bias, drawn * nodes + k, sums)
+        grad["out"] = _spread(word, goods[:, None] * context, n) + extra
+        grad["bias"] = np.bincount(word, goods, n) + extra_bias
+        grad["first"], grad["second"] = _spread(one, to_context, n), _spread(two, to_context, n)
         for k, d in grad.items():
-            d = (d / len(word)).astype(np.float32)
+            d = (d / BATCH).astype(np.float32)
             squares[k] += d * d
             p[k] -= RATE * d / np.sqrt(squares[k])
 
@@ -129,32 +172,46 @@ def train(p: dict[str, np.ndarray], shares: np.ndarray, classes: Iterator[np.nda
             step(joined[: BATCH + 2])
             seen += BATCH
             held, size = [joined[BATCH:]], size - BATCH
-    if size > BATCH // 8 or size and not seen:
+    if size:
         step(np.concatenate(held))
         seen += size
     return seen
 
 
-def normalisers(p: dict[str, np.ndarray]) -> np.ndarray:
-    """log of the sum over all classes of exp(score), by (class before, class two before)."""
-    out = np.empty((CLASSES, CLASSES), np.float32)
-    for k in range(CLASSES):
-        scores = (p["first"][k] + p["second"]) @ p["out"].T + p["bias"]
-        most = scores.max(1)
-        out[k] = most + np.log(np.exp(scores - most[:, None]).sum(1))
+def _log_total(scores: np.ndarray) -> np.ndarray:
+    most = scores.max(1)
+    return most + np.log(np.exp(scores - most[:, None]).sum(1))
+
+
+def log_probabilities(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log of the probability of each class `word` after the classes one and, before it, two."""
+    nodes = len(p["node"])
+    out = np.empty(len(word), np.float64)
+    for lo in range(0, len(word), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        context, at = p["first"][one[part]] + p["second"][two[part]], word[part] % nodes
+        scores = context @ p["node"].T + p["node_bias"]
+        logs = scores[np.arange(len(at)), at] - _log_total(scores)
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(nodes + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            mine = order[bounds[k] : bounds[k + 1]]
+            scores = context[mine] @ p["out"][k::nodes].T + p["bias"][k::nodes]
+            logs[mine] += scores[np.arange(len(mine)), word[part][mine] // nodes] - _log_total(scores)
+        out[part] = logs
     return out
 
 
-def text_score(p: dict[str, np.ndarray], logs: np.ndarray, text: np.ndarray) -> float:
-    """log10 of the probability of a text given as classes, END last; two END stand before it."""
-    total = 0.0
-    text = np.concatenate([np.full(2, END), text])
-    for at in range(0, len(text) - 2, 1 << 16):
-        part = text[at : at + (1 << 16) + 2]
-        word, one, two = part[2:], part[1:-1], part[:-2]
-        score = ((p["first"][one] + p["second"][two]) * p["out"][word]).sum(1) + p["bias"][word] - logs[one, two]
-        total += float(score.sum(dtype=np.float64))
-    return total / np.log(10)
+def text_scores(p: dict[str, np.ndarray], texts_: list[np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each text given as classes, END last; two END stand before it."""
+    sizes = [len(x) for x in texts_]
+    word = np.concatenate(texts_)
+    first = np.cumsum([0, *sizes[:-1]])
+    one, two = np.roll(word, 1), np.roll(word, 2)
+    one[first] = two[first] = END
+    second = first[np.array(sizes) > 1] + 1
+    two[second] = END
+    return np.add.reduceat(log_probabilities(p, one, two, word), first) / np.log(10)
 
 
 def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,18 +232,24 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7, id_col: str = "
     all_tokens, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     top = counts.orderBy(F.desc("count"), "hash").limit(HOT).toArrow()  # HOT rows at most
     top = top.take(np.lexsort((top.column(0).to_numpy(), -top.column(1).to_numpy())))
-    hot = Hot(top.column(0).to_numpy(), top.column(1).to_numpy())
-    of_class = np.zeros(CLASSES)
-    own = top.column(1).to_numpy()[: CLASSES - 2]
-    of_class[2 : 2 + len(own)] = own
+    hot = Classes(sums["v"], top.column(0).to_numpy(), top.column(1).to_numpy())
+    # Of each tail class, the counts and the number of its words: a row for each class.
+    tail = counts.groupBy((F.lit(hot.number - hot.tail) + F.pmod("hash", F.lit(hot.tail))).alias("class")).agg(F.sum("count").alias("n"), F.count("*").alias("v"))
+    of_class, of_words = np.zeros(hot.number), np.zeros(hot.number)
+    for x in tail.collect():
+        of_class[x["class"]], of_words[x["class"]] = x["n"], x["v"]
+    own, own_counts = top.column(0).to_numpy()[: hot.own], top.column(1).to_numpy()[: hot.own]
+    np.subtract.at(of_class, hot.of_tail(own), own_counts)
+    np.subtract.at(of_words, hot.of_tail(own), 1)
+    of_class[1 : 1 + hot.own] = own_counts
     of_class[END] = ends
-    of_class[OTHER] = all_tokens - of_class.sum()
-    shares = (of_class + 1) / (of_class.sum() + CLASSES)
-    # Words of the class of others, one unknown word more: their add-one shares sum to 1.
-    others = float(of_class[OTHER] + (sums["v"] - len(own)) + 1)
+    shares = (of_class + 1) / (of_class.sum() + hot.number)
+    # In a tail class there is one unknown word more: add-one shares of its words sum to 1.
+    log_sizes = np.zeros(hot.number)
+    log_sizes[hot.number - hot.tail :] = np.log10((of_class + of_words + 1)[hot.number - hot.tail :])
     shared = spark.sparkContext.broadcast(hot)
 
-    p = start(shares)
+    p = start(shares, hot.nodes)
     names = list(p)
     shapes = [p[k].shape for k in names]
     for turn in range(ROUNDS):
@@ -195,7 +258,7 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7, id_col: str = "
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             mine = {k: v.copy() for k, v in told.value.items()}
             classes = (np.append(shared.value.find(h)[0], END) for _, h, _ in _words(b.select(["doc_id", "text"]) for b in batches))
-            weight = train(mine, shares, classes, TaskContext.get().partitionId())
+            weight = train(mine, shares, hot.nodes, classes, TaskContext.get().partitionId())
             flat = np.concatenate([mine[k].ravel() for k in names]).astype(np.float64) * weight
             if weight:
                 n = len(flat)
@@ -211,27 +274,37 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7, id_col: str = "
             p = {k: x.reshape(shape) for k, x, shape in zip(names, np.split(flat, cuts), shapes, strict=True)}
 
     model = spark.sparkContext.broadcast(p)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_known double, sum_others double, n_others long, score double, rare array<long>, times array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_known double, sum_tail double, score double, rare array<long>, times array<long>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = normalisers(model.value)
         k = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(8)]
+            held: list[np.ndarray] = []
+            scores: list[np.ndarray] = []
+            size = 0
             for row, h, _ in _words(iter([batch.select(["doc_id", "text"])])):
                 classes, n = shared.value.find(h)
                 rare, times = np.unique(h[n == 0], return_counts=True)
-                logged = np.log10(n[n > 0] + 1.0)
-                other = (n > 0) & (classes == OTHER)
+                in_tail = classes >= shared.value.number - shared.value.tail
                 values = (
-                    k + row, len(h) + 1, int((n > 0).sum()) + (ends > 0), float(logged.sum()) + np.log10(ends + 1.0),
-                    float(np.log10(n[other] + 1.0).sum()), int((classes == OTHER).sum()), text_score(model.value, logs, np.append(classes, END)), rare, times.astype(np.int64),
+                    k + row, len(h) + 1, int((n > 0).sum()) + (ends > 0), float(np.log10(n[n > 0] + 1.0).sum()) + np.log10(ends + 1.0),
+                    float(np.log10(n[in_tail] + 1.0).sum() - log_sizes[classes].sum()), rare, times.astype(np.int64), None,
                 )
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
+                held.append(np.append(classes, END))
+                size += len(h) + 1
+                if size > 1 << 18:
+                    scores.append(text_scores(model.value, held))
+                    held, size = [], 0
+            if held:
+                scores.append(text_scores(model.value, held))
             k += batch.num_rows
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
+            out[7] = np.concatenate(scores) if scores else []
+            rows_, n_tokens, n_known, known, tails, rare, times, scored = out
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = [pa.array(x, t) for x, t in zip((rows_, n_tokens, n_known, known, tails, scored, rare, times), kinds, strict=True)]
             columns[1:1] = [batch.column(0), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
@@ -239,9 +312,9 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7, id_col: str = "
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     found = rare.join(counts, "hash").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("sum_more"))
     out = scored.drop("rare", "times").join(found, "row", "left").na.fill(0, ["more", "sum_more"])
-    others_score = F.col("sum_others") + F.col("sum_more") - F.col("n_others") * F.lit(float(np.log10(others)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
         (F.col("sum_known") + F.col("sum_more") - F.col("n_tokens") * F.lit(float(np.log10(all_tokens + distinct + 1)))).alias("base_score"),
-        (F.col("score") + others_score).alias("score"),
+        # Words beyond the most frequent ones are all in the tail.
+        (F.col("score") + F.col("sum_tail") + F.col("sum_more")).alias("score"),
     )
