@@ -91,6 +91,68 @@ def test_ngram_join_of_many_copies_and_chains(spark):
     assert got == names
 
 
+def test_components_of_an_ordered_chain_take_few_rounds(spark, monkeypatch):
+    from tickloom.llm import components
+
+    rounds, contract = [], components.contract
+    monkeypatch.setattr(components, "contract", lambda edges, turn: rounds.append(turn) or contract(edges, turn))
+    links = spark.range(2000).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(5000, 4000), (7, 7)], "a long, b long"))
+    got = {r.node: r.component for r in components.connected(links).collect()}
+    assert got == {**{k: 0 for k in range(2001)}, 4000: 4000, 5000: 4000}
+    assert len(rounds) <= 12
+    assert components.connected(links.limit(0)).count() == 0
+
+
+def test_first_of_each_of_repeated_ids(spark):
+    from tickloom.llm.ngram_join import first_of_each
+
+    base = " ".join(NEAR)
+    rows = [(1, base, 5, 1), (1, base, 5, 1), (1, base, 4, 1), (1, "quite another text under the same id", 1, 1), (2, base, 3, 1), (2, "two of its own words here", 3, 1), (3, "", 0, 1), (3, "", 0, 1), (None, base, 9, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key int, bucket int").repartition(3)
+    got = sorted((tuple(r) for r in first_of_each(table).collect()), key=str)
+    assert got == sorted([(1, base, 4, 1), rows[3], rows[5], rows[6], rows[7], rows[8]], key=str)
+    assert first_of_each(table.limit(0)).count() == 0 and first_of_each(table).columns == table.columns
+
+
+def test_words_that_are_alike_only_in_power_sums():
+    import pyarrow as pa
+
+    from tickloom.llm.wordhash import PLACES, texts
+
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = ["".join("ab"[x] for x in morse), "".join("ba"[x] for x in morse), "x" * PLACES + "Ab", "X" * PLACES + "aB", "x" * PLACES + "ba"]
+    h = [int(w[0]) for _, w in texts(pa.array(rows))]
+    assert h[2] == h[3] and len(set(h)) == 4
+
+
+def test_top_k_of_ties_large_numbers_and_few_rows(spark):
+    from tickloom.llm.topk_search import Search, bucket_of, lengths, top_k
+
+    big = 2.0**20
+    rows = [(0, [big, 1.0], 7), (1, [big, 2.0], 7), (2, [big, 2.0], 7), (3, [big, 1.0], 7), (50, [0.0, 0.0], 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    own = {k: [int(256 * x) for x in v] for k, v, _ in rows}
+    want = []
+    for query in (0, 50):
+        best = sorted((-sum(x * y for x, y in zip(own[query], own[k], strict=True)), k) for k in own if k != query)[:5]
+        want += [(query, r, k, -s) for r, (s, k) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in top_k(table).collect()) == sorted(want)
+    # Every way of pruning is taken, and none changes the result.
+    rng = np.random.default_rng(3)
+    vectors = (rng.normal(size=(4000, 6)) * 300 * rng.choice([0.2, 0.5, 1], (4000, 1))).astype(np.int64)
+    vectors[:, 0] *= 20
+    ids, most = np.arange(4000), {}
+    for b, x in zip(bucket_of(lengths(vectors)).tolist(), lengths(vectors).tolist(), strict=True):
+        most[b] = max(most.get(b, 0), x)
+    search = Search(ids[:40], vectors[:40], 5)
+    for at in range(0, 4000, 500):
+        search.add(ids[at : at + 500], vectors[at : at + 500], most)
+    assert search.skipped and search.pruned and search.verified < 40 * 4000
+    for q in range(40):
+        scores = vectors @ vectors[q]
+        assert search.ids[q].tolist() == [k for k in np.lexsort((ids, -scores)) if k != q][:5]
+
+
 def test_top_k(spark):
     from tickloom.llm.topk_search import top_k
 
@@ -129,6 +191,23 @@ def test_secret_scan(docs, none):
     assert clean[13] == "password=abc [SECRET]' [SECRET] [SECRET]" and clean[0] is None and clean[8] == LONG
 
 
+def test_secrets_in_many_repositories_are_examples(spark):
+    from tickloom.llm.secret_scan import MOST_REPOSITORIES, redact_secrets, scan_secrets
+
+    value, rare = "q1w2e3r4t5y6u7i8o9p0zz", "m1n2b3v4c5x6z7l8k9j0hh"
+    rows = [(k, f"key {value} here {k}", "s0", 1, "x") for k in range(MOST_REPOSITORIES + 1)] + [(50 + k, f"key {rare} there {k}", "s0", 1, "x") for k in range(MOST_REPOSITORIES)]
+    rows += [(99, None, None, 1, "x"), (None, f"password={rare}", None, 1, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _hash int, known string")
+    got = {r.doc_id: r for r in scan_secrets(table).collect()}
+    # A second owner, here the null one, makes the rare value an example too.
+    assert all(r.spans == "" for k, r in got.items() if k is not None and k != 99) and got[None].n_assign == 1 and got[None].n_example == 1
+    got = {r.doc_id: r for r in scan_secrets(table.where("doc_id is not null")).collect()}
+    assert got[0].spans == "" and got[50].spans == "owned:4:26" and got[50].n_live == 1
+    clean = redact_secrets(table)
+    assert clean.columns == table.columns and clean.count() == len(rows) and redact_secrets(table.limit(0)).count() == 0
+    assert {r._hash for r in clean.collect()} == {1} and {r.text for r in clean.where("doc_id is null").collect()} == {"[SECRET]"}
+
+
 def test_secrets_held_by_many_owners_are_no_proposals(spark):
     from tickloom.llm.secret_scan import scan_secrets
 
@@ -204,16 +283,48 @@ def test_language_model_learns_and_is_normalised():
     from tickloom.llm import lm_score as lm
 
     rng = np.random.default_rng(4)
-    texts = [np.array([2 + (k + i) % 5 for i in range(20)] + [lm.END]) for k in rng.integers(0, 5, 4000)]
-    counts = np.bincount(np.concatenate(texts), minlength=lm.CLASSES)
-    shares = (counts + 1) / (counts.sum() + lm.CLASSES)
-    p = lm.start(shares)
-    before = sum(lm.text_score(p, lm.normalisers(p), t) for t in texts[:20])
-    assert lm.train(p, shares, iter(texts), 0) > 0
-    logs = lm.normalisers(p)
-    assert sum(lm.text_score(p, logs, t) for t in texts[:20]) > before / 2
-    one = [10 ** lm.text_score(p, logs, np.array([w])) for w in range(lm.CLASSES)]
-    assert abs(sum(one) - 1) < 1e-4
+    hot = lm.Classes(2000, np.arange(5), np.array([9, 8, 7, 6, 5]))
+    assert hot.find(np.array([0, 4, 77]))[0].tolist() == [1, 5, hot.number - hot.tail + 77 % hot.tail]
+    texts = [np.array([1 + (k + i) % 5 for i in range(20)] + [lm.END]) for k in rng.integers(0, 5, 4000)]
+    counts = np.bincount(np.concatenate(texts), minlength=hot.number)
+    shares = (counts + 1) / (counts.sum() + hot.number)
+    p = lm.start(shares, hot.nodes)
+    before = lm.text_scores(p, texts[:20]).sum()
+    unigram = sum(np.log10(shares[t]).sum() for t in texts[:20])
+    assert abs(before - unigram) < 0.02 * abs(unigram)
+    # Every token is trained on, those of the last, small minibatch too.
+    assert lm.train(p, shares, hot.nodes, iter(texts), 0) == 4000 * 21
+    assert lm.text_scores(p, texts[:20]).sum() > before / 2
+    one = 10.0 ** np.array([lm.text_scores(p, [np.array([w])])[0] for w in range(hot.number)])
+    assert abs(one.sum() - 1) < 1e-4
+
+    def plain(text):
+        total, one, two = 0.0, lm.END, lm.END
+        for w in text:
+            context = (p["first"][one] + p["second"][two]).astype(float)
+            node = np.exp(p["node"] @ context + p["node_bias"])
+            mine = np.exp(p["out"][w % hot.nodes :: hot.nodes] @ context + p["bias"][w % hot.nodes :: hot.nodes])
+            total += math.log10(node[w % hot.nodes] / node.sum() * mine[w // hot.nodes] / mine.sum())
+            one, two = w, one
+        return total
+
+    several = [np.array([lm.END]), texts[0], np.array([7, lm.END]), texts[1]]
+    assert np.allclose(lm.text_scores(p, several), [plain(t) for t in several], rtol=1e-4)
+
+
+def test_language_model_beats_unigrams_on_held_out_texts(spark):
+    from tickloom.llm.lm_score import score_texts
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(3000):
+        at, text = int(rng.integers(0, 300)), []
+        for _ in range(60):
+            text.append(f"w{at}")
+            at = (at * 7 + 3) % 300 if rng.random() < 0.9 else int(rng.integers(0, 300))
+        rows.append((k, " ".join(text)))
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").head()
+    assert got.s > 0.97 * got.b
 
 
 def test_quality_rules(spark, docs, none):
@@ -345,6 +456,41 @@ def test_mixing(docs, none, spark):
     assert mixed_documents(docs, [3, 1, 2]).columns == docs.columns
 
 
+def test_mixed_documents_follow_the_cut(spark):
+    from tickloom.llm.mixing import mix_sources, mixed_documents
+
+    rows = [(k, " ".join(["w"] * (k % 9)), f"s{k % 3}" if k % 10 else None, k, "x") for k in range(300)] + [(7, "one two", "s1", 7, "x")] * 2 + [(900, None, "void", 1, "x"), (901, "", "void", 1, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, epochs int, last string").repartition(3)
+    mix = mix_sources(table, [3, 1, 2]).toPandas()
+    mix["source"] = mix.source.fillna("none")
+    groups = mix[mix["size"] > 0].groupby(["source", "doc_id", "text_hash", "size"]).agg(share=("taken", "sum"), n=("taken", "size")).reset_index()
+    want = collections.Counter()
+    for r in groups.itertuples():
+        want[r.doc_id, r.size] += r.n * int(r.share / (r.n * r.size) + 0.5)
+    got = collections.Counter()
+    out = mixed_documents(table, [3, 1, 2])
+    for r in out.collect():
+        got[r.doc_id, len(words(r.text))] += 1
+    assert {k: v for k, v in got.items() if k[1]} == {k: v for k, v in want.items() if v}
+    assert out.columns == table.columns and got[900, 0] == got[901, 0] == 1
+    assert 0 < sum(v for k, v in got.items() if not k[1] and k[0] < 900)
+    assert mixed_documents(table.limit(0), [3, 1, 2]).count() == 0
+
+
+def test_url_rules_as_a_table(spark):
+    from tickloom.llm.url_filter import RULES, judge_urls, rule_table
+
+    urls = ["http://ads.Example.com/en/72?q", None, "no scheme", "x://" + "a/" * 20000 + "casino", "http://my-casino.net/de/x", "://net/de/", "http://casinos.org/"]
+    pages = spark.createDataFrame([(k, u, "x", 1) for k, u in enumerate([*urls, urls[0]])] + [(None, urls[4], "y", 2)], "page_id long, url string, rule string, host int")
+    got = sorted((tuple(r) for r in judge_urls(pages).collect()), key=str)
+    said = {r[0]: r[3:] for r in got}
+    assert said[0] == said[7] == ("example.com/en/7", "allow") and said[1] == said[2] == said[6] == (None, "allow")
+    assert said[4] == said[None] == ("net/de/", "block") and said[5] == ("net/de/", "block") and said[3] == (None, "allow") and len(got) == 9
+    for other in (judge_urls(pages, rule_table(spark, RULES)), judge_urls(pages, RULES, most_rules=0)):
+        assert sorted((tuple(r) for r in other.collect()), key=str) == got
+    assert judge_urls(pages.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
