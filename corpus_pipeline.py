@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -47,11 +48,16 @@ STAGES = [
     ("mixing sources", mixture),
     ("best-fit packing", packed),
 ]
-#: SQL can't express the packing by a tokenizer's ids; the tests hold the stages against brute force.
+#: SQL can't express the packing by a tokenizer's ids; the tests hold every stage's rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each reading the table that the one before it wrote.
+
+    Null and empty texts fall to the quality rules, rows without an id pass the join of near duplicates, rows alike are
+    one there; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
