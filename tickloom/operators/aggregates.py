@@ -115,7 +115,7 @@ OPERATORS = [
         "agg_31",
         """with p as (select session_date, volume as x, close - open as y from {daily}), r as (select session_date, rank() over (partition by session_date order by x) + (count(*) over (partition by session_date, x) - 1) / 2e0 as rx,
           rank() over (partition by session_date order by y) + (count(*) over (partition by session_date, y) - 1) / 2e0 as ry from p)
-        select session_date, round(corr(rx, ry), 6) as ic, count(*) as n from r group by session_date""",
+        select session_date, round(corr(rx, ry), 6) + 0e0 as ic, count(*) as n from r group by session_date""",
     ),
     Operator("agg_32", "select symbol, count(*) as n, round(avg(close - open), 6) as mean, round(avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0), 6) as t from {daily} group by symbol having count(*) > 2"),
     Operator(

@@ -56,7 +56,5 @@ OPERATORS = [
     Operator("bkt_18", "with o as (select symbol, session_date, max(high) as range_high from {bars} where slot < 4 group by symbol, session_date), b as (select b.symbol, b.session_date, min(b.slot) as breakout from {bars} b join o on o.symbol = b.symbol and o.session_date = b.session_date where b.slot >= 4 and b.close > o.range_high group by b.symbol, b.session_date) select symbol, session_date, breakout from b"),
     Operator("bkt_20", "with t as (select symbol, session_date < date '2024-01-16' as discovery, close - open as x from {daily}) select symbol, count(*) filter (where discovery) as n_discovery, round(avg(case when discovery then x end), 6) as mean_discovery, count(*) filter (where not discovery) as n_holdout, round(avg(case when not discovery then x end), 6) as mean_holdout from t group by symbol"),
     Operator("str_01", "select symbol, @seconds(ts) - @seconds(ts) % 60 as minute, min_by(price, ts) as open, max(price) as high, min(price) as low, max_by(price, ts) as close, count(*) as n from {ticks} group by symbol, @seconds(ts) - @seconds(ts) % 60"),
-    Operator("str_04", "with t as (select event_id, symbol, session_date, sum(size) over (partition by symbol, session_date order by ts rows between unbounded preceding and current row) as total, ts from {ticks}) select event_id, cast(case when lag(total) over w is null then 0 else greatest(total - lag(total) over w, 0) end as bigint) as delta from t window w as (partition by symbol, session_date order by ts)"),
-    Operator("str_05", "with p as (select event_id, symbol, floor(price / 20) as k, lag(floor(price / 20)) over (partition by symbol order by ts) as before_ from {ticks}) select event_id from p where before_ is null or k != before_"),
     Operator("str_15", "select underlying, session_date, case when price > lag(price) over w and oi > lag(oi) over w then 'LONG_BUILDUP' when lag(price) over w is null then 'UNKNOWN' else 'OTHER' end as buildup from {snapshots} window w as (partition by underlying order by session_date)"),
 ]

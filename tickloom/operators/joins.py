@@ -24,8 +24,8 @@ OPERATORS = [
     Operator(
         "jon_11",
         """with u as (select o_custkey as k, o_orderdate as ts, 0 as side, o_totalprice as v, o_orderkey as id from {orders} where o_orderstatus = 'F' union all select o_custkey, o_orderdate, 1, cast(null as double), o_orderkey from {orders} where o_orderstatus = 'O'),
-        f as (select *, max(v) over (partition by k order by ts, side range between unbounded preceding and current row) as highest from u)
-        select id, highest from f where side = 1""",
+        f as (select *, @last_known(v) over (partition by k order by ts, side, id rows between unbounded preceding and current row) as known from u)
+        select id, known from f where side = 1""",
     ),
     Operator("jon_12", "select c.underlying, c.strike, c.oi as ce_oi, p.oi as pe_oi from {chain} c join {chain} p on p.underlying = c.underlying and p.strike = c.strike and p.side = 'PE' where c.side = 'CE'"),
     Operator("jon_13", "select underlying, session_date, round(oi - lag(oi) over w, 2) + 0e0 as d_oi, round(price - lag(price) over w, 4) + 0e0 as d_price from {snapshots} window w as (partition by underlying order by session_date)"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tickloom.plans.dialect import Operator
 
 OPERATORS = [
-    Operator("fn_01", "select event_id, @text_of(ts) || ' IST' as stamp from {ticks}"),
+    Operator("fn_01", "select event_id, @in_zone(ts) || ' IST' as stamp from {ticks}"),
     Operator("fn_02", "select distinct slot, slot * 60 as minute_of_day, lpad(cast(slot as varchar(2)), 2, '0') || ':00' as label from {ticks}"),
     Operator("fn_03", "select distinct session_date, cast(@iso_week(session_date) as int) as iso_week, cast(floor((@days(session_date) + 3) / 7e0) as bigint) as week_id, @weekday(session_date) as weekday from {ticks}"),
     Operator("fn_05", "select o_orderkey, case when o_orderdate < timestamp '1996-01-01 00:00:00' then 75 when o_orderdate < timestamp '1999-01-01 00:00:00' then 50 else 25 end as lot_size from {orders}"),
@@ -26,7 +26,7 @@ OPERATORS = [
     Operator("fn_23", "select event_id, 'evt_' || substr(@digest(symbol || '|' || cast(session_date as varchar(10)) || '|' || cast(event_id as varchar(20))), 1, 16) as id from {ticks}"),
     Operator("fn_25", "select sector, @digest(@listed(lpad(cast(symbol as varchar(20)), 8, '0'))) as fingerprint from (select distinct sector, symbol from {daily}) x group by sector"),
     Operator("fn_26", "select event_id, coalesce(@json_int(props, last_price), @json_int(props, k)) as k from {events}"),
-    Operator("fn_27", "select doc_id, @try_double(substr(text, 1, 3)) as number_ from {documents}"),
+    Operator("fn_27", "select event_id, case when not @try_double(value_) in (cast('NaN' as double), cast('Infinity' as double), cast('-Infinity' as double)) then @try_double(value_) end as number_ from (select event_id, case event_id % 5 when 0 then cast(size as varchar(20)) when 1 then 'NaN' when 2 then 'true' when 3 then ' 1e2 ' else '' end as value_ from {ticks}) x"),
     Operator("fn_35", "select symbol, round(stddev_samp(close) / sqrt(count(*)), 6) as se, round(2486e-3 * stddev_samp(close) / sqrt(count(*)), 6) as detectable from {daily} group by symbol having count(*) > 1"),
     Operator("fn_37", "select @digest('close > open') = @digest('close > open') as locked, @digest('close > open') as definition from {region} where r_regionkey = 0"),
     Operator("fn_38", "select count(distinct symbol) as instruments, count(distinct symbol) * 2 as requests, round(count(distinct symbol) * 2 / 120e0, 4) as minutes, count(*) * 48 as bytes_ from {daily}"),

@@ -29,6 +29,10 @@ CALLS = {
     "replaced": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "listed": ("array_join(sort_array(collect_list({0})), ',')", "coalesce(array_to_string(list_sort(list({0})), ','), '')"),
     "weekday": ("weekday({0})", "cast(isodow({0}) - 1 as int)"),
+    "as_date": ("try_to_date({0}, {1})", "cast(try_strptime({0}, {2}) as date)"),
+    "hash_part": ("cast(conv(substr(md5({0}), 1, 7), 16, 10) as bigint)", "cast('0x' || substr(md5({0}), 1, 7) as bigint)"),
+    "fixed": ("format_number({0}, '0.00')", "format('{{:.2f}}', {0})"),
+    "in_zone": ("date_format(from_utc_timestamp({0}, 'Asia/Kolkata'), 'yyyy-MM-dd HH:mm:ss')", "strftime({0} + interval 330 minute, '%Y-%m-%d %H:%M:%S')"),
     "text_of": ("date_format({0}, 'yyyy-MM-dd HH:mm:ss')", "strftime({0}, '%Y-%m-%d %H:%M:%S')"),
 }
 _CALL = re.compile(r"@(\w+)\(")

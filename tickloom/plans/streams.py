@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.streaming import replay
+from tickloom.streaming import replay, state
 from tickloom.streaming import ticks as t
 
 #: What the watermark has passed when all ticks are read.
@@ -15,11 +16,63 @@ BARS = f"""select event_type as symbol, date_trunc('hour', ts) as bar_start, arg
     cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as volume, count(*) as n from events where date_trunc('hour', ts) + interval 1 hour <= {UPTO} group by 1, 2"""
 
 
+OPENS = 2 * 3600
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as packets with totals of the day's volume; some are late, repeat a total, fall behind or have none."""
+    e = spark.readStream.schema(spark.read.option("pathGlobFilter", "events.parquet").parquet(sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    seconds, k = F.unix_timestamp("ts"), F.get_json_object("props", "$.k").cast("long")
+    late = F.when(F.col("event_id") % 11 == 0, 7200).otherwise(0)
+    whole = F.floor(seconds % 86400 / 600).cast("long") * 10
+    total = F.when(F.col("event_id") % 17 == 0, 0).when(F.col("event_id") % 13 == 0, whole - 5).otherwise(whole)
+    return e.select(
+        F.col("event_type").alias("symbol"), F.to_date("ts").alias("session_date"), "event_id", F.col("ts").cast("timestamp").alias("received"),
+        (F.floor((seconds - late) / 600) * 600).alias("traded"), total.cast("long").alias("total"), (k % 3).alias("size"), F.floor(F.col("value") / 100).cast("double").alias("price"),
+    )
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    out = replay.replayed(state.judged_stream(_packets(spark, sf_dir), 3600, OPENS))
+    return out.where(F.col("verdict").isin(*names)).select("symbol", "session_date", "event_id", "verdict", "delta")
+
+
+def _verdict_sql(*names: str) -> str:
+    """The same by a recursive query: every tick leads from one state to the next."""
+    listed = ", ".join(f"'{x}'" for x in names)
+    return f"""with recursive p as (select event_type as symbol, cast(ts as date) as day, event_id, floor((floor(epoch(ts))::bigint - case when event_id % 11 = 0 then 7200 else 0 end) / 600)::bigint * 600 as traded,
+      case when event_id % 17 = 0 then 0 else floor(floor(epoch(ts))::bigint % 86400 / 600)::bigint * 10 - case when event_id % 13 = 0 then 5 else 0 end end as total, cast(json_extract(props, '$.k') as bigint) % 3 as size, floor(value / 100) as price,
+      row_number() over (partition by event_type, cast(ts as date) order by ts, event_id) as i from events),
+    f(symbol, day, i, event_id, volume, bar, traded, total, size, price, verdict, delta) as (
+      select symbol, day, 0::bigint, null::bigint, null::bigint, null::bigint, null::bigint, null::bigint, null::bigint, null::double, '', null::bigint from p where i = 1
+      union all
+      select symbol, day, i, event_id,
+        case when verdict in ('no_trade_today', 'pre_open', 'repeated_last_trade', 'duplicate', 'trade') then total_ else volume end, case when verdict in ('duplicate', 'trade') then traded_ // 3600 else bar end,
+        case when verdict = 'trade' then traded_ else traded end, case when verdict = 'trade' then total_ else total end, case when verdict = 'trade' then size_ else size end, case when verdict = 'trade' then price_ else price end,
+        verdict, case when verdict = 'trade' then total_ - coalesce(volume, total_) end
+      from (select f.symbol, f.day, p.i, p.event_id, f.volume, f.bar, f.traded, f.total, f.size, f.price, p.traded as traded_, p.total as total_, p.size as size_, p.price as price_,
+        case when p.total = 0 and coalesce(f.volume, 0) = 0 then 'no_trade_today'
+          when p.traded % 86400 < {OPENS} then case when p.total < f.volume then 'volume_regressed' else 'pre_open' end
+          when p.traded // 3600 < f.bar then case when f.volume is null or p.total = f.volume then 'repeated_last_trade' else 'late' end
+          when p.total < f.volume then 'volume_regressed'
+          when p.traded = f.traded and p.total = f.total and p.size = f.size and p.price = f.price then 'duplicate' else 'trade' end as verdict
+        from f join p on p.symbol = f.symbol and p.day = f.day and p.i = f.i + 1) n)
+    select symbol, day as session_date, event_id, verdict, delta from f where verdict in ({listed})"""
+
+
+#: What each query reports of the ticks' verdicts.
+VERDICTS = {
+    "str_03": ("late", "repeated_last_trade"), "str_04": ("trade", "volume_regressed"), "str_05": ("duplicate",), "str_06": ("pre_open", "no_trade_today"),
+    "str_09": ("no_trade_today", "pre_open", "trade", "late"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "str_02": lambda s, d: replay.replayed(t.closed_bars(t.tick_stream(s, d), "1 hour")),
         "str_14": lambda s, d: replay.followed(t.closed_bars(t.tick_stream(s, d), "1 hour"), t.breadth),
         "str_17": lambda s, d: replay.replayed(t.trailing(t.tick_stream(s, d), "3 hours", "1 hour")),
+        **{name: lambda s, d, names=names: _verdicts(s, d, *names) for name, names in VERDICTS.items()},
     }
 
 
@@ -30,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "str_17": f"""select event_type as symbol, date_trunc('hour', ts) + to_hours(k) as window_end, min(value) as low, max(value) as high, round(avg(value), 6) as mean_price,
           cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as volume, count(*) as n from events cross join (select unnest([1, 2, 3]) as k) x
           where date_trunc('hour', ts) + to_hours(k) <= {UPTO} group by 1, 2""",
+        **{name: _verdict_sql(*names) for name, names in VERDICTS.items()},
     }
