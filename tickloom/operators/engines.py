@@ -8,12 +8,6 @@ from tickloom.plans.dialect import Operator
 Z = "with m as (select symbol, session_date, sector, volume, median(volume) over (partition by symbol) as m from {daily}), z as (select m.*, (volume - m) / nullif(median(abs(volume - m)) over (partition by symbol) * 14826e-4, 0) as z from m)"
 
 OPERATORS = [
-    Operator(
-        "eng_01",
-        f"""select {K}, round(close / nullif(@first_known(open) over s, 0) - 1, 6) as ret_session, round(ln(close / lag(close, 5) over w), 6) + 0e0 as ret_5, round(cast(volume as double) / nullif(avg(volume) over b, 0), 6) as rel_volume,
-        round((close - (min(low) over s)) / nullif((max(high) over s) - (min(low) over s), 0), 6) as range_place from {{grid}}
-        window w as ({DAY}), s as ({DAY} rows between unbounded preceding and current row), b as ({DAY} rows between 10 preceding and 1 preceding)""",
-    ),
     Operator("eng_02", "with r as (select symbol, session_date, sector, close / nullif(open, 0) - 1 as r from {daily}) select session_date, round(median(r), 6) as market_median, round(stddev_samp(r), 4) as dispersion, round(avg(case when r > 0 then 1e0 else 0e0 end), 6) as breadth, count(distinct sector) as sectors from r group by session_date"),
     Operator("eng_03", f"{Z} select symbol, session_date, round(z, 6) as z, case when z is null then 'NONE' when abs(z) >= 5 then 'EXTREME' when abs(z) >= 3 then 'UNUSUAL' else 'NORMAL' end as class, 'HISTORICAL' as baseline from z"),
     Operator(

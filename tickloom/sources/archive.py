@@ -163,17 +163,17 @@ def depth_frames(frames: DataFrame, *keys: str, levels: int = 20) -> DataFrame:
 
     code = hexed(2, 1)
     good = (hexed(0, 2) == F.length("frame")) & code.isin(41, 51) & (F.length("frame") >= 12 + 16 * levels)
-    rows = frames.where(good).select(*keys, signed(hexed(4, 4)).cast("string").alias("security_id"), F.when(code == 41, "bid").otherwise("ask").alias("side"), "frame", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("k"))
+    rows = frames.where(good).select(*keys, signed(hexed(4, 4)).cast("string").alias("security_id"), F.when(code == 41, "bid").otherwise("ask").alias("side"), "frame", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level"))
 
     def part(at: int, n: int) -> Column:
-        cut = [F.hex(F.expr(f"substring(frame, 13 + 16 * k + {at + j}, 1)")) for j in reversed(range(n))]
+        cut = [F.hex(F.expr(f"substring(frame, 13 + 16 * _level + {at + j}, 1)")) for j in reversed(range(n))]
         return F.concat(*cut)
 
     low, high = F.conv(part(0, 4), 16, 10).cast("long"), F.conv(part(4, 4), 16, 10).cast("long")
     exponent, mantissa = F.shiftright(high, 20).bitwiseAND(2047), high.bitwiseAND((1 << 20) - 1) * float(1 << 32) + low
     price = F.when(high >= 1 << 31, -1.0).otherwise(1.0) * F.when(exponent == 0, mantissa * 2.0**-1074).otherwise((mantissa / float(1 << 52) + 1.0) * F.pow(F.lit(2.0), exponent - 1023.0))
     whole = lambda at: F.conv(part(at, 4), 16, 10).cast("long")
-    return rows.select(*keys, "security_id", "side", (F.col("k") + 1).alias("level"), price.alias("price"), whole(8).alias("quantity"), whole(12).alias("orders"))
+    return rows.select(*keys, "security_id", "side", (F.col("_level") + 1).alias("level"), price.alias("price"), whole(8).alias("quantity"), whole(12).alias("orders"))
 
 
 def quote_levels(quotes: DataFrame, *keys: str) -> DataFrame:
@@ -201,12 +201,17 @@ def front_months(master: DataFrame, wanted: DataFrame, today: Column) -> DataFra
     return first.select("symbol", "x.security_id", "x.trading_symbol", "x.expiry").where("security_id != ''")
 
 
+def rfc_822(c: Column) -> Column:
+    """A time like `Mon, 02 Sep 2024 09:15:00 +0530`, null if it is none; the name of the day isn't looked at."""
+    return F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
 def feed_items(feeds: DataFrame, category: str, source: str) -> DataFrame:
     """Items of RSS texts (column xml): id, headline, url, summary, published_at (RFC 822 as a timestamp) and its text."""
     items = feeds.select(F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(0))).alias("item"))
     text = {n: F.trim(F.coalesce(F.xpath_string("item", F.lit(f"item/{n}")), F.lit(""))) for n in ("title", "link", "description", "pubDate", "guid")}
     guid = F.coalesce(*[F.when(text[n] != "", text[n]) for n in ("guid", "link", "title")], F.lit(""))
-    when = F.try_to_timestamp(F.regexp_replace(text["pubDate"], "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    when = rfc_822(text["pubDate"])
     return items.select(
         guid.alias("id"), text["title"].alias("headline"), F.lit(source).alias("source"), F.lit(category).alias("category"), text["link"].alias("url"),
         text["description"].alias("summary"), F.unix_seconds(when).alias("published_at"), F.when(text["pubDate"] != "", text["pubDate"]).alias("published_at_raw"),
