@@ -10,12 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-DAY = W.partitionBy("symbol", "session_date").orderBy("slot")
-SO_FAR = DAY.rowsBetween(W.unboundedPreceding, 0)
+
+
+def _day() -> WindowSpec:
+    return W.partitionBy("symbol", "session_date").orderBy("slot")
+
+
+def _so_far() -> WindowSpec:
+    return _day().rowsBetween(W.unboundedPreceding, 0)
 
 
 def _last(n: int) -> WindowSpec:
-    return DAY.rowsBetween(1 - n, 0)
+    return _day().rowsBetween(1 - n, 0)
 
 
 def _full(agg: Column, x: str, n: int) -> Column:
@@ -36,7 +42,7 @@ class FeatureSpec:
 
 
 def _ret(n: int) -> Callable[[], Column]:
-    return lambda: _log(F.col("close"), F.lag("close", n).over(DAY))
+    return lambda: _log(F.col("close"), F.lag("close", n).over(_day()))
 
 
 #: Twenty features of a stock at a bar.
@@ -46,23 +52,23 @@ FEATURES = {
         FeatureSpec("ret_1", "log", 2, "last move", _ret(1)),
         FeatureSpec("ret_3", "log", 4, "short move", _ret(3)),
         FeatureSpec("ret_5", "log", 6, "move", _ret(5)),
-        FeatureSpec("ret_open", "log", 1, "move since the open", lambda: _log(F.col("close"), F.first("open", True).over(SO_FAR))),
-        FeatureSpec("acceleration", "log", 11, "change of the move", lambda: _ret(5)() - _log(F.lag("close", 5).over(DAY), F.lag("close", 10).over(DAY))),
-        FeatureSpec("range_place", "share", 1, "place in the day's range", lambda: (F.col("close") - F.min("low").over(SO_FAR)) / F.nullif(F.max("high").over(SO_FAR) - F.min("low").over(SO_FAR), F.lit(0.0))),
-        FeatureSpec("range_pct", "percent", 1, "the day's range", lambda: 100 * (F.max("high").over(SO_FAR) - F.min("low").over(SO_FAR)) / F.nullif(F.first("open", True).over(SO_FAR), F.lit(0.0))),
+        FeatureSpec("ret_open", "log", 1, "move since the open", lambda: _log(F.col("close"), F.first("open", True).over(_so_far()))),
+        FeatureSpec("acceleration", "log", 11, "change of the move", lambda: _ret(5)() - _log(F.lag("close", 5).over(_day()), F.lag("close", 10).over(_day()))),
+        FeatureSpec("range_place", "share", 1, "place in the day's range", lambda: (F.col("close") - F.min("low").over(_so_far())) / F.nullif(F.max("high").over(_so_far()) - F.min("low").over(_so_far()), F.lit(0.0))),
+        FeatureSpec("range_pct", "percent", 1, "the day's range", lambda: 100 * (F.max("high").over(_so_far()) - F.min("low").over(_so_far())) / F.nullif(F.first("open", True).over(_so_far()), F.lit(0.0))),
         FeatureSpec("bar_range", "price", 1, "the bar's range", lambda: F.col("high") - F.col("low")),
         FeatureSpec("body", "price", 1, "the bar's body", lambda: F.col("close") - F.col("open")),
         FeatureSpec("volatility_5", "log", 6, "spread of the last moves", lambda: F.when(F.count(F.col("r")).over(_last(5)) == 5, F.stddev_pop("r").over(_last(5)))),
-        FeatureSpec("volume_ratio", "ratio", 10, "volume of the last five bars against the five before", lambda: F.sum("volume").over(_last(5)) / F.nullif(F.sum("volume").over(DAY.rowsBetween(-9, -5)), F.lit(0))),
-        FeatureSpec("volume_so_far", "shares", 1, "the day's volume", lambda: F.sum("volume").over(SO_FAR)),
-        FeatureSpec("vwap_gap", "share", 1, "distance to the day's average price", lambda: F.col("close") / F.nullif(F.sum(F.col("close") * F.col("volume")).over(SO_FAR) / F.nullif(F.sum("volume").over(SO_FAR), F.lit(0)), F.lit(0.0)) - 1),
+        FeatureSpec("volume_ratio", "ratio", 10, "volume of the last five bars against the five before", lambda: F.sum("volume").over(_last(5)) / F.nullif(F.sum("volume").over(_day().rowsBetween(-9, -5)), F.lit(0))),
+        FeatureSpec("volume_so_far", "shares", 1, "the day's volume", lambda: F.sum("volume").over(_so_far())),
+        FeatureSpec("vwap_gap", "share", 1, "distance to the day's average price", lambda: F.col("close") / F.nullif(F.sum(F.col("close") * F.col("volume")).over(_so_far()) / F.nullif(F.sum("volume").over(_so_far()), F.lit(0)), F.lit(0.0)) - 1),
         FeatureSpec("mean_gap_5", "share", 5, "distance to the mean", lambda: F.col("close") / F.nullif(_full(F.avg("close"), "close", 5), F.lit(0.0)) - 1),
-        FeatureSpec("high_gap", "share", 1, "distance to the day's high", lambda: F.col("close") / F.nullif(F.max("high").over(SO_FAR), F.lit(0.0)) - 1),
-        FeatureSpec("low_gap", "share", 1, "distance to the day's low", lambda: F.col("close") / F.nullif(F.min("low").over(SO_FAR), F.lit(0.0)) - 1),
+        FeatureSpec("high_gap", "share", 1, "distance to the day's high", lambda: F.col("close") / F.nullif(F.max("high").over(_so_far()), F.lit(0.0)) - 1),
+        FeatureSpec("low_gap", "share", 1, "distance to the day's low", lambda: F.col("close") / F.nullif(F.min("low").over(_so_far()), F.lit(0.0)) - 1),
         FeatureSpec("up_share_5", "share", 5, "rising bars of the last five", lambda: F.avg(F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0)).over(_last(5))),
-        FeatureSpec("breakout", "flag", 4, "above the highest of the three bars before", lambda: (F.col("close") > F.max("high").over(DAY.rowsBetween(-3, -1))).cast("int").cast("double")),
-        FeatureSpec("gap_bars", "bars", 1, "bars since the one before", lambda: (F.col("slot") - F.lag("slot").over(DAY)).cast("double")),
-        FeatureSpec("bars", "bars", 1, "bars so far", lambda: F.count("close").over(SO_FAR).cast("double")),
+        FeatureSpec("breakout", "flag", 4, "above the highest of the three bars before", lambda: (F.col("close") > F.max("high").over(_day().rowsBetween(-3, -1))).cast("int").cast("double")),
+        FeatureSpec("gap_bars", "bars", 1, "bars since the one before", lambda: (F.col("slot") - F.lag("slot").over(_day())).cast("double")),
+        FeatureSpec("bars", "bars", 1, "bars so far", lambda: F.count("close").over(_so_far()).cast("double")),
     )
 }
 

@@ -13,7 +13,6 @@ OPERATORS = [
         """with b as (select symbol, session_date, slot - slot % 2 as slot, min_by(open, slot) as open, max(high) as high, min(low) as low, max_by(close, slot) as close from {bars} group by symbol, session_date, slot - slot % 2)
         select symbol, session_date, slot - slot % 6 as bucket, min_by(open, slot) as open, max(high) as high, min(low) as low, max_by(close, slot) as close from b group by symbol, session_date, slot - slot % 6""",
     ),
-    Operator("agg_05", "select symbol, cast(date_trunc('week', session_date) as date) as week, max(high) as high, min(low) as low, max_by(close, session_date) as close from {daily} group by symbol, cast(date_trunc('week', session_date) as date)"),
     Operator(
         "agg_06",
         """with p as (select session_date, close as ltp, lag(close) over (partition by symbol order by session_date) as pc from {daily}),
@@ -79,7 +78,6 @@ OPERATORS = [
         select session_date, count(*) filter (where present = 24) as complete, count(*) filter (where present between 1 and 23) as gaps, count(*) filter (where present = 0) as no_data, round(sum(present) / (count(*) * 24e0), 6) as coverage from s group by session_date""",
     ),
     Operator("agg_21", "select session_date, count(*) - count(distinct ts) as duplicates, count(*) filter (where price <= 0) as invalid, count(*) filter (where slot < 9 or slot > 15) as outside_session, count(*) as n from {ticks} group by session_date"),
-    Operator("agg_22", "select b.session_date, b.n as found, m.n as stated, b.n = m.n as matches from (select session_date, cast(sum(n) as bigint) as n from {bars} group by session_date) b join (select session_date, count(*) as n from {ticks} group by session_date) m on m.session_date = b.session_date"),
     Operator(
         "agg_23",
         """with s as (select symbol, session_date, count(close) as present, count(*) filter (where volume = 0) as quiet from {grid} group by symbol, session_date)
@@ -117,7 +115,6 @@ OPERATORS = [
           rank() over (partition by session_date order by y) + (count(*) over (partition by session_date, y) - 1) / 2e0 as ry from p)
         select session_date, round(corr(rx, ry), 6) + 0e0 as ic, count(*) as n from r group by session_date""",
     ),
-    Operator("agg_32", "select symbol, count(*) as n, round(avg(close - open), 6) as mean, round(avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0), 6) as t from {daily} group by symbol having count(*) > 2"),
     Operator(
         "agg_33",
         """with x as (select sector, cast(floor((@days(session_date) + 3) / 7e0) as bigint) as week, close - open as x from {daily}), m as (select *, avg(x) over (partition by sector) as m from x),

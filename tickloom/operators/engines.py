@@ -9,7 +9,6 @@ Z = "with m as (select symbol, session_date, sector, volume, median(volume) over
 
 OPERATORS = [
     Operator("eng_02", "with r as (select symbol, session_date, sector, close / nullif(open, 0) - 1 as r from {daily}) select session_date, round(median(r), 6) as market_median, round(stddev_samp(r), 4) as dispersion, round(avg(case when r > 0 then 1e0 else 0e0 end), 6) as breadth, count(distinct sector) as sectors from r group by session_date"),
-    Operator("eng_03", f"{Z} select symbol, session_date, round(z, 6) as z, case when z is null then 'NONE' when abs(z) >= 5 then 'EXTREME' when abs(z) >= 3 then 'UNUSUAL' else 'NORMAL' end as class, 'HISTORICAL' as baseline from z"),
     Operator(
         "eng_04",
         """with d as (select symbol, session_date, sector, close - lag(close) over (partition by symbol order by session_date) as y from {daily}),
@@ -22,15 +21,11 @@ OPERATORS = [
     Operator("eng_07", "select underlying, session_date, case when count(price) over w >= 20 then round((price - (avg(price) over w)) / nullif(stddev_pop(price) over w, 0), 4) end as z from {snapshots} window w as (partition by underlying order by session_date rows between unbounded preceding and 1 preceding)"),
     Operator("eng_08", f"{Z} select 'evt_' || substr(@digest(cast(symbol as varchar(20)) || '|' || cast(session_date as varchar(10)) || '|volume'), 1, 16) as event_id, symbol, session_date, round(z, 6) as magnitude, case when z / 2 < 15e-1 then 'LOW' when z / 2 < 25e-1 then 'MEDIUM' else 'HIGH' end as severity from z where z >= 2"),
     Operator("eng_10", f"select {K}, round(ln(close / lag(close, 3) over w), 6) + 0e0 as state_return, round(ln(lead(close, 3) over w / close), 6) + 0e0 as outcome from {{grid}} window w as ({DAY})"),
-    Operator("eng_14", "with z as (select symbol, session_date, (close - avg(close) over (partition by symbol)) / nullif(stddev_pop(close) over (partition by symbol), 0) as z from {daily}), t as (select session_date, sum(z) as s, count(z) as n from z group by session_date) select round((sum(s * s) / count(*) - avg(n)) / (avg(n) * (avg(n) - 1)), 6) as mean_correlation from t"),
     Operator("eng_15", "with s as (select session_date, avg(case when close > open then 1e0 else 0e0 end) as breadth, stddev_pop(close) as dispersion from {daily} group by session_date), p as (select *, round((rank() over (order by breadth) - 5e-1) / count(*) over (), 6) as pb, round((rank() over (order by dispersion) - 5e-1) / count(*) over (), 6) as pd from s) select session_date, pb, pd, case when pb >= 8e-1 then 'BROAD_UP' when pb <= 2e-1 then 'BROAD_DOWN' when pd >= 8e-1 then 'DISPERSED' else 'QUIET' end as state from p"),
     Operator("eng_17", "with r as (select underlying, side, iv, row_number() over (partition by underlying, side order by abs(strike - 25), strike) as k from {chain}) select underlying, round(max(case when side = 'CE' then iv end) - max(case when side = 'PE' then iv end), 6) as risk_reversal from r where k = 1 group by underlying"),
     Operator("eng_20", f"{Z}, t as (select z.symbol, z.session_date, coalesce(z.z, 0) as vz, d.close - d.open as drive from z join {{daily}} d on d.symbol = z.symbol and d.session_date = z.session_date), s as (select *, row_number() over (partition by session_date order by round(vz + drive / 50, 6) desc, symbol) as place from t) select session_date, symbol, round(vz + drive / 50, 6) as score from s where place = 1"),
     Operator("eng_24", f"select {K}, lead(open) over o as entry, lead(close, 5) over o as forward_5, max(high) over w as best, min(low) over w as worst from {{grid}} window o as ({DAY}), w as ({DAY} rows between 1 following and 5 following)"),
-    Operator("eng_25", "with p as (select session_date, symbol, volume as signal, lead(close) over (partition by symbol order by session_date) - close as outcome from {daily}), r as (select session_date, rank() over (partition by session_date order by signal) + (count(*) over (partition by session_date, signal) - 1) / 2e0 as a, rank() over (partition by session_date order by outcome) + (count(*) over (partition by session_date, outcome) - 1) / 2e0 as b from p where outcome is not null), i as (select session_date, corr(a, b) as ic from r group by session_date) select count(*) as days, round(avg(ic), 6) as mean_ic, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 4) as t from i"),
-    Operator("eng_26", "with t as (select symbol, count(*) as n, 1 / (1 + abs(avg(close - open)) / nullif(stddev_samp(close - open), 0)) as p from {daily} group by symbol having count(*) > 2), k as (select symbol, p, row_number() over (order by p, symbol) as k, count(*) over () as m from t) select symbol, round(least(min(p * m / k) over (order by k rows between current row and unbounded following), 1e0), 6) as q_value, round(max(least(1e0, (m - k + 1) * p)) over (order by k rows between unbounded preceding and current row), 6) as holm from k"),
     Operator("eng_28", "with t as (select symbol, count(*) as n, avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0) as t from {daily} group by symbol) select symbol, case when n < 20 then 'INSUFFICIENT' when t >= 2 then 'SUPPORTED' when t <= -2 then 'REVERSED' else 'UNPROVEN' end as verdict from t"),
-    Operator("eng_32", "with a as (select symbol, session_date, close, lag(close) over w as r from {daily} window w as (partition by symbol order by session_date)), b as (select symbol, session_date, lag(case when session_date > date '2024-01-20' then close * 37e-1 else close end) over (partition by symbol order by session_date) as r from {daily}) select count(*) as changed from a join b on a.symbol = b.symbol and a.session_date = b.session_date where a.session_date <= date '2024-01-20' and a.r != b.r"),
     Operator("eng_33", "with p as (select symbol, session_date, lag(high) over w as pdh, lag(low) over w as pdl, lag(close) over w as pdc, max(high) over m as high_20, min(low) over m as low_20 from {daily} window w as (partition by symbol order by session_date), m as (partition by symbol order by session_date rows between 20 preceding and 1 preceding)) select symbol, session_date, pdh, pdl, pdc, round((pdh + pdl + pdc) / 3, 6) as pivot, high_20, low_20 from p"),
     Operator("eng_34", f"select {K}, max(high) over s as session_high, min(low) over s as session_low, round(sum(close * volume) over s / nullif(sum(volume) over s, 0), 6) as vwap from {{grid}} window s as ({DAY} rows between unbounded preceding and current row)"),
     Operator("eng_36", "with l as (select symbol, 'high' as kind, max(high) as level from {daily} group by symbol union all select symbol, 'close', max(close) from {daily} group by symbol union all select symbol, 'open', max(open) from {daily} group by symbol) select a.symbol, a.kind as kind_a, b.kind as kind_b from l a join l b on a.symbol = b.symbol and a.kind < b.kind and abs(a.level - b.level) <= a.level * 15e-4"),
@@ -41,14 +36,9 @@ OPERATORS = [
     Operator("eng_43", "with t as (select symbol, close - open as gross from {daily}), c as (select 3e-2 as cost union all select 7e-2 union all select 13e-2) select cost, count(*) as n, round(avg(gross - cost), 6) as net, count(*) filter (where gross > cost) as winners from t cross join c group by cost"),
     Operator("bkt_01", f"with t as (select symbol, session_date, slot + 1 as entry, lead(open) over w as price from {{grid}} window w as ({DAY})), e as (select t.symbol, t.session_date, t.entry, t.price, min(case when g.low <= t.price * 5e-1 then g.slot end) as stopped, min(case when g.high > t.price * 15e-1 then g.slot end) as reached from t join {{grid}} g on g.symbol = t.symbol and g.session_date = t.session_date and g.slot between t.entry and t.entry + 6 where t.price is not null group by t.symbol, t.session_date, t.entry, t.price) select symbol, session_date, entry, case when stopped is not null and (reached is null or stopped <= reached) then 'STOP' when reached is not null then 'TARGET' else 'TIME' end as exit_reason, least(coalesce(stopped, entry + 6), coalesce(reached, entry + 6)) as exit_slot from e"),
     Operator("bkt_04", "with t as (select symbol, session_date, round(100 * (close / nullif(open, 0) - 1), 6) as gross from {daily}), c as (select 'zero' as scenario, 0e0 as cost union all select 'low', 3e-2 union all select 'base', 7e-2 union all select 'high', 13e-2) select scenario, symbol, round(avg(gross - cost), 4) as net from t cross join c group by scenario, symbol"),
-    Operator("bkt_06", "select 'EVENT' as family, symbol, cast(count(*) filter (where close > open) as bigint) as n from {bars} group by symbol union all select 'SLOT', cast(slot as varchar(5)), count(*) from {bars} group by slot union all select 'DOW', cast(@weekday(session_date) as varchar(5)), count(*) from {bars} group by @weekday(session_date)"),
-    Operator("bkt_07", "with f as (select symbol, session_date, slot, lead(close, 3) over w / nullif(lead(open) over w, 0) - 1 as r, close > open as up from {grid} window w as (partition by symbol, session_date order by slot)) select symbol, up, count(r) as n, round(avg(case when r > 0 then 1e0 when r is not null then 0e0 end), 6) as win from f where up is not null group by symbol, up"),
     Operator("bkt_08", "select slot, count(*) as n, round(avg(close - open), 6) as baseline from {bars} group by slot"),
-    Operator("bkt_09", "with w as (select 0 as k union all select 1 union all select 2), p as (select k, date '2024-01-01' as d0 from w), t as (select p.k, d.symbol, avg(case when @days(d.session_date) < @days(p.d0) + 15 + 5 * p.k then d.close - d.open end) as train, avg(case when @days(d.session_date) >= @days(p.d0) + 15 + 5 * p.k and @days(d.session_date) < @days(p.d0) + 20 + 5 * p.k then d.close - d.open end) as test from {daily} d cross join p group by p.k, d.symbol) select k, count(*) as symbols, count(*) filter (where sign(train) = sign(test)) as agree from t group by k"),
     Operator("bkt_11", f"with p as (select {K}, open, close, low, min(low) over w as floor_ from {{grid}} window w as ({DAY} rows between 5 preceding and 1 preceding)) select {K} from p where low < floor_ and close > floor_"),
     Operator("bkt_16", f"with r as (select {K}, close, high - low as width, max(high) over w as top, max(high - low) over w as widest from {{grid}} window w as ({DAY} rows between 3 preceding and 1 preceding)) select {K} from r where close > top and widest < 100"),
-    Operator("bkt_18", "with o as (select symbol, session_date, max(high) as range_high from {bars} where slot < 4 group by symbol, session_date), b as (select b.symbol, b.session_date, min(b.slot) as breakout from {bars} b join o on o.symbol = b.symbol and o.session_date = b.session_date where b.slot >= 4 and b.close > o.range_high group by b.symbol, b.session_date) select symbol, session_date, breakout from b"),
-    Operator("bkt_20", "with t as (select symbol, session_date < date '2024-01-16' as discovery, close - open as x from {daily}) select symbol, count(*) filter (where discovery) as n_discovery, round(avg(case when discovery then x end), 6) as mean_discovery, count(*) filter (where not discovery) as n_holdout, round(avg(case when not discovery then x end), 6) as mean_holdout from t group by symbol"),
     Operator("str_01", "select symbol, @seconds(ts) - @seconds(ts) % 60 as minute, min_by(price, ts) as open, max(price) as high, min(price) as low, max_by(price, ts) as close, count(*) as n from {ticks} group by symbol, @seconds(ts) - @seconds(ts) % 60"),
     Operator("str_15", "select underlying, session_date, case when price > lag(price) over w and oi > lag(oi) over w then 'LONG_BUILDUP' when lag(price) over w is null then 'UNKNOWN' else 'OTHER' end as buildup from {snapshots} window w as (partition by underlying order by session_date)"),
 ]

@@ -35,6 +35,5 @@ OPERATORS = [
     Operator("set_03", "select symbol from {daily} where session_date = date '2024-01-02' intersect select symbol from {daily} where session_date = date '2024-01-03'"),
     Operator("set_04", "select symbol from {daily} where session_date = date '2024-01-02' except select symbol from {daily} where session_date = date '2024-01-03'"),
     Operator("set_05", "with t as (select session_date, symbol from (select session_date, symbol, row_number() over (partition by session_date order by volume desc, symbol) as k from {daily}) x where k <= 15), d as (select session_date, lag(session_date) over (order by session_date) as before_ from (select distinct session_date from t) y) select d.session_date, round(1 - cast(count(p.symbol) as double) / count(*), 6) as turnover from d join t on t.session_date = d.session_date left join t p on p.session_date = d.before_ and p.symbol = t.symbol where d.before_ is not null group by d.session_date"),
-    Operator("set_06", "with p as (select symbol, symbol % 3 as node from (select distinct symbol from {daily}) x) select count(*) = count(distinct symbol) as disjoint, count(*) as covered, count(distinct node) as nodes from p"),
     Operator("set_07", "select doc_id as item, lang as published from {documents} where lang = 'en' union all select page_id as item, 'page' as published from {pages}"),
 ]

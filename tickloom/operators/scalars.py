@@ -19,7 +19,6 @@ OPERATORS = [
     Operator("fn_14", "select event_id, case when price / 20 < 15e-1 then 'LOW' when price / 20 < 25e-1 then 'MEDIUM' else 'HIGH' end as severity from {ticks}"),
     Operator("fn_17", "select underlying, strike, side, round(case when iv > 3 then iv / 100 else iv end, 6) as iv from {chain}"),
     Operator("fn_18", "with s as (select c.underlying, c.strike, c.iv as ce, p.iv as pe from {chain} c join {chain} p on p.underlying = c.underlying and p.strike = c.strike and p.side = 'PE' where c.side = 'CE') select underlying, strike, round(ce + pe, 6) as straddle, round((ce + pe) * strike * sqrt(1 / 252e0), 6) as implied_sd from s"),
-    Operator("fn_19", "select symbol, session_date, round((high + low + close) / 3, 6) as pp, round(2 * (high + low + close) / 3 - low, 6) as r1, round(2 * (high + low + close) / 3 - high, 6) as s1, round((high + low + close) / 3 + (high - low), 6) as r2, round((high + low + close) / 3 - (high - low), 6) as s2, round((high + low) / 2, 6) as bc from {daily}"),
     Operator("fn_20", "select symbol, session_date, slot, case when abs(close - open) < 1 then 2 when close - open > 20 then 4 when close > open then 3 when open - close > 20 then 0 else 1 end as candle_class from {bars}"),
     Operator("fn_21", "with c as (select symbol, session_date, slot, case when close - open > 20 then 4 when close > open then 3 when open - close > 20 then 0 else 1 end as c from {bars}) select symbol, session_date, slot, lag(c, 2) over w * 25 + lag(c) over w * 5 + c as motif from c window w as (partition by symbol, session_date order by slot)"),
     Operator("fn_22", "with c as (select symbol, session_date, slot, case when close > open then 'U' when close < open then 'D' else 'F' end as c from {bars}) select symbol, session_date, slot, lag(c, 2) over w || lag(c) over w || c as motif from c window w as (partition by symbol, session_date order by slot)"),
@@ -28,6 +27,5 @@ OPERATORS = [
     Operator("fn_26", "select event_id, coalesce(@json_int(props, last_price), @json_int(props, k)) as k from {events}"),
     Operator("fn_27", "select event_id, case when not @try_double(value_) in (cast('NaN' as double), cast('Infinity' as double), cast('-Infinity' as double)) then @try_double(value_) end as number_ from (select event_id, case event_id % 5 when 0 then cast(size as varchar(20)) when 1 then 'NaN' when 2 then 'true' when 3 then ' 1e2 ' else '' end as value_ from {ticks}) x"),
     Operator("fn_35", "select symbol, round(stddev_samp(close) / sqrt(count(*)), 6) as se, round(2486e-3 * stddev_samp(close) / sqrt(count(*)), 6) as detectable from {daily} group by symbol having count(*) > 1"),
-    Operator("fn_37", "select @digest('close > open') = @digest('close > open') as locked, @digest('close > open') as definition from {region} where r_regionkey = 0"),
     Operator("fn_38", "select count(distinct symbol) as instruments, count(distinct symbol) * 2 as requests, round(count(distinct symbol) * 2 / 120e0, 4) as minutes, count(*) * 48 as bytes_ from {daily}"),
 ]

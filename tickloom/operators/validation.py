@@ -33,7 +33,6 @@ OPERATORS = [
         """with r as (select symbol, case when price is null then 'non_numeric' when slot < 9 or slot >= 16 then 'outside_session' when price < 1 then 'invalid_ohlc' else 'accepted' end as reason from {ticks})
         select symbol, reason, count(*) as n from r group by symbol, reason""",
     ),
-    Operator("flt_12", "select event_id, round(price, 4) as price, @text_of(ts) || ' IST' as stamp from {ticks}"),
     Operator("flt_13", "select symbol, session_date, close, volume from {bars} where symbol in ('view', 'click')"),
     Operator(
         "flt_14",
@@ -53,7 +52,6 @@ OPERATORS = [
         select symbol, session_date, case when present = 0 then 'EXCLUDED_NO_REGULAR_SESSION' when opening = 0 then 'EXCLUDED_NO_0915' when present = 24 then 'KEPT' when present >= 23 then 'KEPT_FILLED' else 'EXCLUDED_INCOMPLETE' end as status from s""",
     ),
     Operator("flt_18", "select symbol, count(*) filter (where session_date between date '2024-01-05' and date '2024-01-20') as inside, count(*) filter (where session_date < date '2024-01-05' or session_date > date '2024-01-20') as out_of_span from {ticks} group by symbol"),
-    Operator("flt_19", "select b.security, b.price > a.price as crossed from {book} b join {book} a on a.security = b.security and a.side = 'ask' and a.level = 1 where b.side = 'bid' and b.level = 1"),
     Operator(
         "flt_20",
         """with l as (select user_id, max(@seconds(ts)) as seen from {ticks} group by user_id)
@@ -69,7 +67,6 @@ OPERATORS = [
         """with c as (select symbol, session_date, n < 8 as weak from {daily}), s as (select session_date, count(*) filter (where weak) as weak, count(*) as n from c group by session_date)
         select session_date, case when @weekday(session_date) >= 5 then 'CLOSED' when weak = 0 then 'OK' when weak * 2 > n then 'ERROR' else 'WARNING' end as status from s""",
     ),
-    Operator("flt_23", "select doc_id, @replaced(substr(text, 1, 200), '(password|token)[ =:]+[A-Za-z0-9]+', '***') as redacted from {documents}".replace("substr(text, 1, 200)", "text")),
     Operator("flt_24", "select symbol, session_date, slot, case when session_date >= date '2024-01-20' then round(close * 37e-1, 6) else close end as close from {bars}"),
     Operator("flt_25", "select e.event_id, e.symbol, e.session_date from {ticks} e where e.session_date between date '2024-01-10' and date '2024-01-12' and e.price > 20 and e.event_id > 100 and exists (select 1 from {daily} d where d.symbol = e.user_id and d.session_date = e.session_date and d.volume > 100)"),
     Operator("flt_26", f"select {K}, case when abs(r) = cast('infinity' as double) then null else round(r, 6) + 0e0 end as r from {{returns}}"),
