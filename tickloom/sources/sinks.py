@@ -120,8 +120,9 @@ def save_once(rows: DataFrame, root: str, key: str, digest: str) -> DataFrame:
     spark = rows.sparkSession
     if _there(spark, root):
         old = spark.read.parquet(root).select(F.col(key), F.col(digest).alias("_old"))
-        same = F.when(F.col("_old").isNull() | (F.col("_old") == F.col(digest)), F.col(digest)).otherwise(F.raise_error(F.concat(F.lit("another one is stored for "), F.col(key).cast("string"))))
-        rows = rows.join(old, key, "left").withColumn(digest, same).where("_old is null").drop("_old")
+        wrong = F.raise_error(F.concat(F.lit("another one is stored for "), F.col(key).cast("string"))).cast("boolean")
+        new = F.when(F.col("_old").isNull(), F.lit(True)).when(F.col("_old") == F.col(digest), F.lit(False)).otherwise(wrong)
+        rows = rows.join(old, key, "left").where(new).drop("_old")
     return add_new(rows, root, key)
 
 
