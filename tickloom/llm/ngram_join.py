@@ -10,8 +10,8 @@ ones before it left:
 3. Two orders by hash: a pair must share prefix tokens under both, and a sketch of the sets must allow the similarity,
    before the sets themselves are compared.
 
-Links only matter up to connected components: every list of sets with a common prefix token is first compared with its
-smallest member, and then only pairs are left that aren't in one component yet.
+Links only matter up to connected components: every list of sets with a common prefix token is first compared with the
+one that has the fewest tokens of its own, and then only pairs are left that aren't in one component yet.
 """
 
 from __future__ import annotations
@@ -152,9 +152,10 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame, size: int, num: int, den: i
 
 
 def _postings(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """token, digest, n, own: those prefix tokens under the order of rare ones first that another set has too.
+    """token, digest, n, unshared, own: those prefix tokens under the order of rare ones first that another set has too.
 
-    `own` says whether the token is in the part of the prefix that suffices for the smaller one of two sets.
+    `unshared` is the number of the set's tokens that no other one has; `own` says whether the token is in the part of the
+    prefix that suffices for the smaller one of two sets.
     """
     sets = _marked(sets)
     rows = sets.select("mark", F.explode("tokens").alias("token"))
@@ -164,8 +165,8 @@ def _postings(sets: DataFrame, num: int, den: int) -> DataFrame:
     # All tokens that no other set has come before these.
     shared = shared.withColumn("unshared", F.col("n") - F.size("shared")).withColumn("left", _prefix(num, den) - F.col("unshared")).where("left > 0")
     first = F.slice(F.sort_array("shared"), F.lit(1), F.col("left").cast("int"))
-    shared = shared.select("digest", "n", (_own_prefix(num, den) - F.col("unshared")).alias("most"), F.posexplode(first).alias("k", "x"))
-    return shared.select(F.col("x.token").alias("token"), "digest", "n", (F.col("k") < F.col("most")).alias("own"))
+    shared = shared.select("digest", "n", "unshared", (_own_prefix(num, den) - F.col("unshared")).alias("most"), F.posexplode(first).alias("k", "x"))
+    return shared.select(F.col("x.token").alias("token"), "digest", "n", "unshared", (F.col("k") < F.col("most")).alias("own"))
 
 
 def _alike(num: int, den: int) -> Column:
@@ -219,10 +220,11 @@ def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     # The second one.
     sets = written(_chosen_sets(docs, chosen, size, num, den), "sets")
     posted = written(_postings(sets, num, den), "postings")
-    hubs = posted.groupBy("token").agg(F.min(F.struct("digest", "n", "own")).alias("hub"), F.max("digest").alias("high")).where("hub.digest != high")
+    # A list's hub is the set with the fewest tokens of its own: what copies were made of has none.
+    hubs = posted.groupBy("token").agg(F.min(F.struct("unshared", "digest", "n", "own")).alias("hub"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high")
     star = posted.join(hubs, "token").where("digest != hub.digest")
     star = star.select(F.col("hub.digest").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.own").alias("a_own"), F.col("digest").alias("b"), F.col("n").alias("b_n"), F.col("own").alias("b_own"))
-    star = star.where(_smaller_has_it()).select("a", "b").distinct()
+    star = star.where(_smaller_has_it()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(_links(star, sets, num, den), "links")
     parts = written(connected(links), "components")
 
