@@ -13,13 +13,6 @@ OPERATORS = [
         """with b as (select symbol, session_date, slot - slot % 2 as slot, min_by(open, slot) as open, max(high) as high, min(low) as low, max_by(close, slot) as close from {bars} group by symbol, session_date, slot - slot % 2)
         select symbol, session_date, slot - slot % 6 as bucket, min_by(open, slot) as open, max(high) as high, min(low) as low, max_by(close, slot) as close from b group by symbol, session_date, slot - slot % 6""",
     ),
-    Operator(
-        "agg_06",
-        """with p as (select session_date, close as ltp, lag(close) over (partition by symbol order by session_date) as pc from {daily}),
-        c as (select session_date, count(*) filter (where ltp > pc) as advancing, count(*) filter (where ltp < pc) as declining,
-          count(*) filter (where ltp = pc) as unchanged, count(*) filter (where pc is null) as unknown from p group by session_date)
-        select *, round(cast(advancing as double) / nullif(declining, 0), 4) as ad_ratio from c""",
-    ),
     Operator(
         "agg_07",
         """with p as (select symbol, sector, session_date, close / nullif(lag(close) over (partition by symbol order by session_date), 0) - 1 as change from {daily})
@@ -138,12 +131,6 @@ OPERATORS = [
         p as (select symbol, c, greatest(max(c) over (partition by symbol order by session_date rows between unbounded preceding and current row), 0e0) as peak from c)
         select symbol, round(max(peak - c), 6) as drawdown from p group by symbol""",
     ),
-    Operator(
-        "agg_37",
-        """with t as (select symbol, close - open as x from {daily})
-        select symbol, count(*) as trades, round(100 * avg(case when x > 0 then 1e0 else 0e0 end), 4) as win_percent, round(avg(case when x > 0 then x end), 6) as mean_win, round(avg(case when x <= 0 then x end), 6) as mean_loss,
-          round(sum(case when x > 0 then x else 0 end) / nullif(-sum(case when x < 0 then x else 0 end), 0), 6) as profit_factor from t group by symbol""",
-    ),
     Operator(
         "agg_38",
         """with d as (select sector, cast(symbol % 3 as int) as model, case when close > open then 'UP' else 'DOWN' end as state, close - open as x from {daily})

@@ -8,7 +8,6 @@ from tickloom.plans.dialect import Operator
 Z = "with m as (select symbol, session_date, sector, volume, median(volume) over (partition by symbol) as m from {daily}), z as (select m.*, (volume - m) / nullif(median(abs(volume - m)) over (partition by symbol) * 14826e-4, 0) as z from m)"
 
 OPERATORS = [
-    Operator("eng_02", "with r as (select symbol, session_date, sector, close / nullif(open, 0) - 1 as r from {daily}) select session_date, round(median(r), 6) as market_median, round(stddev_samp(r), 4) as dispersion, round(avg(case when r > 0 then 1e0 else 0e0 end), 6) as breadth, count(distinct sector) as sectors from r group by session_date"),
     Operator(
         "eng_04",
         """with d as (select symbol, session_date, sector, close - lag(close) over (partition by symbol order by session_date) as y from {daily}),
@@ -26,10 +25,7 @@ OPERATORS = [
     Operator("eng_20", f"{Z}, t as (select z.symbol, z.session_date, coalesce(z.z, 0) as vz, d.close - d.open as drive from z join {{daily}} d on d.symbol = z.symbol and d.session_date = z.session_date), s as (select *, row_number() over (partition by session_date order by round(vz + drive / 50, 6) desc, symbol) as place from t) select session_date, symbol, round(vz + drive / 50, 6) as score from s where place = 1"),
     Operator("eng_24", f"select {K}, lead(open) over o as entry, lead(close, 5) over o as forward_5, max(high) over w as best, min(low) over w as worst from {{grid}} window o as ({DAY}), w as ({DAY} rows between 1 following and 5 following)"),
     Operator("eng_28", "with t as (select symbol, count(*) as n, avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0) as t from {daily} group by symbol) select symbol, case when n < 20 then 'INSUFFICIENT' when t >= 2 then 'SUPPORTED' when t <= -2 then 'REVERSED' else 'UNPROVEN' end as verdict from t"),
-    Operator("eng_33", "with p as (select symbol, session_date, lag(high) over w as pdh, lag(low) over w as pdl, lag(close) over w as pdc, max(high) over m as high_20, min(low) over m as low_20 from {daily} window w as (partition by symbol order by session_date), m as (partition by symbol order by session_date rows between 20 preceding and 1 preceding)) select symbol, session_date, pdh, pdl, pdc, round((pdh + pdl + pdc) / 3, 6) as pivot, high_20, low_20 from p"),
-    Operator("eng_34", f"select {K}, max(high) over s as session_high, min(low) over s as session_low, round(sum(close * volume) over s / nullif(sum(volume) over s, 0), 6) as vwap from {{grid}} window s as ({DAY} rows between unbounded preceding and current row)"),
     Operator("eng_36", "with l as (select symbol, 'high' as kind, max(high) as level from {daily} group by symbol union all select symbol, 'close', max(close) from {daily} group by symbol union all select symbol, 'open', max(open) from {daily} group by symbol) select a.symbol, a.kind as kind_a, b.kind as kind_b from l a join l b on a.symbol = b.symbol and a.kind < b.kind and abs(a.level - b.level) <= a.level * 15e-4"),
-    Operator("eng_37", "with r as (select underlying, side, strike, row_number() over (partition by underlying, side order by oi desc, strike) as k from {chain}) select underlying, max(case when side = 'CE' then strike end) as call_wall, max(case when side = 'PE' then strike end) as put_wall from r where k = 1 group by underlying"),
     Operator("eng_39", "select underlying, session_date, round(price, 4) as last_price, n, round(oi, 2) as oi, round(oi - lag(oi) over (partition by underlying order by session_date), 2) + 0e0 as oi_change from {snapshots}"),
     Operator("eng_40", "select symbol, session_date, cast(floor(slot / 3e0) as int) as three, cast(floor(slot / 12e0) as int) as twelve, max(high) as high, min(low) as low from {bars} group by symbol, session_date, floor(slot / 3e0), floor(slot / 12e0)"),
     Operator("eng_41", "select case when count(d.symbol) = count(*) then 'COMPLETE' else 'PARTIAL' end as coverage, count(*) as expected, count(d.symbol) as present from (select c_custkey as symbol from {customer}) u left join (select distinct symbol from {daily}) d on d.symbol = u.symbol"),

@@ -28,9 +28,7 @@ OPERATORS = [
         select id, known from f where side = 1""",
     ),
     Operator("jon_12", "select c.underlying, c.strike, c.oi as ce_oi, p.oi as pe_oi from {chain} c join {chain} p on p.underlying = c.underlying and p.strike = c.strike and p.side = 'PE' where c.side = 'CE'"),
-    Operator("jon_13", "select underlying, session_date, round(oi - lag(oi) over w, 2) + 0e0 as d_oi, round(price - lag(price) over w, 4) + 0e0 as d_price from {snapshots} window w as (partition by underlying order by session_date)"),
     Operator("jon_14", "select d.symbol, d.session_date, d.close, e.n_events, v.n_view from {daily} d left join (select user_id, session_date, count(*) as n_events from {ticks} group by user_id, session_date) e on e.user_id = d.symbol and e.session_date = d.session_date left join (select user_id, session_date, count(*) as n_view from {ticks} where symbol = 'view' group by user_id, session_date) v on v.user_id = d.symbol and v.session_date = d.session_date"),
-    Operator("jon_15", "with r as (select c.underlying, c.strike, c.side, cast(dense_rank() over (partition by c.underlying order by abs(c.strike - s.spot), c.strike) as int) as k from {chain} c join {spots} s on s.underlying = c.underlying) select underlying, strike, side, k from r where k <= 5"),
     Operator("jon_16", "select c.c_custkey from {customer} c left join {daily} d on d.symbol = c.c_custkey where d.symbol is null"),
     Operator("jon_17", "select 'missing' as kind, a.session_date from (select distinct session_date from {daily} where symbol = 1) a left join (select distinct session_date from {daily} where symbol = 2) b on b.session_date = a.session_date where b.session_date is null union all select 'extra', b.session_date from (select distinct session_date from {daily} where symbol = 2) b left join (select distinct session_date from {daily} where symbol = 1) a on a.session_date = b.session_date where a.session_date is null"),
     Operator("jon_18", "select l.l_orderkey, l.l_linenumber, p.p_brand, s.s_name from {lineitem} l join {part} p on p.p_partkey = l.l_partkey join {supplier} s on s.s_suppkey = l.l_suppkey where l.l_quantity > 45"),

@@ -72,7 +72,6 @@ OPERATORS = [
           round(cast(case when s > 0 then count(case when s > 0 then 1 end) over w else count(case when s < 0 then 1 end) over w end as double) / count(s) over w, 6) end as persistence
         from signs window w as ({DAY} rows between 9 preceding and current row)""",
     ),
-    Operator("win_20", f"select {K}, count(close) over w = 3 and min(case when high = low then 1 else 0 end) over w = 1 as frozen from {{grid}} window w as ({DAY} rows between 2 preceding and current row)"),
     Operator(
         "win_21",
         f"""with y as (select r.{K.replace(', ', ', r.')}, r.r as y, m.x from {{returns}} r left join
@@ -149,13 +148,7 @@ OPERATORS = [
         select state, count(following) as n, round(avg(case when following = state then 1e0 when following is not null then 0e0 end), 6) as stays from n group by state""",
     ),
     Operator("win_39", "select symbol, session_date, min(slot) as first_slot from {grid} where close > open group by symbol, session_date"),
-    Operator("win_40", "select underlying, session_date, round(oi - lag(oi) over (partition by underlying order by session_date), 2) + 0e0 as oi_change from {snapshots}"),
     Operator("win_41", f"select {K}, lag(close, 3) over (partition by symbol order by session_date, slot) as close_3 from {{grid}}"),
-    Operator(
-        "win_42",
-        f"""with u as (select {K}, volume, @pctl(volume, 0.5) over {before(20, 'partition by symbol, slot order by session_date')} as usual from {{grid}})
-        select {K}, round(volume / nullif(usual, 0), 6) as relative_volume from u""",
-    ),
     Operator(
         "win_43",
         f"""with b as (select {K}, close, high, {strict('max({})', 'high', 3, before(3))} as level from {{grid}}), f as (select *, high > level as broke from b)

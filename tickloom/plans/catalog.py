@@ -13,7 +13,7 @@ from tickloom.sources.market import duckdb_query, market
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a list OPERATORS, and modules with queries() and oracle_sql() of their own.
-OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars", "engines", "flows", "backtests", "texts", "statistics", "studies")
+OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars", "engines", "flows", "backtests", "texts", "statistics", "studies", "completed")
 QUERIES = ("tickloom.plans.recursions", "tickloom.plans.streams", "tickloom.plans.archive", "tickloom.plans.series", "tickloom.plans.registries")
 
 

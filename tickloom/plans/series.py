@@ -76,10 +76,19 @@ ATR_RSI = _query(
 )
 
 
+ATR = _query([_fold("a", "t", "tr", 14, _rma(14))], "round(a.e, 6) as atr_14, round(100 * a.e / nullif(t.close, 0), 6) as natr_14", _left("a"))
+RSI = _query(
+    ["c as (select symbol, i, greatest(close - pc, 0) as g, greatest(pc - close, 0) as n from t where i > 1)", _fold("g", "c", "g", 14, _rma(14), 2), _fold("n", "c", "n", 14, _rma(14), 2)],
+    "round(case when n.e = 0 and g.e = 0 then 50 when n.e = 0 then 100 else 100 - 100 / (1 + g.e / n.e) end, 6) as rsi_14", _left("g", "n"),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ind_02": lambda s, d: _series(s, d, ema_fast="ema_9", ema_slow="ema_20"),
         "ind_03": lambda s, d: _series(s, d, rma="rma_14"),
+        "ind_05": lambda s, d: _series(s, d, atr="atr_14", natr="natr_14"),
+        "ind_06": lambda s, d: _series(s, d, rsi="rsi_14"),
         "ind_07": lambda s, d: _series(s, d, macd_line="macd_line", macd_signal="macd_signal", macd_histogram="macd_histogram"),
         "ind_15": lambda s, d: _series(s, d, adx="adx_14", plus_di="plus_di_14", minus_di="minus_di_14"),
         "ind_21": lambda s, d: _series(s, d, keltner_middle="keltner_middle", keltner_upper="keltner_upper", keltner_lower="keltner_lower"),
@@ -90,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"ind_02": EMAS, "ind_03": RMA, "ind_07": MACD, "ind_15": ADX, "ind_21": KELTNER, "ind_22": TREND, "ind_26": ATR_RSI, "ind_28": PLAIN}
+    return {"ind_02": EMAS, "ind_05": ATR, "ind_06": RSI, "ind_03": RMA, "ind_07": MACD, "ind_15": ADX, "ind_21": KELTNER, "ind_22": TREND, "ind_26": ATR_RSI, "ind_28": PLAIN}
