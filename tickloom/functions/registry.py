@@ -100,7 +100,7 @@ def scored(rows: DataFrame, measure: str, least: int = 10) -> DataFrame:
     before = W.partitionBy("symbol", "slot").orderBy("session_date").rowsBetween(W.unboundedPreceding, -1)
     x = rows.select("symbol", "session_date", "slot", m.transform(F.col(m.feature)).alias("x"))
     z = (F.col("x") - F.avg("x").over(before)) / F.nullif(F.stddev_pop("x").over(before), F.lit(0.0))
-    return x.select("symbol", "session_date", "slot", F.lit(measure).alias("measure"), F.when(F.count("x").over(before) >= least, F.round(z, 4)).alias("z"))
+    return x.select("symbol", "session_date", "slot", F.lit(measure).alias("measure"), F.when(F.count("x").over(before) >= least, F.round(z, 4) + F.lit(0.0)).alias("z"))
 
 
 #: Signals: what a rule says of rows that hold the features.

@@ -37,7 +37,7 @@ F_SQL = """f as (select symbol, session_date, slot, open, high, low, close, volu
     cast(close > top_3 as double) as breakout, gap_bars, bars from v)"""
 UDF_01 = f"with {duckdb_tables(['bars'])}, {F_SQL} select * from x"
 UDF_02 = f"""with {duckdb_tables(['bars'])}, {F_SQL}, m as (select symbol, session_date, slot, 'return' as measure, ret_open as x from x union all select symbol, session_date, slot, 'volume', ln(1 + volume_so_far::double) from x union all select symbol, session_date, slot, 'range', ln(1 + range_pct) from x)
-  select symbol, session_date, slot, measure, case when count(x) over w >= 10 then round((x - avg(x) over w) / nullif(stddev_pop(x) over w, 0), 4) end as z from m window w as (partition by symbol, slot, measure order by session_date rows between unbounded preceding and 1 preceding)"""
+  select symbol, session_date, slot, measure, case when count(x) over w >= 10 then round((x - avg(x) over w) / nullif(stddev_pop(x) over w, 0), 4) + 0.0 end as z from m window w as (partition by symbol, slot, measure order by session_date rows between unbounded preceding and 1 preceding)"""
 UDF_03 = f"""with {duckdb_tables(['bars'])}, {F_SQL} select symbol, session_date, slot, 'momentum' as signal from x where ret_5 > 0 and breakout = 1 union all select symbol, session_date, slot, 'reversal' from x where ret_5 < 0 and range_place < 0.2
   union all select symbol, session_date, slot, 'surge' from x where volume_ratio > 1.5"""
 UDF_06 = _query([_fold("f", "t", "close", 5, _ema(5))], "round(f.e, 6) as ema_5", _left("f"))
