@@ -76,6 +76,24 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), [3, 1, 2]).drop("source", "text_hash", "key", "epochs")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 with recursive docs as (
   select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x != '') as w
@@ -144,6 +162,61 @@ select doc_id, size, source_size, target,
 """
 
 
+OP11_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x != '') as w from documents),
+corpus as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_terms from docs where len(w) > 0),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where item_id is not null),
+tfs as (
+  select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as term from docs) where term in (select term from asked) group by all),
+weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tfs cross join corpus group by term),
+scores as (
+  select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) as bigint) as score
+  from asked join tfs using (term) join weights using (term) cross join corpus group by item_id, r, doc_id),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as int) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+OP13_SQL = r"""
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role || ' ' || md5(text)) as pos, sha256(length(role) || ':' || role || text) as key,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from rows_),
+ids as (
+  select conv_id, n, conv_id - conv_id % 20 as base, xor(crc, 4294967295) % 4 as h from (
+    select conv_id, count(*) as n, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) as crc
+    from turns group by conv_id)),
+rebuilt as (
+  select i.conv_id, t.pos, t.key, t.words from ids i join turns t on t.conv_id = i.base and t.pos <= i.h
+  union all
+  select i.conv_id, t.pos - i.h + least(i.h, coalesce(b.n, 0)), t.key, t.words from ids i join turns t on t.conv_id = i.conv_id and t.pos > i.h left join ids b on b.conv_id = i.base),
+paths as (
+  select conv_id, 0 as depth, '' as node, null as above, 0 as words from ids
+  union all
+  select conv_id, depth, node, coalesce(lag(node) over (partition by conv_id order by depth), ''), words
+  from (select conv_id, pos as depth, md5(string_agg(key, ',') over (partition by conv_id order by pos)) as node, words from rebuilt)),
+children as (select above as node, count(distinct node) as n_children from paths where depth > 0 group by above),
+nodes as (
+  select depth, node, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words, coalesce(any_value(n_children), 0) as n_children
+  from paths left join children using (node) group by depth, node),
+below as (
+  select p.node, sum((u.n_convs - 1) * u.words) as saved, count_if(u.n_children = 0) as leaves
+  from nodes u join paths p on p.conv_id = u.conv_id and p.depth <= u.depth group by p.node),
+ends as (
+  select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends
+  from (select *, max(depth) over (partition by conv_id) as last from paths) where depth = last group by node)
+select n.conv_id, cast(n.depth as bigint) as depth, a.conv_id as parent_conv_id, n.n_convs, n.n_children, cast(b.leaves as bigint) as n_leaves,
+  cast(b.saved as bigint) as saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+from nodes n join below b using (node) left join ends e using (node) left join nodes a on a.node = n.above
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -156,8 +229,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_packing": op9_packing,
         "op10_mix_sources": op10_mix_sources,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_fingerprints": op12_fingerprints,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_topk_search": OP2_SQL, "op5_url_filter": OP5_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_topk_search": OP2_SQL, "op5_url_filter": OP5_SQL, "op10_mix_sources": OP10_SQL, "op11_ranked_search": OP11_SQL, "op13_prefix_trie": OP13_SQL}
