@@ -23,7 +23,6 @@ OPERATORS = [
     Operator("eng_15", "with s as (select session_date, avg(case when close > open then 1e0 else 0e0 end) as breadth, stddev_pop(close) as dispersion from {daily} group by session_date), p as (select *, round((rank() over (order by breadth) - 5e-1) / count(*) over (), 6) as pb, round((rank() over (order by dispersion) - 5e-1) / count(*) over (), 6) as pd from s) select session_date, pb, pd, case when pb >= 8e-1 then 'BROAD_UP' when pb <= 2e-1 then 'BROAD_DOWN' when pd >= 8e-1 then 'DISPERSED' else 'QUIET' end as state from p"),
     Operator("eng_17", "with r as (select underlying, side, iv, row_number() over (partition by underlying, side order by abs(strike - 25), strike) as k from {chain}) select underlying, round(max(case when side = 'CE' then iv end) - max(case when side = 'PE' then iv end), 6) as risk_reversal from r where k = 1 group by underlying"),
     Operator("eng_20", f"{Z}, t as (select z.symbol, z.session_date, coalesce(z.z, 0) as vz, d.close - d.open as drive from z join {{daily}} d on d.symbol = z.symbol and d.session_date = z.session_date), s as (select *, row_number() over (partition by session_date order by round(vz + drive / 50, 6) desc, symbol) as place from t) select session_date, symbol, round(vz + drive / 50, 6) as score from s where place = 1"),
-    Operator("eng_24", f"select {K}, lead(open) over o as entry, lead(close, 5) over o as forward_5, max(high) over w as best, min(low) over w as worst from {{grid}} window o as ({DAY}), w as ({DAY} rows between 1 following and 5 following)"),
     Operator("eng_28", "with t as (select symbol, count(*) as n, avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0) as t from {daily} group by symbol) select symbol, case when n < 20 then 'INSUFFICIENT' when t >= 2 then 'SUPPORTED' when t <= -2 then 'REVERSED' else 'UNPROVEN' end as verdict from t"),
     Operator("eng_36", "with l as (select symbol, 'high' as kind, max(high) as level from {daily} group by symbol union all select symbol, 'close', max(close) from {daily} group by symbol union all select symbol, 'open', max(open) from {daily} group by symbol) select a.symbol, a.kind as kind_a, b.kind as kind_b from l a join l b on a.symbol = b.symbol and a.kind < b.kind and abs(a.level - b.level) <= a.level * 15e-4"),
     Operator("eng_39", "select underlying, session_date, round(price, 4) as last_price, n, round(oi, 2) as oi, round(oi - lag(oi) over (partition by underlying order by session_date), 2) + 0e0 as oi_change from {snapshots}"),

@@ -1,4 +1,4 @@
-"""Technical indicators that frames express, per symbol and session. The recursive ones are in recursions.py."""
+"""Technical indicators that frames express, per symbol and session. The recursive ones are in functions/indicators.py."""
 
 from __future__ import annotations
 

@@ -1,102 +1,10 @@
-"""Recursive indicators: a fold over the ordered bars of a symbol and session, as one higher-order aggregate.
-
-Groups are the bars of one session, so an array of them is small; nothing is collected across sessions or symbols.
-"""
+"""Recursions over a group in order, as one higher-order aggregate; groups are of one subject and day, so an array of them is small."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Values = Column
-
-
-def ordered(bars: DataFrame, *columns: str) -> DataFrame:
-    """One row per symbol and session with `v`, its bars in order of slot."""
-    return bars.groupBy("symbol", "session_date").agg(F.sort_array(F.collect_list(F.struct("slot", *columns))).alias("v"))
-
-
-def seeded(x: Column, p: int, step) -> Column:
-    """A recursion over an array of doubles: the mean of the first p values, then step(state, value) for each after; null for fewer."""
-    mean = F.aggregate(F.slice(x, 1, p), F.lit(0.0), lambda a, b: a + b) / F.lit(float(p))
-    return F.when(F.size(x) >= p, F.aggregate(F.slice(x, p + 1, F.greatest(F.size(x) - p, F.lit(0))), mean, step))
-
-
-def ema(x: Column, p: int) -> Column:
-    """Exponential average, seeded with the mean of the first p values."""
-    a = 2.0 / (p + 1)
-    return seeded(x, p, lambda e, v: F.lit(a) * v + F.lit(1 - a) * e)
-
-
-def wilder(x: Column, p: int) -> Column:
-    """Wilder's average: ((p - 1) * previous + value) / p."""
-    return seeded(x, p, lambda e, v: (F.lit(float(p - 1)) * e + v) / F.lit(float(p)))
-
-
-def plain_ema(x: Column, a: float) -> Column:
-    """e += a * (x - e), from the first value on, without a seed."""
-    return F.aggregate(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), F.get(x, 0), lambda e, v: e + F.lit(a) * (v - e))
-
-
-def ema_at_close(bars: DataFrame, p: int) -> DataFrame:
-    v = ordered(bars, "close")
-    return v.select("symbol", "session_date", F.round(ema(F.col("v.close"), p), 6).alias(f"ema_{p}"))
-
-
-def true_ranges(v: Column) -> Column:
-    """First high - low, then the greatest of it and the distances to the close before."""
-
-    def one(x: Column, i: Column) -> Column:
-        pc = F.get(v, i - 1)["close"]
-        return F.greatest(x["high"] - x["low"], F.abs(x["high"] - pc), F.abs(x["low"] - pc))
-
-    return F.transform(v, one)
-
-
-def atr_at_close(bars: DataFrame, p: int = 14) -> DataFrame:
-    v = ordered(bars, "high", "low", "close").withColumn("tr", true_ranges(F.col("v")))
-    atr = wilder(F.col("tr"), p)
-    close = F.element_at("v", -1)["close"]
-    return v.select("symbol", "session_date", F.round(atr, 6).alias(f"atr_{p}"), F.round(100 * atr / F.nullif(close, F.lit(0.0)), 4).alias(f"natr_{p}"))
-
-
-def rsi_at_close(bars: DataFrame, p: int = 14) -> DataFrame:
-    v = ordered(bars, "close").select("symbol", "session_date", F.col("v.close").alias("c"))
-    diffs = F.transform(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), lambda x, i: x - F.get("c", i))
-    v = v.withColumn("d", diffs)
-    v = v.withColumn("up", wilder(F.transform("d", lambda x: F.greatest(x, F.lit(0.0))), p)).withColumn("down", wilder(F.transform("d", lambda x: F.greatest(-x, F.lit(0.0))), p))
-    value = F.when((F.col("down") == 0) & (F.col("up") == 0), 50.0).when(F.col("down") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("up") / F.nullif("down", F.lit(0.0))))
-    return v.select("symbol", "session_date", F.round(value, 4).alias(f"rsi_{p}"))
-
-
-def macd_line_at_close(bars: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    """Over the closes of all sessions of a symbol."""
-    v = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("session_date", "slot", "close"))).alias("v")).select("symbol", F.col("v.close").alias("c"))
-    return v.select("symbol", F.round(ema(F.col("c"), fast) - ema(F.col("c"), slow), 6).alias("macd_line"))
-
-
-def supertrend_at_close(bars: DataFrame, p: int = 10, factor: float = 3.0) -> DataFrame:
-    """Bands around the middle that only tighten until the close crosses them; the direction starts upwards."""
-    v = ordered(bars, "high", "low", "close").withColumn("tr", true_ranges(F.col("v"))).where(F.size("v") >= p)
-    start = F.struct(
-        (F.aggregate(F.slice("tr", 1, p), F.lit(0.0), lambda a, b: a + b) / p).alias("atr"), F.lit(None).cast("double").alias("up"), F.lit(None).cast("double").alias("low"),
-        F.lit(None).cast("double").alias("close"), F.lit(1).alias("direction"),
-    )
-    rest = F.transform(F.sequence(F.lit(p - 1), F.size("v") - 1), lambda i: F.struct(F.get("v", i).alias("b"), F.get("tr", i).alias("tr"), (i == p - 1).alias("first")))
-
-    def step(s: Column, x: Column) -> Column:
-        atr = F.when(x["first"], s["atr"]).otherwise((s["atr"] * (p - 1) + x["tr"]) / p)
-        middle = (x["b"]["high"] + x["b"]["low"]) / 2
-        up, low = middle + factor * atr, middle - factor * atr
-        up = F.when(s["up"].isNull() | (up < s["up"]) | (s["close"] > s["up"]), up).otherwise(s["up"])
-        low = F.when(s["low"].isNull() | (low > s["low"]) | (s["close"] < s["low"]), low).otherwise(s["low"])
-        turned = F.when(x["b"]["close"] > s["up"], 1).when(x["b"]["close"] < s["low"], -1).otherwise(s["direction"])
-        return F.struct(atr.alias("atr"), up.alias("up"), low.alias("low"), x["b"]["close"].alias("close"), turned.alias("direction"))
-
-    out = v.withColumn("s", F.aggregate(rest, start, step))
-    line = F.when(F.col("s.direction") == 1, F.col("s.low")).otherwise(F.col("s.up"))
-    return out.select("symbol", "session_date", F.round(line, 6).alias("supertrend"), F.col("s.direction").alias("supertrend_direction"))
-
 
 def cooled_down(events: DataFrame, minutes: int = 15) -> DataFrame:
     """Events (subject, moment in seconds, severity) that fire: none within the cooldown of the last that did, unless it is more severe.

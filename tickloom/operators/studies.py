@@ -30,25 +30,6 @@ OPERATORS = [
         f"""with l as (select *, row_number() over (partition by symbol order by session_date desc, slot desc) as k, lag(close) over (partition by symbol order by session_date, slot) as pc, first_value(open) over ({DAY} rows between unbounded preceding and current row) as day_open from {{bars}}), n as (select max(session_date) as today from {{bars}})
         select symbol, session_date, slot, close, round(100 * (close / nullif(pc, 0) - 1), 4) + 0e0 as change_pct, round(100 * (close / nullif(day_open, 0) - 1), 4) + 0e0 as since_open_pct, @days(today) - @days(session_date) as age_days from l cross join n where k = 1""",
     ),
-    Operator(
-        "eng_45",
-        f"""with x as (select symbol, session_date, slot, close, volume, first_value(open) over s as day_open, sum(volume) over s as volume_so_far, count(*) over s as bars, lead(open) over w as entry, lead(close, 1) over w as c1, lead(close, 3) over w as c3, max(high) over f as best, min(low) over f as worst from {{bars}}
-          window w as ({DAY}), s as ({DAY} rows between unbounded preceding and current row), f as ({DAY} rows between 1 following and 3 following))
-        select symbol, session_date, slot, round(close / nullif(day_open, 0) - 1, 6) as ret_open, cast(volume_so_far as bigint) as volume_so_far, bars, bars >= 3 and entry is not null as eligible, round(c1 / nullif(entry, 0) - 1, 6) as forward_1, round(c3 / nullif(entry, 0) - 1, 6) as forward_3, round(best / nullif(entry, 0) - 1, 6) as mfe_3, round(worst / nullif(entry, 0) - 1, 6) as mae_3 from x where slot between 6 and 9""",
-    ),
-    Operator(
-        "eng_22",
-        f"""with {Z}, a as (select session_date, symbol, lead(r) over (partition by symbol order by session_date) as outcome, row_number() over (partition by session_date order by round(vz, 9) desc, symbol) as by_volume, row_number() over (partition by session_date order by round(r, 9) desc, symbol) as by_return from z),
-        p as (select session_date, max(case when by_volume = 1 then outcome end) as o1, max(case when by_return = 1 then outcome end) as o2 from a group by session_date),
-        h as (select session_date, count(o1) over w as n, avg(case when o1 > 0 then 1e0 when o1 is not null then 0e0 end) over w as hit_1, avg(case when o2 > 0 then 1e0 when o2 is not null then 0e0 end) over w as hit_2 from p window w as (order by session_date rows between unbounded preceding and 2 preceding))
-        select session_date, n, round(hit_1, 6) as hit_volume, round(hit_2, 6) as hit_return, case when n < 5 then 'NONE' when hit_1 >= hit_2 then 'VOLUME' else 'RETURN' end as chosen from h""",
-    ),
-    Operator(
-        "eng_23",
-        f"""with {Z}, s as (select *, round(coalesce(vz, 0) + 10 * coalesce(r, 0), 6) as score, lead(r) over (partition by symbol order by session_date) as outcome from z), k as (select s.*, row_number() over (partition by session_date order by score desc, symbol) as place, percent_rank() over (partition by session_date order by score) as percentile from s),
-        p as (select * from k where place = 1), h as (select p.*, count(outcome) over w as n, avg(case when outcome > 0 then 1e0 when outcome is not null then 0e0 end) over w as probability, avg(outcome) over w as expected from p window w as (order by session_date rows between unbounded preceding and 2 preceding))
-        select session_date, symbol, score, round(100 * percentile, 2) as selection_score, n, case when n >= 5 then round(probability, 6) end as probability, case when n >= 5 then round(expected, 6) end as expected_return, case when n >= 5 then 'CALIBRATED' else 'UNCALIBRATED' end as status from h""",
-    ),
     Operator(
         "eng_42",
         f"""with {TRADES}, m as (select cast(symbol as varchar(20)) || ':' || cast(@weekday(session_date) as varchar(3)) as symbol, count(*) as n, avg(x) as mean, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) as t from t group by symbol, @weekday(session_date) having count(*) > 2),

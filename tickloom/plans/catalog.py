@@ -13,8 +13,8 @@ from tickloom.sources.market import duckdb_query, market
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a list OPERATORS, and modules with queries() and oracle_sql() of their own.
-OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars", "engines", "flows", "backtests", "texts", "statistics", "studies", "completed")
-QUERIES = ("tickloom.plans.recursions", "tickloom.plans.streams", "tickloom.plans.archive", "tickloom.plans.series", "tickloom.plans.registries")
+OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars", "engines", "flows", "backtests", "texts", "statistics", "studies", "completed", "matrix", "expectation")
+QUERIES = ("tickloom.plans.recursions", "tickloom.plans.streams", "tickloom.plans.archive", "tickloom.plans.series", "tickloom.plans.registries", "tickloom.plans.selection")
 
 
 def operators() -> dict[str, Operator]:
@@ -34,7 +34,10 @@ def _over_market(op: Operator) -> Query:
 def queries() -> dict[str, Query]:
     out = {name: _over_market(op) for name, op in operators().items()}
     for name in QUERIES:
-        out |= importlib.import_module(name).queries()
+        more = importlib.import_module(name).queries()
+        if twice := out.keys() & more.keys():
+            raise ValueError(f"{name} registers again: {sorted(twice)}")
+        out |= more
     return out
 
 

@@ -1,4 +1,4 @@
-"""Queries of the recursive indicators; DuckDB checks them with recursive queries."""
+"""Queries of recursions; DuckDB checks them with recursive queries."""
 
 from __future__ import annotations
 
@@ -11,63 +11,12 @@ from tickloom.operators import recursions as r
 from tickloom.sources.market import duckdb_tables, market
 
 
-def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market(spark, sf_dir, ["bars"])["bars"]
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = market(spark, sf_dir, ["ticks"])["ticks"]
     severity = F.when(F.col("price") > 100, 3).when(F.col("price") > 50, 2).otherwise(1)
     return t.select(F.concat_ws(":", "user_id", "symbol").alias("subject"), F.col("session_date").alias("day"), F.unix_timestamp("ts").alias("moment"), severity.alias("severity"))
 
 
-def _fold(p: int, seed: str, step: str, values: str) -> str:
-    """values has symbol, session_date, i (from 1) and x; seed and step speak of e, x and p."""
-    return f"""v as ({values}), f(symbol, session_date, i, e) as (
-      select symbol, session_date, cast({p} as bigint), {seed} from v where i <= {p} group by symbol, session_date having count(*) = {p}
-      union all select v.symbol, v.session_date, v.i, {step} from f join v on v.symbol = f.symbol and v.session_date = f.session_date and v.i = f.i + 1)"""
-
-
-NUMBERED = "row_number() over (partition by symbol, session_date order by slot) as i"
-CLOSES = f"select symbol, session_date, {NUMBERED}, close as x from bars"
-RANGES = f"select symbol, session_date, {NUMBERED}, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as x from bars window w as (partition by symbol, session_date order by slot)"
-
-
-def _ema_sql(p: int) -> str:
-    a = 2.0 / (p + 1)
-    fold = _fold(p, "avg(x)", f"{a!r}::double * x + {1 - a!r}::double * e", CLOSES)
-    return f"with recursive {duckdb_tables(['bars'])}, {fold} select s.symbol, s.session_date, round(max_by(f.e, f.i), 6) as ema_{p} from (select distinct symbol, session_date from bars) s left join f on f.symbol = s.symbol and f.session_date = s.session_date group by s.symbol, s.session_date"
-
-
-def _atr_sql() -> str:
-    fold = _fold(14, "avg(x)", "(13.0::double * e + x) / 14.0::double", RANGES)
-    return f"""with recursive {duckdb_tables(["bars"])}, {fold}, l as (select symbol, session_date, max_by(close, slot) as close from bars group by symbol, session_date)
-    select l.symbol, l.session_date, round(max_by(f.e, f.i), 6) as atr_14, round(100 * max_by(f.e, f.i) / nullif(max(l.close), 0), 4) as natr_14
-    from l left join f on f.symbol = l.symbol and f.session_date = l.session_date group by l.symbol, l.session_date"""
-
-
-def _rsi_sql() -> str:
-    def side(name: str, sign: str) -> str:
-        values = f"select symbol, session_date, i - 1 as i, greatest({sign}(x - px), 0) as x from (select *, lag(x) over (partition by symbol, session_date order by i) as px from ({CLOSES}) c) d where i > 1"
-        return _fold(14, "avg(x)", "(13.0::double * e + x) / 14.0::double", values).replace("v as", f"v{name} as", 1).replace("f(symbol", f"f{name}(symbol").replace(" from v where", f" from v{name} where").replace("v.", f"v{name}.").replace("f.", f"f{name}.").replace("from f join v ", f"from f{name} join v{name} ")
-
-    return f"""with recursive {duckdb_tables(["bars"])}, {side("u", "")}, {side("d", "-")},
-    x as (select s.symbol, s.session_date, (select max_by(fu.e, fu.i) from fu where fu.symbol = s.symbol and fu.session_date = s.session_date) as up, (select max_by(fd.e, fd.i) from fd where fd.symbol = s.symbol and fd.session_date = s.session_date) as down
-      from (select distinct symbol, session_date from bars) s)
-    select symbol, session_date, round(case when down = 0 and up = 0 then 50 when down = 0 then 100 else 100 - 100 / (1 + up / down) end, 4) as rsi_14 from x"""
-
-
-def _macd_sql() -> str:
-    def side(name: str, p: int) -> str:
-        a = 2.0 / (p + 1)
-        return f"""{name}(symbol, i, e) as (select symbol, cast({p} as bigint), avg(x) from v where i <= {p} group by symbol having count(*) = {p}
-          union all select v.symbol, v.i, {a!r}::double * x + {1 - a!r}::double * e from {name} join v on v.symbol = {name}.symbol and v.i = {name}.i + 1)"""
-
-    return f"""with recursive {duckdb_tables(["bars"])}, v as (select symbol, row_number() over (partition by symbol order by session_date, slot) as i, close as x from bars), {side("f", 12)}, {side("s", 26)},
-    a as (select symbol, max_by(e, i) as e from f group by symbol), b as (select symbol, max_by(e, i) as e from s group by symbol)
-    select a.symbol, round(a.e - b.e, 6) as macd_line from a join b on a.symbol = b.symbol"""
-
-
 def _cooldown_sql() -> str:
     return f"""with recursive {duckdb_tables(["ticks"])},
     v as (select user_id || ':' || symbol as subject, session_date as day, cast(floor(epoch(ts)) as bigint) as moment, case when price > 100 then 3 when price > 50 then 2 else 1 end as severity,
@@ -81,15 +30,8 @@ def _cooldown_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "ind_02": lambda s, d: r.ema_at_close(_bars(s, d), 9),
-        "ind_05": lambda s, d: r.atr_at_close(_bars(s, d)),
-        "ind_06": lambda s, d: r.rsi_at_close(_bars(s, d)),
-        "ind_07": lambda s, d: r.macd_line_at_close(_bars(s, d)),
-        "ind_22": lambda s, d: r.supertrend_at_close(_bars(s, d)),
-        "str_12": lambda s, d: r.cooled_down(_events(s, d)),
-    }
+    return {"str_12": lambda s, d: r.cooled_down(_events(s, d))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"ind_02": _ema_sql(9), "ind_05": _atr_sql(), "ind_06": _rsi_sql(), "ind_07": _macd_sql(), "str_12": _cooldown_sql()}
+    return {"str_12": _cooldown_sql()}

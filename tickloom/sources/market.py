@@ -53,6 +53,44 @@ TABLES: dict[str, Operator] = {
             """select symbol, session_date, slot, open, close, volume, case when slot = 0 then ln(close / open)
             else ln(close / lag(close) over (partition by symbol, session_date order by slot)) end as r from {grid}""",
         ),
+        # A desk of a dozen stocks in three sectors, dense enough for windows within a session.
+        Operator("desk_ticks", "select cast(user_id % 12 as int) as symbol, ts, price, size, event_id, user_id, session_date, cast(slot as int) as slot from {ticks}"),
+        Operator("desk_universe", "select distinct symbol, cast(symbol % 3 as int) as sector from {desk_ticks}"),
+        Operator(
+            "desk_bars",
+            """select symbol, session_date, slot, min_by(price, ts) as open, max(price) as high, min(price) as low, max_by(price, ts) as close,
+            cast(sum(size) as bigint) as volume from {desk_ticks} group by symbol, session_date, slot""",
+        ),
+        Operator("desk_index_bars", "select 1 as priority, session_date, slot, min_by(price, ts) as open, max_by(price, ts) as close from {desk_ticks} where symbol % 2 = 0 group by session_date, slot union all select 2, session_date, slot, min_by(price, ts), max_by(price, ts) from {desk_ticks} group by session_date, slot"),
+        # What is known besides bars, and from which slot on. The open comes from another record than the bars, for some stocks.
+        Operator(
+            "desk_facts",
+            """with d as (select symbol, session_date, min(slot) as first_slot, min_by(open, slot) as open, max_by(close, slot) as close from {desk_bars} group by symbol, session_date),
+            f as (select symbol, session_date, slot, avg(size) as depth, (max(price) - min(price)) / avg(price) as spread, sum(case when event_id % 2 = 0 then size else -size end) / (1e0 * nullif(sum(size), 0)) as flow, avg(price) as mean from {desk_ticks} group by symbol, session_date, slot),
+            m as (select session_date, slot, avg(size) / 100 as iv, stddev_pop(price) / avg(price) as ratio, avg(price) as mean from {desk_ticks} group by session_date, slot)
+            select session_date, symbol, 'previous_close' as name, 0 as known_slot, lag(close) over (partition by symbol order by session_date) as value from d
+            union all select session_date, symbol, 'today_open', first_slot, open from d where symbol % 4 != 0
+            union all select session_date, symbol, 'spread_bps', slot + 1, 100 * spread from f where slot % 2 = 0 union all select session_date, symbol, 'depth5', slot + 1, depth from f
+            union all select session_date, symbol, 'imbalance1', slot + 1, flow from f where slot % 3 = 0 union all select session_date, symbol, 'ofi_norm', slot + 2, flow / 2 from f where symbol % 2 = 0 union all select session_date, symbol, 'signed_flow', slot + 1, -flow from f
+            union all select f.session_date, f.symbol, 'response_gap', f.slot + 1, (m.mean - f.mean) / m.mean from f join m on m.session_date = f.session_date and m.slot = f.slot
+            union all select f.session_date, f.symbol, 'response_gap_sigma', f.slot + 1, (m.mean - f.mean) / m.mean / nullif(m.ratio, 0) from f join m on m.session_date = f.session_date and m.slot = f.slot
+            union all select f.session_date, f.symbol, 'pending_response_sigma', f.slot + 3, (m.mean - f.mean) / m.mean / 2 from f join m on m.session_date = f.session_date and m.slot = f.slot
+            union all select session_date, null, 'nifty_atm_iv', slot + 1, iv from m where slot % 3 = 0 union all select session_date, null, 'nifty_budget_ratio', slot + 1, ratio from m where slot % 4 = 1
+            union all select session_date, null, 'market_state_code', slot + 1, case when ratio > 1 then 2e0 when iv > 45e-2 then 1e0 else 0e0 end from m""",
+        ),
+        # Option legs of two underlyings, in snapshots of every third hour; IV in percent or as a fraction, and quotes, deltas or open interest missing here and there.
+        Operator(
+            "desk_legs",
+            """with t as (select cast(user_id % 2 as int) as underlying, session_date, slot, cast(floor(price / 10) * 10 as double) as strike, case when event_id % 2 = 0 then 'CE' else 'PE' end as side, price, size, event_id from {desk_ticks} where slot % 3 = 0),
+            s as (select underlying, session_date, slot, avg(price) as spot from t group by underlying, session_date, slot),
+            l as (select underlying, session_date, slot, strike, side, avg(price) as price, sum(size) as oi, avg(size) as mean, count(*) as n, min(event_id) as id from t group by underlying, session_date, slot, strike, side)
+            select l.underlying, l.session_date, l.slot, @add_days(l.session_date, 6 - @weekday(l.session_date)) as expiry, s.spot, l.strike, l.side,
+              case when id % 7 = 0 then null when id % 3 = 0 then 10 + mean / 5 else (10 + mean / 5) / 100 end as iv, case when id % 11 = 0 or l.underlying = 1 and l.slot % 2 = 0 then null when l.side = 'CE' then (s.spot - l.strike) / (4 * s.spot) + 3e-1 else (s.spot - l.strike) / (4 * s.spot) - 3e-1 end as delta,
+              case when id % 5 = 0 then null else l.price * 99e-2 end as bid, l.price * 101e-2 as ask, l.price as last_price, cast(oi as double) as oi, case when id % 4 = 0 then null else cast(oi - n as double) end as previous_oi
+            from l join s on s.underlying = l.underlying and s.session_date = l.session_date and s.slot = l.slot where l.session_date <> date '2024-01-09'""",
+        ),
+        Operator("desk_returns", "select underlying, session_date, slot, ln(close / open) / 100 as r from (select cast(user_id % 2 as int) as underlying, session_date, slot, min_by(price, ts) as open, max_by(price, ts) as close from {desk_ticks} group by user_id % 2, session_date, slot) x where open > 0 and close > 0"),
+        Operator("desk_futures", "select cast(user_id % 2 as int) as underlying, session_date, slot, avg(price) * (1 + avg(size) / 1e4) as price, avg(price) as spot from {desk_ticks} where event_id % 3 <> 0 group by user_id % 2, session_date, slot"),
         Operator("snapshots", "select o_orderpriority as underlying, cast(o_orderdate as date) as session_date, sum(o_totalprice) as oi, avg(o_totalprice) as price, count(*) as n from {orders} group by o_orderpriority, cast(o_orderdate as date)"),
     )
 }
