@@ -231,10 +231,10 @@ def calibrations(scored: DataFrame, days: DataFrame, rules: Rules) -> DataFrame:
         scale = float(np.std(pred)) or 1.0 if len(pred) else 1.0
         x, hit = np.abs(pred) / scale, (np.sign(pred) == np.sign(real)).astype(float)
         a, b = logistic(x, hit)
-        p = 1 / (1 + np.exp(-(a + b * x)))
+        p = np.round(1 / (1 + np.exp(-(a + b * x))), 9)
         ece = 0.0
         if len(p):
-            edges = np.quantile(p, np.linspace(0, 1, 11))
+            edges = np.round(np.quantile(p, np.linspace(0, 1, 11)), 9)
             for low, high in zip(edges, edges[1:], strict=False):
                 some = (p >= low) & (p <= high)
                 ece += some.mean() * abs(hit[some].mean() - p[some].mean()) if some.any() else 0.0

@@ -129,7 +129,7 @@ def _steps(*wanted: str) -> str:
         "sums": "select a.session_date, a.k as i, b.k as j, sum(a.v * b.v) as v from terms a join terms b on a.session_date = b.session_date and a.symbol = b.symbol group by all",
         "day_numbers": "select session_date, row_number() over (order by session_date) as number from (select distinct session_date from rows_)",
         "systems": f"""select d.session_date, s.i, s.j, sum(s.v) + case when s.i = s.j and s.i between 1 and {n - 1} then {r.alpha}e0 else 0e0 end as v
-          from day_numbers d join day_numbers e on e.number between d.number - {r.window} and d.number - 1 join sums s on s.session_date = e.session_date group by all""",
+          from day_numbers d join day_numbers e on e.number between d.number - {r.window} and d.number - 1 join sums s on s.session_date = e.session_date group by d.session_date, s.i, s.j""",
         "sizes": f"select d.session_date, count(distinct e.number) as train_days, cast(coalesce(sum(s.v), 0) as bigint) as train_rows from day_numbers d left join day_numbers e on e.number between d.number - {r.window} and d.number - 1 left join sums s on s.session_date = e.session_date and s.i = 0 and s.j = 0 group by d.session_date",
         "elimination": f"""select session_date, -1 as step, i, j, v from systems where i < {n} and session_date in (select session_date from sizes where train_days >= {r.least_days} and train_rows >= {r.least_rows})
           union all select a.session_date, a.step + 1, a.i, a.j, case when a.i = a.step + 1 then a.v / p.v else a.v - c.v * b.v / p.v end
@@ -148,8 +148,8 @@ def _steps(*wanted: str) -> str:
             select *, list_sum(list_transform(list_zip(y, p), lambda q: q[1] - q[2])) - 1e-6 * a as g1, list_sum(list_transform(list_zip(y, p, x), lambda q: (q[1] - q[2]) * q[3])) - 1e-6 * b as g2,
               list_sum(list_transform(p, lambda q: q * (1 - q))) + 1e-6 as h11, list_sum(list_transform(list_zip(p, x), lambda q: q[1] * (1 - q[1]) * q[2])) as h12, list_sum(list_transform(list_zip(p, x), lambda q: q[1] * (1 - q[1]) * q[2] * q[2])) + 1e-6 as h22
             from (select *, list_transform(x, lambda v: 1 / (1 + exp(-greatest(least(a + b * v, 30), -30)))) as p from climb where step < 30))""",
-        "chances": "select session_date, a, b, unnest(list_transform(x, lambda v: 1 / (1 + exp(-(a + b * v))))) as p, unnest(y) as y from climb where step = 30",
-        "bins": "select session_date, unnest(range(10)) as k, quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) as edges, count(*) as n from chances group by session_date",
+        "chances": "select session_date, a, b, unnest(list_transform(x, lambda v: round(1 / (1 + exp(-(a + b * v))), 9))) as p, unnest(y) as y from climb where step = 30",
+        "bins": "select session_date, unnest(range(10)) as k, list_transform(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda e: round(e, 9)) as edges, count(*) as n from chances group by session_date",
         "errors": "select b.session_date, b.k, count(c.p) / max(1e0 * n) * abs(avg(c.y) - avg(c.p)) as e from bins b join chances c on c.session_date = b.session_date and c.p >= b.edges[k + 1] and c.p <= b.edges[k + 2] group by b.session_date, b.k",
         "calibration": "select s.session_date, oos_days, points, scale, coalesce(m.a, 0) as a, coalesce(m.b, 0) as b, coalesce(x.ece, 0) as ece from scales s left join climb m on m.session_date = s.session_date and m.step = 30 left join (select session_date, sum(e) as ece from errors group by session_date) x on x.session_date = s.session_date",
         "decisions": duck(s.decisions_sql(r)),
