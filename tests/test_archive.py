@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import indicators, registry, response
 from tickloom.sources import archive, sinks
+from tickloom.sources.log import Log
 from tickloom.streaming import state
 
 
@@ -21,7 +22,7 @@ def test_a_fuller_day_stays(spark, tmp_path):
     rows = lambda n, day: spark.createDataFrame([(day, k) for k in range(n)], "session_date string, k int")
     said = [sinks.write_days(x, root).collect() for x in (rows(5, "2024-01-02"), rows(3, "2024-01-02"), rows(4, "2024-01-03"), rows(5, "2024-01-02"))]
     assert [r[0].written for r in said] == [True, False, True, True]
-    assert {(str(r.session_date), r["count"]) for r in spark.read.parquet(root).groupBy("session_date").count().collect()} == {("2024-01-02", 5), ("2024-01-03", 4)}
+    assert {(str(r.session_date), r["count"]) for r in Log(spark, root).table().groupBy("session_date").count().collect()} == {("2024-01-02", 5), ("2024-01-03", 4)}
 
 
 def test_decisions_are_written_once(spark, tmp_path):
@@ -38,7 +39,7 @@ def test_events_are_added_once(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "event_id string, x int")
     assert sinks.add_new(rows, root, "event_id").count() == 2
     assert sinks.add_new(rows, root, "event_id").count() == 0
-    assert spark.read.parquet(root).count() == 2
+    assert Log(spark, root).table().count() == 2
 
 
 def test_wrong_lists_are_errors(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.sources import archive as a
 from tickloom.sources import sinks as k
+from tickloom.sources.log import Log
 from tickloom.sources.market import duckdb_tables, market
 from tickloom.streaming.replay import shared_dir
 
@@ -320,7 +321,7 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir).select("session_date", "symbol", "slot", "close")
     for part in ("slot % 2 = 0", "dayofmonth(session_date) % 2 = 0", "slot % 3 = 0"):
         k.write_days(b.where(part), root)
-    return spark.read.parquet(root).groupBy("session_date").agg(F.count("*").alias("rows"), F.sum("slot").alias("slots"))
+    return Log(spark, root).table().groupBy("session_date").agg(F.count("*").alias("rows"), F.sum("slot").alias("slots"))
 
 
 SNK_01 = f"""with {duckdb_tables(['bars'])}, p as (select session_date, k, count(*) as rows, cast(sum(slot) as bigint) as slots from bars cross join (select unnest([1, 2, 3]) as k) x
@@ -333,8 +334,8 @@ def snk_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark)
     k.write_days(candles, f"{root}/equity")
     k.write_days(reference, f"{root}/reference")
-    c = spark.read.parquet(f"{root}/equity").groupBy("session_date", "symbol").agg(F.count("*").alias("rows"), F.count("close").alias("closes"))
-    return c.join(spark.read.parquet(f"{root}/reference"), ["session_date", "symbol"]).select(F.col("session_date").cast("date").alias("session_date"), "symbol", "security_id", "rows", "closes", "today_open")
+    c = Log(spark, f"{root}/equity").table().groupBy("session_date", "symbol").agg(F.count("*").alias("rows"), F.count("close").alias("closes"))
+    return c.join(Log(spark, f"{root}/reference").table(), ["session_date", "symbol"]).select(F.col("session_date").cast("date").alias("session_date"), "symbol", "security_id", "rows", "closes", "today_open")
 
 
 SNK_02 = f"""with {duckdb_tables(['bars'])}, r as (select session_date, symbol, 1 as c from bars union all select session_date, symbol, case when slot != 5 then 1 end from bars where slot in (3, 5, 7, 9, 11))

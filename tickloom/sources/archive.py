@@ -6,6 +6,12 @@ Every reader judges rows one by one and says why it refuses one; missing values
 
 from __future__ import annotations
 
+import csv
+import io
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,9 +98,11 @@ def payload_bars(payloads: DataFrame) -> DataFrame:
 
 
 def blocks(spark: SparkSession, root: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of the complete blocks of append-only files: up to the last end marker of each file, headers and torn rows left out."""
-    lines = spark.read.text(root, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    lines = lines.select("file", F.posexplode("lines").alias("position", "line"))
+    """Rows of the complete blocks of append-only files: up to the last end marker of each file, headers and torn rows left out.
+
+    Lines are read as such, so a large file is many tasks' work; `position` is the start of the line's part of the file and its place there.
+    """
+    lines = spark.read.text(root).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("position"), F.col("value").alias("line"))
     last = lines.where(F.col("line").startswith(f"{END} ")).groupBy("file").agg(F.max("position").alias("last"))
     rows = lines.join(last, "file").where(F.col("position") < F.col("last")).where(~F.col("line").startswith(END) & (F.col("line") != "") & (F.col("line") != ",".join(columns)))
     parts = F.split("line", ",", -1)
@@ -115,9 +123,38 @@ def latest_snapshots(lines: DataFrame, schema: str, minute: str = "minute") -> D
 
 
 def chain_files(spark: SparkSession, root: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of gzip CSV files of several members; what follows a torn member is left out."""
-    rows = spark.read.options(header=True, ignoreCorruptFiles=True, mode="DROPMALFORMED").schema(", ".join(f"{c} string" for c in columns)).csv(root)
-    return rows.where(F.col(columns[0]) != columns[0])
+    """Rows of gzip CSV files of several members, each with a header or none; a last member that a crash cut short is left out.
+
+    Anything else that can't be read is an error: a broken member before the last, a check sum that is wrong, a row of another width.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for text in gzip_members(content, path):
+                    rows = [r for r in csv.reader(io.StringIO(text.decode())) if r and r != list(columns)]
+                    if wrong := [r for r in rows if len(r) != len(columns)]:
+                        raise ValueError(f"{path}: a row of {len(wrong[0])} fields instead of {len(columns)}")
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], list(columns))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(root).select("path", "content")
+    return files.mapInArrow(run, ", ".join(f"{c} string" for c in columns))
+
+
+def gzip_members(content: bytes, path: str) -> Iterator[bytes]:
+    """The members' texts; one at the end of the file that has no end is left out."""
+    rest = content
+    while rest:
+        member = zlib.decompressobj(31)
+        try:
+            text = member.decompress(rest)
+        except zlib.error as x:
+            raise ValueError(f"{path}: a broken member, {len(content) - len(rest)} bytes from the start") from x
+        if not member.eof:
+            return
+        yield text
+        rest = member.unused_data
 
 
 def array_candles(bodies: DataFrame, *keys: str) -> DataFrame:

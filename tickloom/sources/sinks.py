@@ -11,45 +11,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.sources.archive import END, FIELDS, number
+from tickloom.sources.log import Log
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def _replaced(spark: SparkSession, df: DataFrame, path: str, form: str = "parquet", **options: object) -> None:
-    """Writes beside the path, then takes its place by one rename."""
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.options(**options).format(form).save(beside)
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = jvm.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where.getParent())
-    if files.exists(where):
-        files.delete(where, True)
-    files.rename(jvm.Path(beside), where)
+def _replaced(df: DataFrame, root: str) -> DataFrame:
+    """df in place of all that the table at root held, by one version of its log."""
+    log = Log(df.sparkSession, root)
+    entry = {uuid.uuid4().hex: {"path": log.written(df)}}
+    log.changed(lambda _: (entry, True))
+    return log.rows(entry, df.schema)
 
 
 def write_days(rows: DataFrame, root: str) -> DataFrame:
     """Writes each day's rows unless the day is archived with more: session_date, rows and written of each day.
 
-    One file of gzip CSV a day would be one task's; Parquet is splittable. Days that stay aren't rewritten.
+    All days of a write come in with one version of the table's log, which tells their rows, so older days are neither read nor
+    rewritten. One file of gzip CSV a day would be one task's; Parquet is splittable.
     """
-    spark = rows.sparkSession
-    new = rows.groupBy("session_date").agg(F.count("*").alias("rows"))
-    if _there(spark, root):
-        old = spark.read.parquet(root).groupBy(F.col("session_date").cast("string").alias("session_date")).agg(F.count("*").alias("old"))
-        new = new.join(old, new["session_date"].cast("string") == old["session_date"], "left").select(new["session_date"], "rows", (F.coalesce("old", F.lit(0)) <= F.col("rows")).alias("written"))
-    else:
-        new = new.withColumn("written", F.lit(True))
-    log = f"{root.rstrip('/')}.log/{uuid.uuid4().hex}"
-    new.write.parquet(log)
-    said = spark.read.schema(new.schema).parquet(log)
-    # A row a day; days of one write are replaced, others aren't touched.
-    fuller = rows.join(said.where("written").select("session_date"), "session_date", "left_semi")
-    fuller.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(root)
-    return said
+    log = Log(rows.sparkSession, root)
+    path = log.written(rows, "session_date")
+    schema = rows.schema
+    # A row a day.
+    counts = {str(x["session_date"]): x["rows"] for x in log.spark.read.schema(schema).parquet(path).groupBy("session_date").agg(F.count("*").alias("rows")).toLocalIterator()}
+    fuller: dict[str, dict] = {}
+
+    def change(old: dict[str, dict]) -> tuple[dict[str, dict], bool]:
+        fuller.clear()
+        fuller.update({d: {"path": f"{path}/_by={d}", "rows": n} for d, n in counts.items() if n >= old.get(d, {}).get("rows", 0)})
+        return fuller, False
+
+    log.changed(change)
+    kind = schema["session_date"].dataType.simpleString()
+    told = log.spark.createDataFrame([(d, n, d in fuller) for d, n in counts.items()], "session_date string, rows long, written boolean")
+    return told.withColumn("session_date", F.col("session_date").cast(kind))
 
 
 def live_tables(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,11 +67,16 @@ def manifest(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def append_blocks(rows: DataFrame, root: str, columns: list[str], minute: str = "minute") -> None:
-    """A text file for each minute of rows: header, its rows and the end marker; a minute written already stays as it is."""
+    """A text file for each minute of rows: header, its rows and the end marker; a minute written already stays as it is.
+
+    Which minutes there are, the folders' names say.
+    """
     spark = rows.sparkSession
-    if _there(spark, root):
-        had = spark.read.text(root, wholetext=True).select(F.regexp_extract("value", f"{END} ([0-9]+)", 1).cast("long").alias(minute)).distinct()
-        rows = rows.join(had, minute, "left_anti")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where):
+        had = [(x.getPath().getName().removeprefix("part="),) for x in files.listStatus(where) if x.getPath().getName().startswith("part=")]
+        rows = rows.join(spark.createDataFrame(had, "had string"), F.col(minute).cast("string") == F.col("had"), "left_anti")
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     made = rows.groupBy(minute).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     text = F.array_join(F.concat(F.array(F.lit(",".join(columns))), "lines", F.array(F.concat(F.lit(f"{END} "), F.col(minute).cast("string"), F.lit(" "), F.size("lines").cast("string")))), "\n")
@@ -86,8 +85,7 @@ def append_blocks(rows: DataFrame, root: str, columns: list[str], minute: str =
 
 def compacted(stream: DataFrame, root: str, day: str) -> DataFrame:
     """A finished day's rows as one table of the archive; the same rows give the same table, however often it is called."""
-    _replaced(stream.sparkSession, stream.coalesce(1), f"{root.rstrip('/')}/session_date={day}")
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root.rstrip('/')}/session_date={day}")
+    return _replaced(stream.coalesce(1), f"{root.rstrip('/')}/session_date={day}")
 
 
 def expired(folders: DataFrame, today: Column, retention: int) -> DataFrame:
@@ -104,26 +102,33 @@ def within_budget(rows: DataFrame, day: str, order: str, size: str, budget: int)
     return rows.withColumn("before", before).where(F.col("before") < budget).drop("before")
 
 
-def add_new(rows: DataFrame, root: str, key: str) -> DataFrame:
-    """Adds rows whose key isn't stored yet, once each, and returns them: repeating an add adds nothing."""
-    spark = rows.sparkSession
-    new = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("x")).select(key, "x.*")
-    if _there(spark, root):
-        new = new.join(spark.read.parquet(root).select(key), key, "left_anti")
-    part = f"{root.rstrip('/')}/part={uuid.uuid4().hex}"
-    new.write.parquet(part)
-    return spark.read.schema(new.schema).parquet(part)
+def add_new(rows: DataFrame, root: str, key: str, digest: str | None = None) -> DataFrame:
+    """Adds rows whose key isn't stored yet, once each, and returns them: repeating an add adds nothing.
+
+    With `digest`, a stored key with another digest is an error. Of writers at the same time one adds first, and the others look
+    again at what is new.
+    """
+    log = Log(rows.sparkSession, root)
+    once = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("x")).select(key, "x.*")
+
+    def change(old: dict[str, dict]) -> tuple[dict[str, dict], bool]:
+        new = once
+        if old:
+            had = log.rows(old, once.schema)
+            if digest is not None:
+                wrong = F.raise_error(F.concat(F.lit("another one is stored for "), F.col(key).cast("string"))).cast("boolean")
+                is_new = F.when(F.col("_old").isNull(), F.lit(True)).when(F.col("_old") == F.col(digest), F.lit(False)).otherwise(wrong)
+                new = new.join(had.select(F.col(key), F.col(digest).alias("_old")), key, "left").where(is_new).drop("_old")
+            else:
+                new = new.join(had.select(key), key, "left_anti")
+        return {uuid.uuid4().hex: {"path": log.written(new)}}, False
+
+    return log.rows(log.changed(change), once.schema)
 
 
 def save_once(rows: DataFrame, root: str, key: str, digest: str) -> DataFrame:
-    """Adds rows of new keys and returns them; a stored key with another digest is an error."""
-    spark = rows.sparkSession
-    if _there(spark, root):
-        old = spark.read.parquet(root).select(F.col(key), F.col(digest).alias("_old"))
-        wrong = F.raise_error(F.concat(F.lit("another one is stored for "), F.col(key).cast("string"))).cast("boolean")
-        new = F.when(F.col("_old").isNull(), F.lit(True)).when(F.col("_old") == F.col(digest), F.lit(False)).otherwise(wrong)
-        rows = rows.join(old, key, "left").where(new).drop("_old")
-    return add_new(rows, root, key)
+    """Adds rows of new keys and returns them; a stored key with another digest is an error, and nothing is added."""
+    return add_new(rows, root, key, digest)
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
@@ -137,10 +142,8 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def backup(spark: SparkSession, root: str, to: str) -> DataFrame:
-    """A copy of a table, in place of an older copy."""
-    table = spark.read.parquet(root)
-    _replaced(spark, table, to)
-    return spark.read.schema(table.schema).parquet(to)
+    """A copy of a table, in place of an older copy; readers see the old or the new one."""
+    return _replaced(spark.read.parquet(root), to)
 
 
 BARS = ["session_date", "symbol", *FIELDS]
