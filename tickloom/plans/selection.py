@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import selector as s
+from tickloom.functions.reconstruction import day_keys, reconstructed
 from tickloom.operators.matrix import COLUMNS, DECISION, HOURS, matrix_sql, over_desk
 from tickloom.plans.dialect import Operator
 from tickloom.sources.market import duckdb_tables, market
-from tickloom.sources.shared import kept
+from tickloom.sources.shared import fresh_path, kept
 
 #: The stand-in has a month of days and a dozen stocks.
 RULES = s.Rules(completeness=0.5, age=3, price=1.0, turnover=0.001, window=15, least_days=8, least_rows=40, history=20, compare_days=5, calibration_days=6, first_picks=10, most_error=0.2, least_ic=4)
@@ -70,7 +71,7 @@ def decided(scored: DataFrame, rules: s.Rules) -> DataFrame:
 
 def over(spark: SparkSession, sf_dir: str) -> Selection:
     t = market(spark, sf_dir, ["desk_bars", "desk_universe", "desk_index_bars", "desk_facts"])
-    return Selection(kept(t["desk_bars"], "bars"), t["desk_universe"], t["desk_index_bars"], kept(t["desk_facts"], "facts"), RULES, DECISION)
+    return Selection(kept(t["desk_bars"], "bars"), t["desk_universe"], kept(t["desk_index_bars"], "index"), kept(t["desk_facts"], "facts"), RULES, DECISION)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -108,6 +109,48 @@ def eng_45(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select(*[F.col(c).cast("double").alias(c) if c in COLUMNS else c for c in out.columns]))
 
 
+def reconstruct(x: Selection, root: str) -> DataFrame:
+    """Every session's decision with its outcome, made for the sessions whose inputs have changed since the last run over root."""
+    spark, r = x.bars.sparkSession, x.rules
+    keys = day_keys([x.bars, x.facts, x.index_bars], HOURS.lookback + r.window + r.history)
+
+    def rows_of(first: str, days: list[str]) -> DataFrame:
+        seen = lambda t: t.where((F.col("session_date") >= F.lit(first)) & (F.col("session_date") <= F.lit(days[-1])))
+        part = Selection(seen(x.bars), x.universe, seen(x.index_bars), seen(x.facts), r, x.decision)
+        # Facts of a session may look back; the matrix's own look back is that of its norms.
+        outcomes = part.outcomes().where(F.col("horizon") == PRIMARY)
+        return Operator("rows", s.rows_sql(r, x.decision))(matrix=part.matrix(), outcomes=outcomes)
+
+    def sums_of(rows: DataFrame) -> DataFrame:
+        sums = s.daily_sums(rows.where("eligible and target is not null"), "session_date", T, "target")
+        return rows.select("session_date").distinct().join(sums, "session_date", "left")
+
+    def scored_of(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        fits = s.walk_forward(sums, sums.select("session_date"), "session_date", len(T) + 2, r.window, r.least_days, r.least_rows, r.alpha)
+        return s.predicted(rows, fits, "session_date", P)
+
+    def decided_of(scored: DataFrame) -> DataFrame:
+        picked = decided(scored, r)
+        real = scored.select("session_date", "symbol", "forward", "mfe", "mae")
+        up = F.col("direction") == "UP"
+        out = picked.join(real, ["session_date", "symbol"], "left")
+        return out.withColumns({
+            "return_pct": 100 * F.when(up, F.col("forward")).otherwise(-F.col("forward")), "net_return_pct": 100 * (F.when(up, F.col("forward")).otherwise(-F.col("forward")) - r.cost),
+            "real_mfe_pct": 100 * F.when(up, F.col("mfe")).otherwise(-F.col("mae")), "real_mae_pct": 100 * F.when(up, F.col("mae")).otherwise(-F.col("mfe")),
+        }).drop("forward", "mfe", "mae")
+
+    return reconstructed(spark, root, keys, HOURS.lookback, r.window + r.history, rows_of, sums_of, scored_of, decided_of)
+
+
+def eng_46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions reconstructed in two runs, the second over all that the first left to do."""
+    x, root = over(spark, sf_dir), fresh_path(spark, "reconstruction")
+    half = x.bars.agg(F.date_add(F.min("session_date"), F.floor(F.date_diff(F.max("session_date"), F.min("session_date")) / 2).cast("int"))).head()[0]
+    early = lambda t: t.where(F.col("session_date") <= F.lit(half))
+    reconstruct(Selection(early(x.bars), x.universe, early(x.index_bars), early(x.facts), x.rules, x.decision), root)
+    return _rounded(reconstruct(x, root).drop("_by"), 5)
+
+
 def _steps(*wanted: str) -> str:
     """DuckDB's tables of the steps, down to the last of wanted."""
     r, n = RULES, len(T) + 1
@@ -175,6 +218,9 @@ def oracle_sql() -> dict[str, str]:
         "eng_21": f"{_steps('scored')} select {_columns('signed_v1 prediction forward', 6, 'session_date symbol tier train_days train_rows')} from scored where eligible",
         "eng_22": f"{_steps('calibration')} select h.session_date, model, common_days, {_columns('net_v1 net_v2 ic_mean ic_t scale a b ece', 5)}, ic_days, picks_v1, hits_v1, picks_v2, hits_v2, oos_days, points from choice h left join calibration c on c.session_date = h.session_date",
         "eng_23": f"{_steps('decisions')} select {decisions} from decisions",
+        "eng_46": f"""{_steps('decisions')} select {decisions},
+          round(100 * sg * forward, 5) + 0e0 as return_pct, round(100 * (sg * forward - {RULES.cost}), 5) + 0e0 as net_return_pct, round(100 * case when sg > 0 then mfe else -mae end, 5) + 0e0 as real_mfe_pct, round(100 * case when sg > 0 then mae else -mfe end, 5) + 0e0 as real_mae_pct
+          from (select d.*, case when direction = 'UP' then 1 else -1 end as sg from decisions d) d left join (select session_date as sd, symbol as sy, forward, mfe, mae from rows_) r on r.sd = d.session_date and r.sy = d.symbol""",
         "eng_24": f"{_steps('outcomes')} select {outcomes} from outcomes",
         "eng_45": f"""{_steps('rows_')}, l as (select session_date as d, symbol as y, {later} from outcomes group by session_date, symbol)
           select r.session_date, r.symbol, r.tier, r.eligible, {', '.join(f'round(cast(m.{c} as double), 6) + 0e0 as {c}' for c in COLUMNS)}, l.* exclude (d, y) from rows_ r join matrix m on m.session_date = r.session_date and m.symbol = r.symbol left join l on l.d = r.session_date and l.y = r.symbol""",
@@ -182,4 +228,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"eng_21": eng_21, "eng_22": eng_22, "eng_23": eng_23, "eng_24": eng_24, "eng_45": eng_45}
+    return {"eng_21": eng_21, "eng_22": eng_22, "eng_23": eng_23, "eng_24": eng_24, "eng_45": eng_45, "eng_46": eng_46}
