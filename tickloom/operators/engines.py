@@ -34,6 +34,4 @@ OPERATORS = [
     Operator("bkt_08", "select slot, count(*) as n, round(avg(close - open), 6) as baseline from {bars} group by slot"),
     Operator("bkt_11", f"with p as (select {K}, open, close, low, min(low) over w as floor_ from {{grid}} window w as ({DAY} rows between 5 preceding and 1 preceding)) select {K} from p where low < floor_ and close > floor_"),
     Operator("bkt_16", f"with r as (select {K}, close, high - low as width, max(high) over w as top, max(high - low) over w as widest from {{grid}} window w as ({DAY} rows between 3 preceding and 1 preceding)) select {K} from r where close > top and widest < 100"),
-    Operator("str_01", "select symbol, @seconds(ts) - @seconds(ts) % 60 as minute, min_by(price, ts) as open, max(price) as high, min(price) as low, max_by(price, ts) as close, count(*) as n from {ticks} group by symbol, @seconds(ts) - @seconds(ts) % 60"),
-    Operator("str_15", "select underlying, session_date, case when price > lag(price) over w and oi > lag(oi) over w then 'LONG_BUILDUP' when lag(price) over w is null then 'UNKNOWN' else 'OTHER' end as buildup from {snapshots} window w as (partition by underlying order by session_date)"),
 ]

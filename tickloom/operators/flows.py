@@ -65,30 +65,6 @@ OPERATORS = [
         select n.symbol, n.session_date, h.points, case when h.points >= 20 then round((n.close - h.middle) / nullif(s.scale, 0), 4) + 0e0 end as z from n join h on h.symbol = n.symbol and h.session_date = n.session_date
         join s on s.symbol = n.symbol and s.session_date = n.session_date where n.slot = n.top""",
     ),
-    Operator(
-        "str_08",
-        """with p as (select symbol, session_date, slot, event_id, case when event_id % 11 = 0 then slot - 12 else slot end as bucket from {ticks}), m as (select *, max(slot) over (partition by session_date order by slot range between unbounded preceding and current row) as now from p)
-        select session_date, count(case when bucket >= now - 10 then 1 end) as kept, count(case when bucket < now - 10 then 1 end) as dropped from m group by session_date""",
-    ),
-    Operator(
-        "str_10",
-        """with r as (select user_id, max(case when symbol = 'click' then ts end) as ws, max(case when symbol = 'view' then ts end) as rest from {ticks} group by user_id), n as (select max(ts) as now from {ticks}),
-        a as (select user_id, @seconds(now) - @seconds(case when ws is null then rest when rest is null then ws else greatest(ws, rest) end) as age from r cross join n)
-        select user_id, age, case when age is null then 'UNKNOWN' when age < 0 then 'TIME_ERROR' when age <= 86400 then 'FRESH' else 'STALE' end as freshness from a""",
-    ),
-    Operator(
-        "str_11",
-        f"""with live as (select {K}, close from {{bars}} where slot % 5 != 2), history as (select {K}, close + 1 as close from {{bars}} where slot < 12 and slot % 4 != 3),
-        k as (select {K} from live union select {K} from history)
-        select k.symbol, k.session_date, k.slot, coalesce(h.close, l.close) as close, case when h.close is not null and l.close is null then 'FILLED' when h.close is not null then 'REPLACED' else 'LIVE' end as origin
-        from k left join live l on l.symbol = k.symbol and l.session_date = k.session_date and l.slot = k.slot left join history h on h.symbol = k.symbol and h.session_date = k.session_date and h.slot = k.slot""",
-    ),
-    Operator(
-        "str_18",
-        """with t as (select user_id, ts, case when @seconds(ts) - lag(@seconds(ts)) over (partition by user_id order by ts) <= 86400 then 0 else 1 end as new_ from {ticks}),
-        s as (select user_id, ts, sum(new_) over (partition by user_id order by ts rows unbounded preceding) as k from t) select user_id, min(ts) as session_start, max(ts) as last_tick, count(*) as n from s group by user_id, k""",
-    ),
-    Operator("str_19", "with m as (select session_date, slot, count(*) as total from {ticks} group by session_date, slot), c as (select *, sum(total) over (partition by session_date order by slot rows unbounded preceding) as counter from m), d as (select session_date, slot, counter - coalesce(lag(counter) over (partition by session_date order by slot), 0) as delta from c) select session_date, cast(max(delta) as bigint) as most, cast(sum(delta) as bigint) as total from d group by session_date"),
     Operator(
         "eng_27",
         """with t as (select sector, cast(floor((@days(session_date) + 3) / 7e0) as bigint) as week, close - open as x from {daily}), b as (select min(week) as w0, max(week) - min(week) + 1 as n from t),

@@ -48,13 +48,13 @@ class Scale:
     crore: str = "1e7"
 
 
-def matrix_sql(scale: Scale, decision: int | None = None) -> str:
+def matrix_sql(scale: Scale, decision: int | None = None, upto: int | None = None) -> str:
     """SQL over bars (symbol, session_date, slot, open, high, low, close, volume), universe (symbol, sector), index_bars
-    (priority, session_date, slot, open, close) and facts; a row for each symbol, session and slot, or at one decision slot.
+    (priority, session_date, slot, open, close) and facts; a row for each symbol, session and slot, up to a last one, or at one decision slot.
 
-    Bars after the decision slot aren't read.
+    Bars after the decision slot, or the last one, aren't read.
     """
-    s, last = scale, scale.slots - 1 if decision is None else decision
+    s, last = scale, next(x for x in (upto, decision, scale.slots - 1) if x is not None)
 
     def frame(n: int, skip: int = 0) -> str:
         return f"({DAY} rows between {n + skip - 1} preceding and {f'{skip} preceding' if skip else 'current row'})"

@@ -30,6 +30,13 @@ CALLS = {
     "listed": ("array_join(sort_array(collect_list({0})), ',')", "coalesce(array_to_string(list_sort(list({0})), ','), '')"),
     "weekday": ("weekday({0})", "cast(isodow({0}) - 1 as int)"),
     "as_date": ("try_to_date({0}, {1})", "cast(try_strptime({0}, {2}) as date)"),
+    "gathered": ("collect_list({0})", "list({0}) filter (where {0} is not null)"),
+    "length": ("size({0})", "coalesce(len({0}), 0)"),
+    "middle": (
+        "case when size({0}) > 0 then (element_at(sort_array({0}), cast((size({0}) + 1) / 2 as int)) + element_at(sort_array({0}), cast((size({0}) + 2) / 2 as int))) / 2 end",
+        "list_aggregate({0}, 'median')",
+    ),
+    "deviations": ("transform({0}, x -> abs(x - {1}))", "list_transform({0}, lambda x: abs(x - {1}))"),
     "hash_part": ("cast(conv(substr(md5({0}), 1, 7), 16, 10) as bigint)", "cast('0x' || substr(md5({0}), 1, 7) as bigint)"),
     "fixed": ("format_number({0}, '0.00')", "format('{{:.2f}}', {0})"),
     "in_zone": ("date_format(from_utc_timestamp({0}, 'Asia/Kolkata'), 'yyyy-MM-dd HH:mm:ss')", "strftime({0} + interval 330 minute, '%Y-%m-%d %H:%M:%S')"),

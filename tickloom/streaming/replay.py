@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.sources.shared import fresh_path
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in that of spark.checkpoint.dir; in a folder of our own only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if top is None:
-        top = tempfile.mkdtemp(prefix="tickloom-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/tickloom/stream-{uuid.uuid4().hex}"
+    """A new folder in that of spark.checkpoint.dir; in a folder of our own only on one machine where none is set."""
+    return fresh_path(spark, "stream")
 
 
 def replayed(stream: DataFrame) -> DataFrame:

@@ -9,8 +9,11 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.streaming.keyed import day_end
+
 OUT = "symbol string, session_date date, event_id bigint, minute bigint, price double, verdict string, delta bigint"
 KEPT = "volume bigint, minute bigint, traded bigint, total bigint, size bigint, price double"
 NONE = (None, None, None, None, None, None)
@@ -51,16 +54,24 @@ def _judged(key: tuple, rows: pd.DataFrame, state: tuple, width: int, opens: int
     return out.assign(verdict=verdicts, delta=pd.array(deltas, "Int64")), state
 
 
-def judged_stream(ticks: DataFrame, width: int = 60, opens: int = 0) -> DataFrame:
-    """ticks: symbol, session_date, event_id, received, traded (seconds), total, size, price."""
+def judged_stream(ticks: DataFrame, width: int = 60, opens: int = 0, grace: str = "1 hour") -> DataFrame:
+    """ticks: symbol, session_date, event_id, received, traded (seconds), total, size, price.
+
+    A session's state goes when the watermark, on the time of receipt, has passed the session's date; what comes later than that is dropped.
+    """
 
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts))
         out, new = _judged(key, rows, state.get if state.exists else NONE, width, opens)
         state.update(new)
+        state.setTimeoutTimestamp(max(1000 * day_end(key[1]), state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return ticks.groupBy("symbol", "session_date").applyInPandasWithState(step, OUT, KEPT, "append", GroupStateTimeout.NoTimeout)
+    held = ticks.withColumn("_event", F.col("received").cast("timestamp")).withWatermark("_event", grace)
+    return held.groupBy("symbol", "session_date").applyInPandasWithState(step, OUT, KEPT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def judged_batch(ticks: DataFrame, width: int = 60, opens: int = 0) -> DataFrame:
