@@ -141,14 +141,6 @@ OPERATORS = [
         y as (select x.*, row_number() over (partition by qs, session_date order by distance, slot) as best from x), k as (select y.*, row_number() over (partition by qs order by distance, session_date) as place from y where best = 1), base as (select qs, avg(case when outcome > 0 then 1e0 else 0e0 end) as base_rate from c group by qs)
         select k.qs as query_slot, k.place, k.session_date, k.slot, k.distance, round(k.outcome, 6) as outcome, round(base.base_rate, 6) as base_rate from k join base on base.qs = k.qs where k.place <= 5""",
     ),
-    Operator(
-        "eng_14",
-        """with d as (select symbol, sector, session_date, volume, close / nullif(open, 0) - 1 as r, (close - avg(close) over (partition by symbol)) / nullif(stddev_pop(close) over (partition by symbol), 0) as z from {daily}),
-        s as (select session_date, sector, avg(r) as sr from d group by session_date, sector), t as (select session_date, sum(z) as s, count(z) as n from d group by session_date), g as (select (sum(s * s) / count(*) - avg(n)) / (avg(n) * (avg(n) - 1)) as corr_ from t),
-        m as (select session_date, stddev_pop(r) as dispersion, abs(avg(r)) as vol, avg(case when r > 0 then 1e0 else 0e0 end) as breadth, sum(abs(r) * abs(r)) / nullif(sum(abs(r)) * sum(abs(r)), 0) as concentration, sum(r) * sum(r) / nullif(count(r) * sum(r * r), 0) as co_movement from d group by session_date),
-        y as (select session_date, avg(case when sr > 0 then 1e0 else 0e0 end) as sector_sync from s group by session_date)
-        select m.session_date, round(g.corr_, 6) as mean_correlation, round(dispersion, 4) as dispersion, round(vol, 6) as market_move, round(breadth, 6) as breadth, round(concentration, 6) as concentration, round(co_movement, 6) as co_movement, round(sector_sync, 6) as sector_sync from m join y on y.session_date = m.session_date cross join g""",
-    ),
     Operator("agg_22", "with f as (select session_date, count(*) as found from {bars} where not (extract(day from session_date) % 7 = 0 and slot < 3) group by session_date), m as (select session_date, count(distinct symbol || ':' || cast(slot as varchar(9))) as stated from (select session_date, symbol, slot from {ticks}) x group by session_date) select m.session_date, coalesce(f.found, 0) as found, m.stated, coalesce(f.found, 0) = m.stated as matches from m left join f on f.session_date = m.session_date"),
     Operator("set_06", "with n as (select 0 as node, 0 as a, 400 as b union all select 1, 400, 800 union all select 2, 800, 100000000), u as (select distinct symbol from {daily}), p as (select u.symbol, count(n.node) as nodes from u left join n on u.symbol >= n.a and u.symbol < n.b group by u.symbol) select count(*) as universe, count(case when nodes = 1 then 1 end) as covered_once, max(nodes) <= 1 as disjoint, min(nodes) >= 1 as complete from p"),
     Operator("fn_37", "with d as (select r_regionkey, r_name, case r_regionkey when 1 then 'close > open ' else 'close > open' end as definition from {region}) select r_regionkey, @digest(definition) = '" + DEFINED + "' as locked from d"),

@@ -37,6 +37,8 @@ CALLS = {
         "list_aggregate({0}, 'median')",
     ),
     "deviations": ("transform({0}, x -> abs(x - {1}))", "list_transform({0}, lambda x: abs(x - {1}))"),
+    "below": ("size(filter({0}, x -> x < {1}))", "len(list_filter({0}, lambda x: x < {1}))"),
+    "alike": ("size(filter({0}, x -> x = {1}))", "len(list_filter({0}, lambda x: x = {1}))"),
     "hash_part": ("cast(conv(substr(md5({0}), 1, 7), 16, 10) as bigint)", "cast('0x' || substr(md5({0}), 1, 7) as bigint)"),
     "fixed": ("format_number({0}, '0.00')", "format('{{:.2f}}', {0})"),
     "in_zone": ("date_format(from_utc_timestamp({0}, 'Asia/Kolkata'), 'yyyy-MM-dd HH:mm:ss')", "strftime({0} + interval 330 minute, '%Y-%m-%d %H:%M:%S')"),
