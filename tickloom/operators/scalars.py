@@ -15,7 +15,7 @@ OPERATORS = [
     Operator("fn_10", "select event_id, case when price < 10 then 0 when price < 50 then 1 else 2 end as bucket3 from {ticks}"),
     Operator("fn_11", "select c.underlying, c.strike, c.side, case when abs(c.strike - s.spot) < 5e-1 then 'ATM' when (c.side = 'CE' and c.strike < s.spot) or (c.side = 'PE' and c.strike > s.spot) then 'ITM' else 'OTM' end as moneyness from {chain} c join {spots} s on s.underlying = c.underlying"),
     Operator("fn_12", "with d as (select underlying, session_date, oi - lag(oi) over w as d_oi, price - lag(price) over w as d_price from {snapshots} window w as (partition by underlying order by session_date)) select underlying, session_date, case when d_oi > 0 and d_price > 0 then 'LONG_BUILDUP' when d_oi > 0 and d_price < 0 then 'SHORT_BUILDUP' when d_oi < 0 and d_price > 0 then 'SHORT_COVERING' when d_oi < 0 and d_price < 0 then 'LONG_UNWINDING' else 'UNKNOWN' end as buildup from d"),
-    Operator("fn_13", "with z as (select symbol, session_date, round((volume - avg(volume) over (partition by symbol)) / nullif(stddev_pop(volume) over (partition by symbol), 0), 9) as z from {daily}) select symbol, session_date, case when abs(z) >= 5 then 'EXTREME' when abs(z) >= 3 then 'UNUSUAL' else 'NORMAL' end as class from z"),
+    Operator("fn_13", "with z as (select symbol, session_date, round((volume - avg(volume) over w) / nullif(stddev_pop(volume) over w, 0), 9) as z from {daily} window w as (partition by symbol order by session_date rows between unbounded preceding and 1 preceding)) select symbol, session_date, case when abs(z) >= 5 then 'EXTREME' when abs(z) >= 3 then 'UNUSUAL' else 'NORMAL' end as class from z"),
     Operator("fn_14", "select event_id, case when price / 20 < 15e-1 then 'LOW' when price / 20 < 25e-1 then 'MEDIUM' else 'HIGH' end as severity from {ticks}"),
     Operator("fn_17", "select underlying, strike, side, round(case when iv > 3 then iv / 100 else iv end, 6) as iv from {chain}"),
     Operator("fn_18", "with s as (select c.underlying, c.strike, c.iv as ce, p.iv as pe from {chain} c join {chain} p on p.underlying = c.underlying and p.strike = c.strike and p.side = 'PE' where c.side = 'CE') select underlying, strike, round(ce + pe, 6) as straddle, round((ce + pe) * strike * sqrt(1 / 252e0), 6) as implied_sd from s"),

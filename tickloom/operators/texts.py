@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tickloom.plans.dialect import Operator
 
-#: Percentile ranks of each day's co-movement, dispersion and volatility, as the rules read them.
-RANKS = """d as (select symbol, session_date, close / nullif(open, 0) - 1 as r from {daily}), m as (select session_date, stddev_pop(r) as dispersion, abs(avg(r)) as vol, avg(case when r > 0 then 1e0 else 0e0 end) as together from d group by session_date),
-p as (select session_date, percent_rank() over (order by together) as corr_, percent_rank() over (order by dispersion) as disp, percent_rank() over (order by vol) as vol, abs(percent_rank() over (order by together) - percent_rank() over (order by dispersion)) as change_ from m)"""
+#: Where each day's co-movement, dispersion and volatility stand among those of earlier days (five at least), as the rules read them.
+RANKS = """d as (select symbol, session_date, close / nullif(open, 0) - 1 as r from {daily}), m as (select session_date, round(stddev_pop(r), 9) as dispersion, round(abs(avg(r)), 9) as vol, round(avg(case when r > 0 then 1e0 else 0e0 end), 9) as together from d group by session_date),
+g as (select m.*, @gathered(together) over w as past_together, @gathered(dispersion) over w as past_dispersion, @gathered(vol) over w as past_vol from m window w as (order by session_date rows between 60 preceding and 1 preceding)),
+q as (select session_date, case when @length(past_together) >= 5 then (@below(past_together, together) + 5e-1 * @alike(past_together, together)) / @length(past_together) end as corr_, case when @length(past_dispersion) >= 5 then (@below(past_dispersion, dispersion) + 5e-1 * @alike(past_dispersion, dispersion)) / @length(past_dispersion) end as disp,
+  case when @length(past_vol) >= 5 then (@below(past_vol, vol) + 5e-1 * @alike(past_vol, vol)) / @length(past_vol) end as vol from g), p as (select q.*, abs(corr_ - disp) as change_ from q where corr_ is not null)"""
 
 OPERATORS = [
     Operator(
