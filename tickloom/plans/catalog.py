@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a list OPERATORS, and modules with queries() and oracle_sql() of their own.
 OPERATORS = ("windows", "indicators", "aggregates", "validation", "joins", "ordering", "scalars", "engines", "flows", "backtests", "texts", "statistics", "studies", "completed", "matrix", "expectation", "steps")
-QUERIES = ("tickloom.plans.streams", "tickloom.plans.archive", "tickloom.plans.series", "tickloom.plans.registries", "tickloom.plans.selection", "tickloom.plans.ingestion", "tickloom.plans.market_states")
+QUERIES = ("tickloom.plans.streams", "tickloom.plans.archive", "tickloom.plans.series", "tickloom.plans.registries", "tickloom.plans.selection", "tickloom.plans.ingestion", "tickloom.plans.market_states", "tickloom.plans.responses")
 
 
 def operators() -> dict[str, Operator]:

@@ -7,11 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import registry as r
-from tickloom.functions import response
 from tickloom.functions.indicators import indicator_series
 from tickloom.plans.series import _ema, _fold, _left, _query
 from tickloom.sources import archive as a
@@ -78,40 +76,6 @@ def eng_35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.clusters(d, "symbol", "place", "high", 0.5)
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, session_date, slot, y, and the mean move of all symbols at this bar and the one before it."""
-    y = market(spark, sf_dir, ["returns"])["returns"].select("symbol", "session_date", "slot", F.col("r").alias("y"))
-    m = y.groupBy("session_date", "slot").agg(F.avg("y").alias("m0"))
-    m = m.withColumn("m1", F.lag("m0").over(W.partitionBy("session_date").orderBy("slot")))
-    return y.join(m, ["session_date", "slot"])
-
-
-RIDGE = 0.5
-MODEL = f"""{duckdb_tables(['returns'])}, y as (select symbol, session_date, slot, r as y from returns), k as (select session_date, slot, avg(y) as m0 from y group by session_date, slot), g as (select *, lag(m0) over (partition by session_date order by slot) as m1 from k),
-  p as (select y.*, g.m0, g.m1 from y join g on g.session_date = y.session_date and g.slot = y.slot), s as (select symbol, count(*) as n, sum(m0 * m0) + {RIDGE} as a, sum(m0 * m1) as b, sum(m1 * m1) + {RIDGE} as d, sum(m0 * y) as u, sum(m1 * y) as v from p where y is not null and m0 is not null and m1 is not null group by symbol),
-  c as (select symbol, n, (d * u - b * v) / (a * d - b * b) as m0, (a * v - b * u) / (a * d - b * b) as m1 from s), f as (select c.symbol, c.n, c.m0, c.m1, sqrt(avg((p.y - c.m0 * p.m0 - c.m1 * p.m1) * (p.y - c.m0 * p.m0 - c.m1 * p.m1))) as sigma from c join p on p.symbol = c.symbol where p.y is not null and p.m0 is not null and p.m1 is not null group by all)"""
-ENG_11 = f"with {MODEL} select symbol, n, round(m0, 5) as m0, round(m1, 5) as m1, round(sigma, 5) as sigma from f"
-ENG_12 = f"with {MODEL} select p.session_date, p.slot, round(sum(f.m0 * p.y) / nullif(sum(f.m0 * f.m0), 0), 4) + 0.0 as factor from p join f on f.symbol = p.symbol where p.y is not null group by p.session_date, p.slot"
-ENG_13 = f"with {MODEL} select p.symbol, p.session_date, p.slot, round(p.m0 * f.m0 + p.m1 * f.m1, 4) + 0.0 as expected, round(p.y - p.m0 * f.m0 - p.m1 * f.m1, 4) + 0.0 as gap, round((p.y - p.m0 * f.m0 - p.m1 * f.m1) / nullif(f.sigma, 0), 4) + 0.0 as gap_sigma from p join f on f.symbol = p.symbol"
-
-
-def eng_11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = response.fitted(_panel(spark, sf_dir), "symbol", "y", ["m0", "m1"], RIDGE)
-    return m.select("symbol", "n", *[F.round(c, 5).alias(c) for c in ("m0", "m1", "sigma")])
-
-
-def eng_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _panel(spark, sf_dir)
-    out = response.realised(panel, response.fitted(panel, "symbol", "y", ["m0", "m1"], RIDGE), "symbol", ["session_date", "slot"], "y", "m0")
-    return out.withColumn("factor", F.round("factor", 4) + F.lit(0.0))
-
-
-def eng_13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _panel(spark, sf_dir)
-    out = response.evaluated(panel, response.fitted(panel, "symbol", "y", ["m0", "m1"], RIDGE), "symbol", ["session_date", "slot"], "y", ["m0", "m1"])
-    return out.select("symbol", "session_date", "slot", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("expected", "gap", "gap_sigma")])
-
-
 def udf_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same indicator over what any source gives: here bars and days, each a function of the session and the folder."""
     sources = {"bars": lambda: _bars(spark, sf_dir).select("symbol", "session_date", "slot", "high", "low", "close"), "days": lambda: market(spark, sf_dir, ["daily"])["daily"].select(F.col("symbol").cast("string").alias("symbol"), "session_date", F.lit(0).alias("slot"), "high", "low", "close")}
@@ -131,7 +95,7 @@ def udf_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "src_16": SRC_16, "fn_31": FN_31, "udf_01": UDF_01, "eng_01": UDF_01, "udf_02": UDF_02, "udf_03": UDF_03, "udf_06": UDF_06, "eng_35": ENG_35, "eng_11": ENG_11, "eng_12": ENG_12, "eng_13": ENG_13, "udf_05": UDF_05, "udf_08": SRC_16, "udf_07": ENG_35,
+    "src_16": SRC_16, "fn_31": FN_31, "udf_01": UDF_01, "eng_01": UDF_01, "udf_02": UDF_02, "udf_03": UDF_03, "udf_06": UDF_06, "eng_35": ENG_35, "udf_05": UDF_05, "udf_08": SRC_16, "udf_07": ENG_35,
     "udf_04": "select event_type as symbol, count(*) as packets, max(ts) as last_seen from events group by event_type",
 }
 
@@ -144,7 +108,7 @@ def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "src_16": src_16, "fn_31": fn_31, "eng_35": eng_35, "eng_11": eng_11, "eng_12": eng_12, "eng_13": eng_13, "udf_04": udf_04, "udf_05": udf_05, "udf_07": eng_35, "udf_08": src_16,
+        "src_16": src_16, "fn_31": fn_31, "eng_35": eng_35, "udf_04": udf_04, "udf_05": udf_05, "udf_07": eng_35, "udf_08": src_16,
         "udf_01": lambda s, d: r.features(_bars(s, d)), "eng_01": lambda s, d: r.features(_bars(s, d)), "udf_02": _all_scores,
         "udf_03": lambda s, d: r.signalled(r.features(_bars(s, d))),
         "udf_06": lambda s, d: indicator_series(_bars(s, d), ["symbol"], ["session_date", "slot"], ("ema_fast",), ema_fast=5).withColumnRenamed("ema_fast", "ema_5"),
