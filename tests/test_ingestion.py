@@ -82,6 +82,17 @@ def test_days_are_counted_in_the_log(spark, tmp_path):
     assert Log(spark, str(tmp_path)).table().count() == 4
 
 
+def test_a_derived_table_is_made_once_for_its_settings_and_inputs(spark, tmp_path):
+    made, table = [], spark.createDataFrame([(1, 2.0), (2, 3.0)], "a int, b double")
+
+    def ask(t, settings="s"):
+        return sorted(map(tuple, sinks.derived([t], settings, str(tmp_path), lambda: made.append(1) or t.selectExpr("sum(b) as b")).collect()))
+
+    assert ask(table) == ask(table.repartition(2)) == [(5.0,)] and len(made) == 1
+    assert ask(table, "other") == [(5.0,)] and len(made) == 2
+    assert ask(table.where("a = 1")) == [(2.0,)] and ask(table) == [(5.0,)] and len(made) == 3
+
+
 def member(lines):
     return gzip.compress("\n".join(lines).encode() + b"\n", mtime=0)
 

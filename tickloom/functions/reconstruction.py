@@ -7,11 +7,13 @@ is missing of each stage.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickloom.sources.log import Log
 
@@ -44,10 +46,13 @@ class Days:
         """rows, of these days only, with one version; a day without rows is told, too."""
         path = self.log.written(rows, DAY)
         there = {str(r[0]) for r in self.log.spark.read.schema(rows.schema).parquet(path).select(DAY).distinct().toLocalIterator()}
-        self.log.changed(lambda _: ({d: {"path": f"{path}/_by={d}" if d in there else None, "key": keys[d]} for d in days}, False))
+        told = {d: {"path": f"{path}/_by={d}" if d in there else None, "key": keys[d]} for d in days}
+        self.log.changed(lambda _: (told | {"_schema": {"path": None, "key": rows.schema.json()}}, False))
 
-    def rows(self, schema, first: str | None = None, last: str | None = None) -> DataFrame:
+    def rows(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """Rows of the days from first to last; none of the days may have any."""
         _, entries = self.log.snapshot()
+        schema = StructType.fromJson(json.loads(entries["_schema"]["key"]))
         some = {d: x for d, x in entries.items() if x["path"] and (first is None or d >= first) and (last is None or d <= last)}
         return self.log.rows(some, schema) if some else self.log.spark.createDataFrame([], schema)
 
@@ -70,14 +75,7 @@ def reconstructed(
             tables[name].put(make(days).where(F.col(DAY).cast("string").isin(days)), keys, days)
 
     made("rows", lambda days: rows_of(before(days[0], lookback), days))
-    shape = {}
-
-    def read(name: str, first: str | None = None, last: str | None = None) -> DataFrame:
-        if name not in shape:
-            _, entries = tables[name].log.snapshot()
-            shape[name] = tables[name].log.rows({d: x for d, x in entries.items() if x["path"]}).schema
-        return tables[name].rows(shape[name], first, last)
-
+    read = lambda name, first=None, last=None: tables[name].rows(first, last)
     some = lambda name, days: read(name, days[0], days[-1]).where(F.col(DAY).cast("string").isin(days))
     made("sums", lambda days: sums_of(some("rows", days)))
     made("scored", lambda days: scored_of(some("rows", days), read("sums", before(days[0], history), days[-1])))

@@ -297,12 +297,10 @@ SRC_25 = f"""with {duckdb_tables(['daily'])}, u as (select symbol, min(session_d
 
 
 def src_26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A derived table is made once for a version and read from then on."""
-    root = f"{shared_dir(spark)}/derived"
-    for _ in range(2):
-        if not k._there(spark, f"{root}/v=1"):
-            _bars(spark, sf_dir).groupBy("session_date").agg(F.count("*").alias("bars"), F.max("high").alias("high")).write.parquet(f"{root}/v=1")
-    return spark.read.parquet(f"{root}/v=1")
+    """A derived table is made once for its settings and inputs, and read from then on."""
+    root, b = f"{shared_dir(spark)}/derived", _bars(spark, sf_dir).select("session_date", "high")
+    made = [k.derived([b], "count and max of high", root, lambda: b.groupBy("session_date").agg(F.count("*").alias("bars"), F.max("high").alias("high"))) for _ in range(2)]
+    return made[-1]
 
 
 SRC_26 = f"with {duckdb_tables(['bars'])} select session_date, count(*) as bars, max(high) as high from bars group by session_date"

@@ -5,7 +5,9 @@ A table is a folder of Parquet, JSON or CSV files under a root; a day has a fold
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +133,19 @@ def save_once(rows: DataFrame, root: str, key: str, digest: str) -> DataFrame:
     return add_new(rows, root, key, digest)
 
 
+def derived(inputs: list[DataFrame], settings: str, root: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` makes of inputs by settings, made once for each state of these: a table's version bears a digest of the settings and all rows read."""
+    log = Log(inputs[0].sparkSession, root)
+    marks = [x.agg(F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64(*x.columns)), F.bit_xor(F.xxhash64(F.lit("second"), *x.columns)))).head()[0] for x in inputs]
+    key = hashlib.sha256("|".join([settings, *marks]).encode()).hexdigest()
+    _, had = log.snapshot()
+    if key not in had:
+        entry = {key: {"path": log.written(make())}}
+        log.changed(lambda now: ({} if key in now else entry, False))
+        _, had = log.snapshot()
+    return log.rows({key: had[key]})
+
+
 def json_lines(rows: DataFrame) -> DataFrame:
     """Each row as a JSON text: nulls are said, NaN and infinite numbers are null."""
     finite = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
