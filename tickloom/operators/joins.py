@@ -30,7 +30,8 @@ OPERATORS = [
     Operator("jon_12", "select c.underlying, c.strike, c.oi as ce_oi, p.oi as pe_oi from {chain} c join {chain} p on p.underlying = c.underlying and p.strike = c.strike and p.side = 'PE' where c.side = 'CE'"),
     Operator("jon_14", "select d.symbol, d.session_date, d.close, e.n_events, v.n_view from {daily} d left join (select user_id, session_date, count(*) as n_events from {ticks} group by user_id, session_date) e on e.user_id = d.symbol and e.session_date = d.session_date left join (select user_id, session_date, count(*) as n_view from {ticks} where symbol = 'view' group by user_id, session_date) v on v.user_id = d.symbol and v.session_date = d.session_date"),
     Operator("jon_16", "select c.c_custkey from {customer} c left join {daily} d on d.symbol = c.c_custkey where d.symbol is null"),
-    Operator("jon_17", "select 'missing' as kind, a.session_date from (select distinct session_date from {daily} where symbol = 1) a left join (select distinct session_date from {daily} where symbol = 2) b on b.session_date = a.session_date where b.session_date is null union all select 'extra', b.session_date from (select distinct session_date from {daily} where symbol = 2) b left join (select distinct session_date from {daily} where symbol = 1) a on a.session_date = b.session_date where a.session_date is null"),
+    # The calendar is the days on which half of all symbols traded.
+    Operator("jon_17", "with c as (select session_date from {daily} group by session_date having count(*) >= (select count(distinct symbol) / 2e0 from {daily})), s as (select distinct symbol from {daily}) select 'missing' as kind, s.symbol, c.session_date from s cross join c left join {daily} d on d.symbol = s.symbol and d.session_date = c.session_date where d.symbol is null union all select 'extra', d.symbol, d.session_date from {daily} d left join c on c.session_date = d.session_date where c.session_date is null"),
     Operator("jon_18", "select l.l_orderkey, l.l_linenumber, p.p_brand, s.s_name from {lineitem} l join {part} p on p.p_partkey = l.l_partkey join {supplier} s on s.s_suppkey = l.l_suppkey where l.l_quantity > 45"),
     Operator("jon_19", "select a.session_date from (select distinct session_date from {daily} where sector = 1) a join (select distinct session_date from {daily} where sector = 2) b on b.session_date = a.session_date"),
     Operator("jon_20", "with picks as (select symbol, session_date, row_number() over (partition by session_date order by volume desc, symbol) as k from {daily}) select p.session_date, p.symbol, round(d.high / nullif(d.open, 0) - 1, 6) as excursion from picks p join {daily} d on d.symbol = p.symbol and d.session_date = p.session_date where p.k = 1"),

@@ -27,13 +27,14 @@ OPERATORS = [
     Operator("srt_14", "select distinct sector, symbol from {daily} order by sector, symbol"),
     Operator("srt_15", "with q as (select symbol, count(*) as days from {daily} group by symbol) select symbol, days from q order by days, symbol limit 10"),
     Operator("srt_16", "with c as (select session_date, symbol, close - open as contribution, row_number() over (partition by session_date order by abs(close - open) desc, symbol) as place from {daily}) select session_date, symbol, round(contribution, 6) as contribution from c where place <= 5"),
-    Operator("srt_17", "with q as (select volume as q from {daily} where symbol = 5 and session_date = date '2024-01-16'), d as (select session_date, abs(volume - q.q) as distance from {daily} cross join q where symbol = 5 and session_date < date '2024-01-16'), r as (select *, row_number() over (order by distance, session_date) as place from d) select session_date, distance from r where place <= 5"),
+    Operator("srt_17", "with d as (select q.symbol, q.session_date as asked, o.session_date, abs(o.volume - q.volume) as distance from {daily} q join {daily} o on o.symbol = q.symbol and o.session_date < q.session_date), r as (select d.*, row_number() over (partition by symbol, asked order by distance, session_date) as place from d) select symbol, asked, session_date, distance from r where place <= 5"),
     Operator("srt_18", "with o as (select symbol, row_number() over (order by symbol) - 1 as k from (select distinct symbol from {daily}) x) select symbol, cast(floor(k / 45e0) as bigint) as shard from o"),
     Operator("srt_19", "with o as (select symbol, row_number() over (order by symbol) - 1 as k from (select distinct symbol from {daily}) x) select cast(floor(k / 10e0) as bigint) as batch, min(symbol) as first_symbol, count(*) as n from o group by floor(k / 10e0)"),
     Operator("set_01", "select symbol, session_date, slot, close from {bars} where slot < 12 union all select g.symbol, g.session_date, g.slot, g.close from {bars} g left join (select symbol, session_date, slot from {bars} where slot < 12) a on a.symbol = g.symbol and a.session_date = g.session_date and a.slot = g.slot where a.slot is null"),
-    Operator("set_02", "select symbol from {daily} where session_date = date '2024-01-02' union select symbol from {daily} where session_date = date '2024-01-03'"),
-    Operator("set_03", "select symbol from {daily} where session_date = date '2024-01-02' intersect select symbol from {daily} where session_date = date '2024-01-03'"),
-    Operator("set_04", "select symbol from {daily} where session_date = date '2024-01-02' except select symbol from {daily} where session_date = date '2024-01-03'"),
+    # Of each session and the one before it.
+    Operator("set_02", "with n as (select session_date, lag(session_date) over (order by session_date) as before from (select distinct session_date from {daily}) x), a as (select n.session_date, d.symbol from n join {daily} d on d.session_date = n.before), b as (select n.session_date, d.symbol from n join {daily} d on d.session_date = n.session_date where n.before is not null) select session_date, symbol from a union select session_date, symbol from b"),
+    Operator("set_03", "with n as (select session_date, lag(session_date) over (order by session_date) as before from (select distinct session_date from {daily}) x), a as (select n.session_date, d.symbol from n join {daily} d on d.session_date = n.before), b as (select n.session_date, d.symbol from n join {daily} d on d.session_date = n.session_date where n.before is not null) select session_date, symbol from a intersect select session_date, symbol from b"),
+    Operator("set_04", "with n as (select session_date, lag(session_date) over (order by session_date) as before from (select distinct session_date from {daily}) x), a as (select n.session_date, d.symbol from n join {daily} d on d.session_date = n.before), b as (select n.session_date, d.symbol from n join {daily} d on d.session_date = n.session_date where n.before is not null) select session_date, symbol from a except select session_date, symbol from b"),
     Operator("set_05", "with t as (select session_date, symbol from (select session_date, symbol, row_number() over (partition by session_date order by volume desc, symbol) as k from {daily}) x where k <= 15), d as (select session_date, lag(session_date) over (order by session_date) as before_ from (select distinct session_date from t) y) select d.session_date, round(1 - cast(count(p.symbol) as double) / count(*), 6) as turnover from d join t on t.session_date = d.session_date left join t p on p.session_date = d.before_ and p.symbol = t.symbol where d.before_ is not null group by d.session_date"),
     Operator("set_07", "select doc_id as item, lang as published from {documents} where lang = 'en' union all select page_id as item, 'page' as published from {pages}"),
 ]

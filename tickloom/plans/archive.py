@@ -373,10 +373,10 @@ SNK_05 = f"with {duckdb_tables(['bars'])} select symbol, strftime(session_date +
 
 def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _bars(spark, sf_dir).select(F.col("session_date").alias("day")).distinct().withColumn("compacted", F.dayofmonth("day") % 3 != 0)
-    return k.expired(d, F.lit("2024-01-25").cast("date"), 10)
+    return k.expired(d, F.lit(d.agg(F.max("day")).head()[0]), 10)
 
 
-SNK_06 = f"with {duckdb_tables(['bars'])} select distinct session_date as day, day(session_date) % 3 = 0 as to_compact, date_diff('day', session_date, date '2024-01-25') > 10 as to_delete from bars where session_date < date '2024-01-25'"
+SNK_06 = f"with {duckdb_tables(['bars'])}, t as (select max(session_date) as today from bars) select distinct session_date as day, day(session_date) % 3 = 0 as to_compact, date_diff('day', session_date, today) > 10 as to_delete from bars cross join t where session_date < today"
 
 
 def snk_07(spark: SparkSession, sf_dir: str) -> DataFrame:
