@@ -18,21 +18,29 @@ NAMES = (
 )
 
 
+#: These need more rows than the smallest tables have.
+LARGER = {"eng_11": "/root/testdata/sf0.01", "eng_12": "/root/testdata/sf0.01", "eng_13": "/root/testdata/sf0.01"}
+
+
 @pytest.fixture(scope="module")
 def poisoned(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("poisoned")
-    for p in Path(SMALL).glob("*.parquet"):
-        if p.stem != "events":
-            os.symlink(p, folder / p.name)
-    t = pq.read_table(f"{SMALL}/events.parquet")
-    late = pc.greater_equal(t.column("ts").cast(pa.timestamp("us")), CUT)
-    value = pc.if_else(late, pc.multiply(t.column("value"), 37.0), t.column("value"))
-    pq.write_table(t.set_column(t.schema.get_field_index("value"), "value", value), folder / "events.parquet")
-    return str(folder)
+    def made(source):
+        folder = tmp_path_factory.mktemp("poisoned")
+        for p in Path(source).glob("*.parquet"):
+            if p.stem != "events":
+                os.symlink(p, folder / p.name)
+        t = pq.read_table(f"{source}/events.parquet")
+        late = pc.greater_equal(t.column("ts").cast(pa.timestamp("us")), CUT)
+        value = pc.if_else(late, pc.multiply(t.column("value"), 37.0), t.column("value"))
+        pq.write_table(t.set_column(t.schema.get_field_index("value"), "value", value), folder / "events.parquet")
+        return str(folder)
+
+    return {source: made(source) for source in {SMALL, *LARGER.values()}}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_later_days_change_no_earlier_row(spark, poisoned, name):
-    one, two = (catalog.queries()[name](spark, folder).where("session_date < '2024-01-20'").toPandas() for folder in (SMALL, poisoned))
+    source = LARGER.get(name, SMALL)
+    one, two = (catalog.queries()[name](spark, folder).where("session_date < '2024-01-20'").toPandas() for folder in (source, poisoned[source]))
     said = [sorted(map(str, x[sorted(x.columns)].itertuples(index=False, name=None))) for x in (one, two)]
     assert len(one) > 0 and said[0] == said[1]
