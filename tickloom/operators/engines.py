@@ -38,7 +38,7 @@ OPERATORS = [
         select 'evt_' || substr(@digest(cast(symbol as varchar(20)) || '|' || cast(session_date as varchar(10)) || '|' || measure), 1, 16) as event_id, symbol, session_date, measure, round(z, 6) as magnitude, case when abs(z) / 2 < 15e-1 then 'LOW' when abs(z) / 2 < 25e-1 then 'MEDIUM' else 'HIGH' end as severity,
           measure || case when z > 0 then ' above' else ' below' end || ' the median of ' || cast(n as varchar(9)) || ' days' as evidence, case when n < 10 then 'THIN_HISTORY' else 'OK' end as quality from z where abs(z) >= 2""",
     ),
-    Operator("eng_10", f"select {K}, round(ln(close / lag(close, 3) over w), 6) + 0e0 as state_return, round(ln(lead(close, 3) over w / close), 6) + 0e0 as outcome from {{grid}} window w as ({DAY})"),
+    Operator("eng_10", f"select {K}, round(@ln(@over(close, lag(close, 3) over w)), 6) + 0e0 as state_return, round(@ln(@over(lead(close, 3) over w, close)), 6) + 0e0 as outcome from {{grid}} window w as ({DAY})"),
     Operator("eng_17", "with r as (select underlying, side, iv, row_number() over (partition by underlying, side order by abs(strike - 25), strike) as k from {chain}) select underlying, round(max(case when side = 'CE' then iv end) - max(case when side = 'PE' then iv end), 6) as risk_reversal from r where k = 1 group by underlying"),
     Operator("eng_20", f"{Z}, t as (select z.symbol, z.session_date, coalesce(z.z, 0) as vz, d.close - d.open as drive from z join {{daily}} d on d.symbol = z.symbol and d.session_date = z.session_date), s as (select *, row_number() over (partition by session_date order by round(vz + drive / 50, 6) desc, symbol) as place from t) select session_date, symbol, round(vz + drive / 50, 6) as score from s where place = 1"),
     Operator("eng_28", "with t as (select symbol, count(*) as n, avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0) as t from {daily} group by symbol) select symbol, case when n < 20 then 'INSUFFICIENT' when t >= 2 then 'SUPPORTED' when t <= -2 then 'REVERSED' else 'UNPROVEN' end as verdict from t"),

@@ -78,20 +78,20 @@ def matrix_sql(scale: Scale, decision: int | None = None, upto: int | None = Non
       left join market_facts k on k.session_date = g.session_date and k.known_slot = g.slot left join traded p on p.symbol = g.symbol and p.session_date = g.session_date),
     a as (select symbol, sector, session_date, earlier, slot, high, low, close, volume, traded,
         @last_known(close) over so as ltp, @first_known(open) over so as first_open, count(close) over so as bars_present, max(case when close is not null then slot end) over so as last_slot,
-        case when slot = 0 then ln(close / open) else ln(close / lag(close) over d) end as r, volume * close / {s.crore} as traded_value,
+        case when slot = 0 then @ln(@over(close, open)) else @ln(@over(close, lag(close) over d)) end as r, volume * close / {s.crore} as traded_value,
         max(high) over so as day_high, min(low) over so as day_low, sum(volume) over so as volume_session, coalesce(sum(volume * close / {s.crore}) over so, 0e0) as turnover,
         max(case when slot < {s.opening} then high end) over so as opening_high, min(case when slot < {s.opening} then low end) over so as opening_low,
         coalesce(sum(volume) over {short}, 0) as recent, coalesce(sum(volume) over {prior}, 0) as prior, count(case when high = low then 1 end) over {middle} as flat, {known}
       from j window d as ({DAY}), so as ({DAY} rows between unbounded preceding and current row)),
-    b as (select a.*, coalesce(today_open, first_open) as day_open, ln(ltp / lag(ltp, {s.short}) over d) as ret_5m, ln(ltp / lag(ltp, {s.middle}) over d) as ret_10m, ln(ltp / lag(ltp, {s.long}) over d) as ret_15m, ln(ltp / lag(ltp, {s.far}) over d) as ret_30m,
-        ln(lag(ltp, {s.short}) over d / lag(ltp, {s.middle}) over d) as before_5m, count(r) over {so} as n_r, stddev_samp(r) over {so} as sd_all, count(r) over {long} as n_long, stddev_samp(r) over {long} as sd_long, avg(abs(r)) over {so} as mean_abs,
+    b as (select a.*, coalesce(today_open, first_open) as day_open, @ln(@over(ltp, lag(ltp, {s.short}) over d)) as ret_5m, @ln(@over(ltp, lag(ltp, {s.middle}) over d)) as ret_10m, @ln(@over(ltp, lag(ltp, {s.long}) over d)) as ret_15m, @ln(@over(ltp, lag(ltp, {s.far}) over d)) as ret_30m,
+        @ln(@over(lag(ltp, {s.short}) over d, lag(ltp, {s.middle}) over d)) as before_5m, count(r) over {so} as n_r, stddev_samp(r) over {so} as sd_all, count(r) over {long} as n_long, stddev_samp(r) over {long} as sd_long, avg(abs(r)) over {so} as mean_abs,
         avg(case when traded_value > 0 then abs(r) / traded_value end) over {so} as amihud, count(case when r > 0 then 1 end) over {middle} as ups, count(case when r < 0 then 1 end) over {middle} as downs,
         count(case when r is not null and volume is not null then 1 end) over {long} as pairs, covar_pop(abs(r), ln(1 + volume)) over {long} as cov,
         stddev_pop(case when volume is not null then abs(r) end) over {long} as sd_abs, stddev_pop(case when r is not null then ln(1 + volume) end) over {long} as sd_volume
       from a window d as ({DAY})),
-    c as (select b.*, ln(ltp / day_open) as ret_open, case when n_r >= {s.least} then sd_all end as rvol_session, case when n_long >= {s.least} then sd_long end as rvol_15m, case when slot + 1 >= {s.opening} then opening_high end as or_high, case when slot + 1 >= {s.opening} then opening_low end as or_low,
+    c as (select b.*, @ln(@over(ltp, day_open)) as ret_open, case when n_r >= {s.least} then sd_all end as rvol_session, case when n_long >= {s.least} then sd_long end as rvol_15m, case when slot + 1 >= {s.opening} then opening_high end as or_high, case when slot + 1 >= {s.opening} then opening_low end as or_low,
         @pctl(case when traded = 1 then coalesce(volume_session, 0) end, 0.5) over {norms} as usual_volume, @pctl(mean_abs, 0.5) over {norms} as usual_abs from b),
-    i as (select priority, session_date, slot, ln(@last_known(close) over so / @first_known(open) over so) as ret_open, ln(close / lag(close, {s.long}) over d) as ret_15m
+    i as (select priority, session_date, slot, @ln(@over(@last_known(close) over so, @first_known(open) over so)) as ret_open, @ln(@over(close, lag(close, {s.long}) over d)) as ret_15m
       from (select y.priority, q.session_date, q.slot, x.open, x.close from (select distinct priority from {{index_bars}}) y cross join (select session_date, slot from days cross join slots) q
         left join {{index_bars}} x on x.priority = y.priority and x.session_date = q.session_date and x.slot = q.slot) t
       window d as (partition by priority, session_date order by slot), so as (partition by priority, session_date order by slot rows between unbounded preceding and current row)),
@@ -102,12 +102,12 @@ def matrix_sql(scale: Scale, decision: int | None = None, upto: int | None = Non
       from c left join ix on ix.session_date = c.session_date and ix.slot = c.slot window m as (partition by c.session_date, c.slot), s as (partition by c.session_date, c.slot, c.sector)),
     e as (select n.*, coalesce(index_open, median_open) as market_ret_open, case when index_open is null then median_15m else index_15m end as market_ret_15m, case when members > 0 then total / members end as sector_ret_open, case when members > 0 then up end as sector_breadth,
         case when members > 1 then ret_open - (total - ret_open) / (members - 1) end as rel_sector_open, case when usual_volume > 0 then volume_session / usual_volume end as rel_volume from n)
-    select {K}, sector, ltp, previous_close as prev_close, day_open as open, (day_open / previous_close - 1) * 100 as gap_pct, (ltp / day_open - 1) * 100 as ret_open_pct, (ltp / previous_close - 1) * 100 as ret_prev_close_pct, day_high, day_low, (day_high - day_low) / day_open * 100 as range_pct,
+    select {K}, sector, ltp, previous_close as prev_close, day_open as open, (@over(day_open, previous_close) - 1) * 100 as gap_pct, (@over(ltp, day_open) - 1) * 100 as ret_open_pct, (@over(ltp, previous_close) - 1) * 100 as ret_prev_close_pct, day_high, day_low, @over((day_high - day_low), day_open) * 100 as range_pct,
       r as ret_1m, ret_5m, ret_10m, ret_15m, ret_30m, ret_5m - before_5m as accel_5m,
       case when slot + 1 > {s.middle} and ups + downs >= {s.least_signs} then case when ret_10m > 0 then ups / (1e0 * (ups + downs)) when ret_10m < 0 then downs / (1e0 * (ups + downs)) else 0e0 end end as persistence_10m,
       volume_session, turnover as turnover_session_cr, rel_volume, case when slot + 1 >= {2 * s.short} and prior > 0 then recent / (1e0 * prior) end as volume_accel, case when slot + 1 >= {s.long} and pairs >= {s.least} and sd_abs > 1e-9 and sd_volume > 1e-9 then cov / (sd_abs * sd_volume) end as pv_corr_15m,
       or_high, or_low, case when or_high > or_low then (ltp - or_low) / (or_high - or_low) end as or_position, case when ltp > or_high then 1e0 when ltp < or_low then -1e0 when ltp is not null and or_high is not null then 0e0 end as breakout_state,
-      case when day_high > day_low then (ltp - day_low) / (day_high - day_low) end as range_position, (day_high - day_low) / day_open / nullif(rvol_session * sqrt(slot + 1e0), 0) as range_vs_vol,
+      case when day_high > day_low then (ltp - day_low) / (day_high - day_low) end as range_position, @over((day_high - day_low), day_open) / nullif(rvol_session * sqrt(slot + 1e0), 0) as range_vs_vol,
       case when ret_5m > 0 and ret_15m > 0 and ret_open > 0 then 1e0 when ret_5m < 0 and ret_15m < 0 and ret_open < 0 then -1e0 when ret_5m is not null and ret_15m is not null and ret_open is not null then 0e0 end as trend_state,
       ret_open - market_ret_open as rel_market_open, rel_sector_open, ret_15m - market_ret_15m as rel_market_15m, response_gap, response_gap_sigma, pending_response_sigma,
       case when ret_open is not null then {mean_rank.format("ret_open")} end as pct_ret_open, case when rel_volume is not null then {mean_rank.format("rel_volume")} end as pct_rel_volume,

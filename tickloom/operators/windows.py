@@ -40,8 +40,8 @@ def strict(agg: str, x: str, p: int, frame: str) -> str:
 OPERATORS = [
     Operator("win_01", f"select {K}, round(close - lag(close) over w, 6) as diff, round(close - lag(close, 10) over w, 6) as momentum, round(close / nullif(lag(close) over w, 0) - 1, 6) as change from {{grid}} window w as ({DAY})"),
     Operator("win_02", f"select {K}, round(r, 6) + 0e0 as r from {{returns}}"),
-    Operator("win_03", f"select {K}, round(ln(close / lag(close, 5) over w), 6) + 0e0 as r5 from {{grid}} window w as ({DAY})"),
-    Operator("win_04", f"select {K}, round(ln(lead(close, 3) over w / close), 6) + 0e0 as ahead_3 from {{grid}} window w as ({DAY})"),
+    Operator("win_03", f"select {K}, round(@ln(@over(close, lag(close, 5) over w)), 6) + 0e0 as r5 from {{grid}} window w as ({DAY})"),
+    Operator("win_04", f"select {K}, round(@ln(@over(lead(close, 3) over w, close)), 6) + 0e0 as ahead_3 from {{grid}} window w as ({DAY})"),
     Operator("win_05", f"select {K}, lag(volume, 2, cast(-1 as bigint)) over w as volume_2 from {{grid}} window w as ({DAY})"),
     Operator("win_06", f"select {K}, {strict('max({})', 'high', 5, before(5))} as prior_high, {strict('min({})', 'low', 5, before(5))} as prior_low from {{grid}}"),
     Operator("win_07", f"select {K}, {strict('max({})', 'high', 5, last(5))} as trailing_high, {strict('min({})', 'low', 5, last(5))} as trailing_low from {{grid}}"),
@@ -75,7 +75,7 @@ OPERATORS = [
     Operator(
         "win_21",
         f"""with y as (select r.{K.replace(', ', ', r.')}, r.r as y, m.x from {{returns}} r left join
-          (select session_date, slot, ln(level / lag(level) over (partition by session_date order by slot)) as x from {{market}}) m on m.session_date = r.session_date and m.slot = r.slot)
+          (select session_date, slot, @ln(@over(level, lag(level) over (partition by session_date order by slot))) as x from {{market}}) m on m.session_date = r.session_date and m.slot = r.slot)
         select {K}, case when count(case when x is not null then y end) over e >= 10 then round(regr_slope(y, x) over e, 6) end as slope,
           case when count(case when x is not null then y end) over e >= 10 then round(corr(y, x) over e, 6) end as correlation, round(sum(y) over c, 6) as recent
         from y window e as ({DAY} rows between 16 preceding and 4 preceding), c as ({DAY} rows between 3 preceding and current row)""",
@@ -83,7 +83,7 @@ OPERATORS = [
     Operator("win_23", f"select {K}, case when count(close) over w >= 5 then round((close - avg(close) over w) / nullif(stddev_pop(close) over w, 0), 4) end as z from {{grid}} window w as ({DAY} rows between unbounded preceding and 1 preceding)"),
     Operator(
         "win_24",
-        """with d as (select symbol, session_date, ln(close / lag(close) over (partition by symbol order by session_date)) as y from {daily}),
+        """with d as (select symbol, session_date, @ln(@over(close, lag(close) over (partition by symbol order by session_date))) as y from {daily}),
         m as (select session_date, avg(y) as x from d group by session_date), p as (select d.symbol, d.session_date, case when x is not null then y end as y, case when y is not null then x end as x from d join m on m.session_date = d.session_date)
         select symbol, session_date, case when count(y) over w >= 10 then round(covar_pop(y, x) over w / nullif(var_pop(x) over w, 0), 6) end as beta
         from p window w as (partition by symbol order by session_date rows between 20 preceding and 1 preceding)""",
@@ -137,7 +137,7 @@ OPERATORS = [
     Operator("win_35", f"select {K}, case when count(r) over w >= 2 then round(sum(r) over w, 6) + 0e0 end as forward from {{returns}} window w as ({DAY} rows between 1 following and 4 following)"),
     Operator(
         "win_36",
-        f"""with a as (select {K}, ln(close / lag(close, 5) over w) as r5 from {{grid}} window w as ({DAY}))
+        f"""with a as (select {K}, @ln(@over(close, lag(close, 5) over w)) as r5 from {{grid}} window w as ({DAY}))
         select {K}, round(r5 - lag(r5, 5) over w, 6) + 0e0 as acceleration from a window w as ({DAY})""",
     ),
     Operator("win_37", f"select {K}, round(cast(sum(volume) over a as double) / nullif(sum(volume) over b, 0), 6) as volume_ratio from {{grid}} window a as ({DAY} rows between 4 preceding and current row), b as ({DAY} rows between 9 preceding and 5 preceding)"),

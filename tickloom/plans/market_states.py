@@ -21,7 +21,7 @@ ROTATIONS = 500
 #: Returns on the full grid, and the market's: the cross-section's median, 0 where nothing traded.
 PANEL = f"""with g as (select u.symbol, u.sector, d.session_date, cast(t.slot as int) as slot from {{desk_universe}} u cross join (select distinct session_date from {{desk_bars}}) d cross join (select @each(0, {SLOTS - 1}) as slot) t),
   j as (select g.*, b.open, b.close, b.close * b.volume as value from g left join {{desk_bars}} b on b.symbol = g.symbol and b.session_date = g.session_date and b.slot = g.slot),
-  r as (select session_date, slot, symbol, sector, case when slot = 0 then ln(close / open) else ln(close / lag(close) over (partition by symbol, session_date order by slot)) end as r, value from j)
+  r as (select session_date, slot, symbol, sector, case when slot = 0 then @ln(@over(close, open)) else @ln(@over(close, lag(close) over (partition by symbol, session_date order by slot))) end as r, value from j)
   select r.*, coalesce(@pctl(r, 0.5) over (partition by session_date, slot), 0e0) as market from r"""
 
 

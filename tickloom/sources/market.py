@@ -50,8 +50,8 @@ TABLES: dict[str, Operator] = {
         ),
         Operator(
             "returns",
-            """select symbol, session_date, slot, open, close, volume, case when slot = 0 then ln(close / open)
-            else ln(close / lag(close) over (partition by symbol, session_date order by slot)) end as r from {grid}""",
+            """select symbol, session_date, slot, open, close, volume, case when slot = 0 then @ln(@over(close, open))
+            else @ln(@over(close, lag(close) over (partition by symbol, session_date order by slot))) end as r from {grid}""",
         ),
         # A desk of a dozen stocks in three sectors, dense enough for windows within a session.
         Operator("desk_ticks", "select cast(user_id % 12 as int) as symbol, ts, price, size, event_id, user_id, session_date, cast(slot as int) as slot from {ticks}"),
@@ -66,15 +66,15 @@ TABLES: dict[str, Operator] = {
         Operator(
             "desk_facts",
             """with d as (select symbol, session_date, min(slot) as first_slot, min_by(open, slot) as open, max_by(close, slot) as close from {desk_bars} group by symbol, session_date),
-            f as (select symbol, session_date, slot, avg(size) as depth, (max(price) - min(price)) / avg(price) as spread, sum(case when event_id % 2 = 0 then size else -size end) / (1e0 * nullif(sum(size), 0)) as flow, avg(price) as mean from {desk_ticks} group by symbol, session_date, slot),
-            m as (select session_date, slot, avg(size) / 100 as iv, stddev_pop(price) / avg(price) as ratio, avg(price) as mean from {desk_ticks} group by session_date, slot)
+            f as (select symbol, session_date, slot, avg(size) as depth, @over((max(price) - min(price)), avg(price)) as spread, sum(case when event_id % 2 = 0 then size else -size end) / (1e0 * nullif(sum(size), 0)) as flow, avg(price) as mean from {desk_ticks} group by symbol, session_date, slot),
+            m as (select session_date, slot, avg(size) / 100 as iv, @over(stddev_pop(price), avg(price)) as ratio, avg(price) as mean from {desk_ticks} group by session_date, slot)
             select session_date, symbol, 'previous_close' as name, 0 as known_slot, lag(close) over (partition by symbol order by session_date) as value from d
             union all select session_date, symbol, 'today_open', first_slot, open from d where symbol % 4 != 0
             union all select session_date, symbol, 'spread_bps', slot + 1, 100 * spread from f where slot % 2 = 0 union all select session_date, symbol, 'depth5', slot + 1, depth from f
             union all select session_date, symbol, 'imbalance1', slot + 1, flow from f where slot % 3 = 0 union all select session_date, symbol, 'ofi_norm', slot + 2, flow / 2 from f where symbol % 2 = 0 union all select session_date, symbol, 'signed_flow', slot + 1, -flow from f
-            union all select f.session_date, f.symbol, 'response_gap', f.slot + 1, (m.mean - f.mean) / m.mean from f join m on m.session_date = f.session_date and m.slot = f.slot
-            union all select f.session_date, f.symbol, 'response_gap_sigma', f.slot + 1, (m.mean - f.mean) / m.mean / nullif(m.ratio, 0) from f join m on m.session_date = f.session_date and m.slot = f.slot
-            union all select f.session_date, f.symbol, 'pending_response_sigma', f.slot + 3, (m.mean - f.mean) / m.mean / 2 from f join m on m.session_date = f.session_date and m.slot = f.slot
+            union all select f.session_date, f.symbol, 'response_gap', f.slot + 1, @over((m.mean - f.mean), m.mean) from f join m on m.session_date = f.session_date and m.slot = f.slot
+            union all select f.session_date, f.symbol, 'response_gap_sigma', f.slot + 1, @over((m.mean - f.mean), m.mean) / nullif(m.ratio, 0) from f join m on m.session_date = f.session_date and m.slot = f.slot
+            union all select f.session_date, f.symbol, 'pending_response_sigma', f.slot + 3, @over((m.mean - f.mean), m.mean) / 2 from f join m on m.session_date = f.session_date and m.slot = f.slot
             union all select session_date, null, 'nifty_atm_iv', slot + 1, iv from m where slot % 3 = 0 union all select session_date, null, 'nifty_budget_ratio', slot + 1, ratio from m where slot % 4 = 1
             union all select session_date, null, 'market_state_code', slot + 1, case when ratio > 1 then 2e0 when iv > 45e-2 then 1e0 else 0e0 end from m""",
         ),
