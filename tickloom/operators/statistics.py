@@ -50,7 +50,7 @@ OPERATORS = [
     Operator(
         "eng_26",
         f"""with {TRADES}, {T}, {P}, {RANKED}
-        select symbol, round(p, 6) as p, round(least(min(p * m / k) over (order by k rows between current row and unbounded following), 1e0), 6) as q_value, round(least(max(p * (m - k + 1)) over (order by k rows between unbounded preceding and current row), 1e0), 6) as holm from k""",
+        select symbol, round(p, 6) as p, round(least(min(p * m / k) over (@onward(k)), 1e0), 6) as q_value, round(least(max(p * (m - k + 1)) over (order by k rows between unbounded preceding and current row), 1e0), 6) as holm from k""",
     ),
     Operator(
         "bkt_17",
@@ -70,7 +70,7 @@ OPERATORS = [
         r as (select w.k, t.symbol, t.x, case when @days(t.session_date) - @days(w.d0) < w.b then 'train' else 'test' end as part from w join t on @days(t.session_date) - @days(w.d0) >= w.a and @days(t.session_date) - @days(w.d0) < w.c),
         m as (select k as window_, symbol, count(case when part = 'train' then x end) as n, avg(case when part = 'train' then x end) / nullif(stddev_samp(case when part = 'train' then x end) / sqrt(nullif(cast(count(case when part = 'train' then x end) as double), 0)), 0) as t, avg(case when part = 'test' then x end) as out_of_sample from r group by k, symbol),
         p as (select m.*, {two_sided('t')} as p from m where n > 2 and t is not null), q as (select p.*, row_number() over (partition by window_ order by p, symbol) as place, count(*) over (partition by window_) as tests from p)
-        select window_, symbol, n, round(t, 4) as t, round(least(min(p * tests / place) over (partition by window_ order by place rows between current row and unbounded following), 1e0), 6) as q_value, round(out_of_sample, 6) as out_of_sample from q""",
+        select window_, symbol, n, round(t, 4) as t, round(least(min(p * tests / place) over (partition by window_ @onward(place)), 1e0), 6) as q_value, round(out_of_sample, 6) as out_of_sample from q""",
     ),
     Operator(
         "bkt_20",

@@ -33,7 +33,7 @@ OPERATORS = [
     Operator(
         "eng_42",
         f"""with {TRADES}, m as (select cast(symbol as varchar(20)) || ':' || cast(@weekday(session_date) as varchar(3)) as symbol, count(*) as n, avg(x) as mean, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) as t from t group by symbol, @weekday(session_date) having count(*) > 2),
-        p as (select symbol, n, mean, t, {two_sided('t')} as p from m where t is not null), {RANKED}, q as (select k.*, least(min(p * m / k) over (order by k rows between current row and unbounded following), 1e0) as q from k)
+        p as (select symbol, n, mean, t, {two_sided('t')} as p from m where t is not null), {RANKED}, q as (select k.*, least(min(p * m / k) over (@onward(k)), 1e0) as q from k)
         select symbol as hypothesis, n, round(t, 6) as t, round(q, 6) as q_value, case when q <= 1e-1 and mean > 0 then 'A' when p <= 5e-2 and mean > 0 then 'B' when mean > 0 then 'C' else 'NONE' end as tier from q""",
     ),
     Operator(
