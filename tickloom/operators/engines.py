@@ -15,8 +15,8 @@ OPERATORS = [
         "eng_04",
         """with d as (select symbol, session_date, sector, close - lag(close) over (partition by symbol order by session_date) as y from {daily}),
         x as (select d.*, ((sum(y) over s) - y) / nullif((count(y) over s) - 1, 0) as x, ((sum(y) over m) - y) / nullif((count(y) over m) - 1, 0) as i from d window s as (partition by session_date, sector), m as (partition by session_date)),
-        f as (select symbol, session_date, y, x, i, count(case when x is not null then y end) over w as n, regr_slope(y, x) over w as b, corr(y, x) over w as c, stddev_samp(case when x is not null then y end) over w as s,
-          count(case when i is not null then y end) over w as ni, regr_slope(y, i) over w as bi, corr(y, i) over w as ci from x window w as (partition by symbol order by session_date rows between 15 preceding and 1 preceding))
+        f as (select symbol, session_date, y, x, i, count(case when x is not null then y end) over w as n, regr_slope(y, x) over w as b, @corr_over(y, x, w) as c, stddev_samp(case when x is not null then y end) over w as s,
+          count(case when i is not null then y end) over w as ni, regr_slope(y, i) over w as bi, @corr_over(y, i, w) as ci from x window w as (partition by symbol order by session_date rows between 15 preceding and 1 preceding))
         select symbol, session_date, case when n >= 8 then round(b, 4) + 0e0 end as beta, case when n >= 8 then round(c, 4) + 0e0 end as correlation, case when n >= 8 then round(y - b * x, 3) + 0e0 end as residual,
           case when n >= 8 and abs(c) < 1 then round((y - b * x) / nullif(s * sqrt(1 - c * c), 0), 4) + 0e0 end as residual_z, case when ni >= 8 then round(bi, 4) + 0e0 end as index_beta, case when ni >= 8 then round(ci, 4) + 0e0 end as index_correlation,
           case when ni >= 8 then round(y - bi * i, 3) + 0e0 end as index_residual, case when n < 8 then 'NOT_ESTABLISHED' when abs(c) < 3e-1 then 'WEAK' else 'ESTABLISHED' end as status from f""",

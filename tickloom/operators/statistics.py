@@ -128,7 +128,7 @@ OPERATORS = [
         """with p as (select session_date, symbol, volume as signal, (lead(close) over w) - close as out_1, (lead(close, 3) over w) - close as out_3 from {daily} window w as (partition by symbol order by session_date)),
         r as (select session_date, symbol, out_1, rank() over (partition by session_date order by signal) + (count(*) over (partition by session_date, signal) - 1) / 2e0 as a, rank() over (partition by session_date order by out_1) + (count(*) over (partition by session_date, out_1) - 1) / 2e0 as b,
           rank() over (partition by session_date order by out_3) + (count(*) over (partition by session_date, out_3) - 1) / 2e0 as c, (rank() over (partition by session_date order by signal) - 5e-1) / count(*) over (partition by session_date) as place, out_3 from p where out_1 is not null and out_3 is not null),
-        d as (select session_date, corr(a, b) as ic_1, corr(a, c) as ic_3, avg(case when place >= 8e-1 then out_1 end) - avg(case when place <= 2e-1 then out_1 end) as spread from r group by session_date having count(*) > 3)
+        d as (select session_date, @corr(a, b) as ic_1, @corr(a, c) as ic_3, avg(case when place >= 8e-1 then out_1 end) - avg(case when place <= 2e-1 then out_1 end) as spread from r group by session_date having count(*) > 3)
         select count(*) as days_, round(avg(ic_1), 6) as mean_ic, round(avg(ic_1) / nullif(stddev_samp(ic_1) / sqrt(count(*)), 0), 6) as t, round(avg(ic_3), 6) as mean_ic_3, round(avg(spread), 6) as spread, round(avg(spread) - 14e-2, 6) as net from d""",
     ),
     Operator(

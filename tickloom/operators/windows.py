@@ -77,7 +77,7 @@ OPERATORS = [
         f"""with y as (select r.{K.replace(', ', ', r.')}, r.r as y, m.x from {{returns}} r left join
           (select session_date, slot, @ln(@over(level, lag(level) over (partition by session_date order by slot))) as x from {{market}}) m on m.session_date = r.session_date and m.slot = r.slot)
         select {K}, case when count(case when x is not null then y end) over e >= 10 then round(regr_slope(y, x) over e, 6) end as slope,
-          case when count(case when x is not null then y end) over e >= 10 then round(corr(y, x) over e, 6) end as correlation, round(sum(y) over c, 6) as recent
+          case when count(case when x is not null then y end) over e >= 10 then round(@corr_over(y, x, e), 6) end as correlation, round(sum(y) over c, 6) as recent
         from y window e as ({DAY} rows between 16 preceding and 4 preceding), c as ({DAY} rows between 3 preceding and current row)""",
     ),
     Operator("win_23", f"select {K}, case when count(close) over w >= 5 then round((close - avg(close) over w) / nullif(stddev_pop(close) over w, 0), 4) end as z from {{grid}} window w as ({DAY} rows between unbounded preceding and 1 preceding)"),
