@@ -95,7 +95,7 @@ OPERATORS = [
         """with v as (select symbol, session_date, slot, r * r as v, sum(r * r) over (partition by symbol, session_date order by slot rows between unbounded preceding and current row) as used, sum(r * r) over (partition by symbol, session_date) as total from {returns})
         select symbol, slot, round(@pctl(used / nullif(total, 0), 0.25), 6) as q25, round(@pctl(used / nullif(total, 0), 0.5), 6) as q50, round(@pctl(used / nullif(total, 0), 0.75), 6) as q75 from v group by symbol, slot""",
     ),
-    Operator("agg_28", "select symbol, session_date, case when count(*) >= 10 then round(corr(abs(r), ln(volume)), 6) end as correlation from {returns} where r is not null and volume > 0 group by symbol, session_date"),
+    Operator("agg_28", "select symbol, session_date, case when count(*) >= 10 then round(@corr(abs(r), ln(volume)), 6) end as correlation from {returns} where r is not null and volume > 0 group by symbol, session_date"),
     Operator(
         "agg_29",
         """with d as (select symbol, session_date, slot, close - lag(close) over w as d from {bars} window w as (partition by symbol, session_date order by slot)), e as (select *, lag(d) over (partition by symbol, session_date order by slot) as e from d),
@@ -106,7 +106,7 @@ OPERATORS = [
         "agg_31",
         """with p as (select session_date, volume as x, close - open as y from {daily}), r as (select session_date, rank() over (partition by session_date order by x) + (count(*) over (partition by session_date, x) - 1) / 2e0 as rx,
           rank() over (partition by session_date order by y) + (count(*) over (partition by session_date, y) - 1) / 2e0 as ry from p)
-        select session_date, round(corr(rx, ry), 6) + 0e0 as ic, count(*) as n from r group by session_date""",
+        select session_date, round(@corr(rx, ry), 6) + 0e0 as ic, count(*) as n from r group by session_date""",
     ),
     Operator(
         "agg_33",
@@ -155,7 +155,7 @@ OPERATORS = [
         c as (select symbol, bound, sum(n) over (partition by symbol order by bound) as upto, sum(n) over (partition by symbol) as total from h)
         select symbol, min(case when upto >= 5e-1 * total then bound end) as p50, min(case when upto >= 9e-1 * total then bound end) as p90, min(case when upto >= 99e-2 * total then bound end) as p99 from c group by symbol""",
     ),
-    Operator("agg_46", "select symbol, cast(row_number() over (order by sum(volume * coalesce(close, open)) desc, symbol) as int) as place, round(sum(volume * coalesce(close, open)), 2) as value from {daily} group by symbol"),
+    Operator("agg_46", "select symbol, cast(row_number() over (order by @exact_sum(volume * coalesce(close, open)) desc, symbol) as int) as place, round(@exact_sum(volume * coalesce(close, open)), 2) as value from {daily} group by symbol"),
     Operator(
         "agg_47",
         """with d as (select symbol, open, close, high, low, lag(close) over (partition by symbol order by session_date) as pc from {daily})
