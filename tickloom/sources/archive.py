@@ -246,7 +246,12 @@ def rfc_822(c: Column) -> Column:
 def feed_items(feeds: DataFrame, category: str, source: str) -> DataFrame:
     """Items of RSS texts (column xml): id, headline, url, summary, published_at (RFC 822 as a timestamp) and its text."""
     items = feeds.select(F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(0))).alias("item"))
-    text = {n: F.trim(F.coalesce(F.xpath_string("item", F.lit(f"item/{n}")), F.lit(""))) for n in ("title", "link", "description", "pubDate", "guid")}
+    names = ("title", "link", "description", "pubDate", "guid")
+    # An item of flat elements without entities is read by patterns; any other is parsed. Each text is made once, in a step of its own.
+    flat = F.regexp_like("item", F.lit(r"^<item>(?:<([A-Za-z]+)>[^<&\r]*</\1>)*</item>$"))
+    texts = [F.when(F.col("flat"), F.regexp_extract("item", f"<{n}>([^<]*)</{n}>", 1)).otherwise(F.coalesce(F.xpath_string("item", F.lit(f"item/{n}")), F.lit(""))) for n in names]
+    items = items.withColumn("flat", flat).select(*[F.trim(x).alias(n) for n, x in zip(names, texts, strict=True)])
+    text = {n: F.col(n) for n in names}
     guid = F.coalesce(*[F.when(text[n] != "", text[n]) for n in ("guid", "link", "title")], F.lit(""))
     when = rfc_822(text["pubDate"])
     return items.select(
