@@ -25,18 +25,23 @@ FLOW = f"""with {PACKETS} select security, minute, count(*) as packets, count(ca
   cast(sum(case when mid is not null and ltp < mid or (mid is null or ltp = mid) and ltp < lltp then traded else 0 end) as bigint) as sell_volume,
   round(avg(case when valid then (a - b) / ((a + b) / 2e0) * 10000 end), 4) as spread_bps, round(avg(case when valid then coalesce((bq - aq) / nullif(cast(bq + aq as double), 0), 0) end), 6) + 0e0 as imbalance from d group by security, minute"""
 
+#: A security's packets are in one task.
+DEALT = (("lineitem", "l_partkey"),)
+
 OPERATORS = [
-    Operator("agg_42", FLOW),
+    Operator("agg_42", FLOW, DEALT),
     Operator(
         "str_07",
         f"""with f as ({FLOW}) select security, count(*) as minutes, cast(sum(packets) as bigint) as packets, cast(sum(ofi) as bigint) as ofi, cast(sum(volume) as bigint) as volume,
         cast(sum(volume) - sum(buy_volume) - sum(sell_volume) as bigint) as unclassified_volume from f group by security""",
+        DEALT,
     ),
     Operator(
         "eng_19",
         f"""with f as ({FLOW}), m as (select security, sum(ofi) as ofi, sum(volume) as volume, sum(buy_volume) - sum(sell_volume) as signed, sum(bid_depletion) + sum(ask_depletion) as depletion, sum(bid_replenish) + sum(ask_replenish) as replenish, avg(spread_bps) as spread from f group by security)
         select security, round(ofi / nullif(cast(volume as double), 0), 6) + 0e0 as ofi_norm, round(signed / nullif(cast(volume as double), 0), 6) + 0e0 as signed_flow, round(replenish / nullif(cast(depletion as double), 0), 6) as replenish_ratio, round(spread, 4) as spread_bps,
           case when volume = 0 then 'UNSUPPORTED' when abs(signed / nullif(cast(volume as double), 0)) >= 3e-1 then 'DIRECTIONAL' else 'MIXED' end as class from m""",
+        DEALT,
     ),
     Operator(
         "agg_30",
