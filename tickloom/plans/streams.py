@@ -90,6 +90,10 @@ def _keyed(operator: keyed.Keyed, rows: DataFrame, at: str) -> DataFrame:
     return replay.replayed(operator.stream(rows, at, f"{GRACE} seconds"))
 
 
+def _bucketed(operator: keyed.Keyed, rows: DataFrame, at: str) -> DataFrame:
+    return replay.replayed(operator.bucketed(rows, at, f"{GRACE} seconds"))
+
+
 def str_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("session_date", "ts", F.when(F.col("event_id") % 11 == 0, F.col("slot") - 12).otherwise(F.col("slot")).alias("bucket"), F.col("slot").alias("now"))
     return _keyed(keyed.pending(), e, "ts")
@@ -101,7 +105,7 @@ STR_08 = f"""with {duckdb_tables(['ticks'])}, p as (select session_date, slot as
 
 def str_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).where("symbol in ('click', 'view')").select(F.col("user_id").cast("string").alias("subject"), "ts")
-    return _keyed(keyed.freshness(), e, "ts")
+    return _bucketed(keyed.freshness(), e, "ts")
 
 
 STR_10 = """with r as (select cast(user_id as varchar) as subject, cast(floor(epoch(ts)) as bigint) as moment from events where event_type in ('click', 'view')), w as (select max(epoch_ms(ts)) - 3000 as mark from events where event_type in ('click', 'view')),
@@ -129,7 +133,7 @@ STR_11 = f"""with {duckdb_tables(['bars'])}, live as (select symbol, session_dat
 def str_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("price") > 100, 3).when(F.col("price") > 50, 2).otherwise(1)
     e = _events(spark, sf_dir).select(F.concat_ws(":", "user_id", "symbol").alias("subject"), "ts", severity.alias("severity"))
-    return _keyed(keyed.cooldown(6 * 3600), e, "ts")
+    return _bucketed(keyed.cooldown(6 * 3600), e, "ts")
 
 
 STR_12 = """with recursive v as (select user_id || ':' || event_type as subject, cast(floor(epoch(ts)) as bigint) as moment, case when value > 100 then 3 when value > 50 then 2 else 1 end as severity,

@@ -6,6 +6,7 @@ stream can be held against the rows that it has read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,17 @@ class Keyed:
     ends: Callable[[tuple, tuple], int]
     close: Callable[[tuple, tuple], Rows] = lambda key, state: []
 
-    def run(self, key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, Rows]:
+    def rows(self, parts: Iterable[pd.DataFrame]) -> Rows:
+        """A key's rows in order of time. Keys are many and their rows few, so these are tuples: a frame costs more than its rows."""
+        return self.ordered([row for part in parts for row in zip(*(part[c].tolist() for c in ("_at", *self.columns)), strict=True)])
+
+    @staticmethod
+    def ordered(rows: Rows) -> Rows:
+        return sorted(rows, key=lambda row: [(v is None or v != v, 0 if v is None or v != v else v) for v in row]) if len(rows) > 1 else rows
+
+    def run(self, key: tuple, state: tuple | None, rows: Rows) -> tuple[tuple | None, Rows]:
         said: Rows = []
-        for row in rows.sort_values(["_at", *self.columns]).itertuples(index=False, name=None):
+        for row in rows:
             at, row = row[0], row[1:]
             if state is not None and at >= self.ends(key, state):  # the timer would have come before
                 said += self.close(key, state)
@@ -44,7 +53,7 @@ class Keyed:
         return state, said
 
     def frame(self, key: tuple, said: Rows) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in said], columns=[c.strip().split(" ")[0] for c in self.out.split(",")]).astype(object)
+        return pd.DataFrame([(*key, *r) for r in said], columns=[c.strip().split(" ")[0] for c in self.out.split(",")], dtype=object)
 
     def _rows(self, rows: DataFrame, at: str) -> DataFrame:
         moment = F.col(at).cast("timestamp")
@@ -52,31 +61,59 @@ class Keyed:
 
     def stream(self, rows: DataFrame, at: str, grace: str) -> DataFrame:
         """Rows are folded as they come, a batch's in order of time; later ones than the watermark are dropped."""
-        columns = ["_at", *self.columns]
 
         def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             if state.hasTimedOut:
                 said = self.close(key, state.get)
                 state.remove()
             else:
-                some = pd.concat(list(parts))[columns].astype(object)
-                new, said = self.run(key, state.get if state.exists else None, some)
+                new, said = self.run(key, state.get if state.exists else None, self.rows(parts))
                 state.update(new)
                 state.setTimeoutTimestamp(max(1000 * self.ends(key, new), state.getCurrentWatermarkMs() + 1))
-            yield self.frame(key, said)
+            if said:
+                yield self.frame(key, said)
 
         held = self._rows(rows, at).withWatermark("_event", grace)
         return held.groupBy(*self.keys).applyInPandasWithState(step, self.out, self.state, "append", GroupStateTimeout.EventTimeTimeout)
 
+    def bucketed(self, rows: DataFrame, at: str, grace: str, buckets: int = 1024) -> DataFrame:
+        """The same as stream for very many keys with few rows: a state is that of all keys of a bucket, so Spark calls once for many of them.
+
+        A bucket holds its rows of one batch; more rows want more buckets.
+        """
+        wide = len(self.keys)
+
+        def step(_: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            held = pickle.loads(bytes(state.get[0])) if state.exists else {}
+            mark, said, seen = state.getCurrentWatermarkMs(), [], {}
+            if not state.hasTimedOut:
+                for part in parts:
+                    for row in zip(*(part[c].tolist() for c in (*self.keys, "_at", *self.columns)), strict=True):
+                        seen.setdefault(row[:wide], []).append(row[wide:])
+            for key, some in seen.items():
+                held[key], more = self.run(key, held.get(key), self.ordered(some))
+                said += [(*key, *r) for r in more]
+            for key in [k for k, s in held.items() if k not in seen and 1000 * self.ends(k, s) < mark]:
+                said += [(*key, *r) for r in self.close(key, held.pop(key))]
+            if held:
+                state.update((pickle.dumps(held),))
+                state.setTimeoutTimestamp(max(min(1000 * self.ends(k, s) for k, s in held.items()), mark + 1))
+            elif state.exists:
+                state.remove()
+            if said:
+                yield self.frame((), said)
+
+        dealt = self._rows(rows, at).withColumn("_bucket", F.pmod(F.hash(*self.keys), F.lit(buckets))).withWatermark("_event", grace)
+        return dealt.groupBy("_bucket").applyInPandasWithState(step, self.out, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
     def batch(self, rows: DataFrame, at: str, grace_seconds: int) -> DataFrame:
         """The same over all rows at once, closed up to the latest row less the grace."""
         told = self._rows(rows, at)
         latest = told.agg(F.max(F.unix_millis("_event")).alias("ms")).head()["ms"]
         mark = (latest or 0) - 1000 * grace_seconds
-        columns = ["_at", *self.columns]
 
         def step(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-            state, said = self.run(key, None, some[columns].astype(object))
+            state, said = self.run(key, None, self.rows([some]))
             if 1000 * self.ends(key, state) < mark:
                 said = said + self.close(key, state)
             return self.frame(key, said)
