@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,30 @@ HISTORY = {"window": 8, "around": 1, "lookback": 20, "least": 5, "step": 1}
 SLOTS = 24
 ROTATIONS = 500
 
-#: Returns on the full grid, and the market's: the cross-section's median, 0 where nothing traded.
-PANEL = f"""with g as (select u.symbol, u.sector, d.session_date, cast(t.slot as int) as slot from {{desk_universe}} u cross join (select distinct session_date from {{desk_bars}}) d cross join (select @each(0, {SLOTS - 1}) as slot) t),
+
+def panel_sql(ln: str = "@ln") -> str:
+    """Returns on the full grid, and the market's: the cross-section's median, 0 where nothing traded."""
+    return f"""with g as (select u.symbol, u.sector, d.session_date, cast(t.slot as int) as slot from {{desk_universe}} u cross join (select distinct session_date from {{desk_bars}}) d cross join (select @each(0, {SLOTS - 1}) as slot) t),
   j as (select g.*, b.open, b.close, b.close * b.volume as value from g left join {{desk_bars}} b on b.symbol = g.symbol and b.session_date = g.session_date and b.slot = g.slot),
-  r as (select session_date, slot, symbol, sector, case when slot = 0 then @ln(@over(close, open)) else @ln(@over(close, lag(close) over (partition by symbol, session_date order by slot))) end as r, value from j)
+  r as (select session_date, slot, symbol, sector, case when slot = 0 then {ln}(@over(close, open)) else {ln}(@over(close, lag(close) over (partition by symbol, session_date order by slot))) end as r, value from j)
   select r.*, coalesce(@pctl(r, 0.5) over (partition by session_date, slot), 0e0) as market from r"""
 
 
+PANEL = panel_sql()
+
+
+def c_ln(x: float | None) -> float | None:
+    """The logarithm as the C library rounds it, which is DuckDB's; the JVM's can differ in the last bit."""
+    if x is None or x != x:
+        return x
+    return math.log(x) if x > 0 else -math.inf if x == 0 else math.nan
+
+
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the desk. Where a price is back where it was, returns add up to a remainder of rounding, whose sign says whether it counts as up: so their logarithms are the SQL's to the last bit."""
     t = market(spark, sf_dir, ["desk_universe", "desk_bars"])
-    return market_states(Operator("panel", PANEL)(**t), SIZES)
+    spark.udf.register("c_ln", c_ln, "double")
+    return market_states(Operator("panel", panel_sql("c_ln"))(**t), SIZES)
 
 
 def eng_14(spark: SparkSession, sf_dir: str) -> DataFrame:
