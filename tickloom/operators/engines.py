@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
+from tickloom.functions.trailing import trailing_middles
 from tickloom.operators.expectation import expectation_sql
 from tickloom.operators.windows import DAY, K
-from tickloom.plans.dialect import Operator
+from tickloom.plans.dialect import Operator, spelled
 
 #: A day's volume against the symbol's earlier days: median and scaled median deviation of at most sixty, at least five.
 Z = """with g as (select symbol, session_date, sector, open, close, volume, @gathered(volume) over (partition by symbol order by session_date rows between 60 preceding and 1 preceding) as past from {daily}), m as (select g.*, @middle(past) as m from g),
   z as (select m.*, case when @length(past) >= 5 then (volume - m) / nullif(@middle(@deviations(past, m)) * 14826e-4, 0) end as z from m)"""
 
+#: After Z: where volume and price disagree; the day's first by volume and drive.
+DISAGREEMENT = ", r as (select symbol, session_date, case when count(close) over w >= 5 then (close - avg(close) over w) / nullif(stddev_pop(close) over w, 0) end as p from {daily} window w as (partition by symbol order by session_date rows between 60 preceding and 1 preceding)) select z.symbol, z.session_date, case when abs(p) < 1 and z >= 3 then 'VOLUME_WITHOUT_PRICE' when abs(p) >= 3 and abs(z) < 1 then 'PRICE_WITHOUT_VOLUME' end as disagreement from z join r on r.symbol = z.symbol and r.session_date = z.session_date"
+LEADER = ", t as (select z.symbol, z.session_date, coalesce(z.z, 0) as vz, d.close - d.open as drive from z join {daily} d on d.symbol = z.symbol and d.session_date = z.session_date), s as (select *, row_number() over (partition by session_date order by round(vz + drive / 50, 6) desc, symbol) as place from t) select session_date, symbol, round(vz + drive / 50, 6) as score from s where place = 1"
+
+EVENTS = """select 'evt_' || substr(@digest(cast(symbol as varchar(20)) || '|' || cast(session_date as varchar(10)) || '|' || measure), 1, 16) as event_id, symbol, session_date, measure, round(z, 6) as magnitude, case when abs(z) / 2 < 15e-1 then 'LOW' when abs(z) / 2 < 25e-1 then 'MEDIUM' else 'HIGH' end as severity,
+          measure || case when z > 0 then ' above' else ' below' end || ' the median of ' || cast(n as varchar(9)) || ' days' as evidence, case when n < 10 then 'THIN_HISTORY' else 'OK' end as quality from z where abs(z) >= 2"""
+
+
+def _over_z(rest: str):
+    """Z and what follows it, with the middles of the sixty days before by one pass over sorted days."""
+    z = "with z as (select t.*, case when n_volume >= 5 then (volume - median_volume) / nullif(mad_volume * 14826e-4, 0) end as z from {trailing} t)"
+
+    def run(daily: DataFrame) -> DataFrame:
+        trailing = trailing_middles(daily.select("symbol", "session_date", "sector", "open", "close", "volume"), "symbol", "session_date", ["volume"], 60)
+        return daily.sparkSession.sql(spelled(z + rest, 0), daily=daily, trailing=trailing)
+
+    return run
+
+
+def _events(daily: DataFrame) -> DataFrame:
+    """The text of eng_08, with the middles by one pass over sorted days for all three measures."""
+    days = daily.selectExpr("symbol", "session_date", "volume", "close - open as move", "high - low as range")
+    measures = ", ".join(f"'{m}', {m}, n_{m}, median_{m}, mad_{m} * 14826e-4" for m in ("volume", "move", "range"))
+    z = f"""with e as (select symbol, session_date, stack(3, {measures}) as (measure, value, n, median, mad) from {{trailing}}),
+        z as (select e.*, case when n >= 5 and mad > 1e-12 then (value - median) / mad end as z from e) """
+    return daily.sparkSession.sql(spelled(z + EVENTS, 0), trailing=trailing_middles(days, "symbol", "session_date", ["volume", "move", "range"], 60))
+
+
 OPERATORS = [
     Operator(
         "eng_04",
@@ -22,7 +53,7 @@ OPERATORS = [
           case when ni >= 8 then round(y - bi * i, 3) + 0e0 end as index_residual, case when n < 8 then 'NOT_ESTABLISHED' when abs(c) < 3e-1 then 'WEAK' else 'ESTABLISHED' end as status from f""",
     ),
     Operator("eng_05", "with s as (select sector, session_date, avg(close) as l from {daily} group by sector, session_date), p as (select a.session_date, a.sector as a, b.sector as b, a.l - b.l as spread from s a join s b on a.session_date = b.session_date and a.sector < b.sector) select session_date, a, b, case when count(spread) over w >= 10 then round((spread - (avg(spread) over w)) / nullif(stddev_pop(spread) over w, 0), 4) end as shift from p window w as (partition by a, b order by session_date rows between 20 preceding and 1 preceding)"),
-    Operator("eng_06", f"{Z}, r as (select symbol, session_date, case when count(close) over w >= 5 then (close - avg(close) over w) / nullif(stddev_pop(close) over w, 0) end as p from {{daily}} window w as (partition by symbol order by session_date rows between 60 preceding and 1 preceding)) select z.symbol, z.session_date, case when abs(p) < 1 and z >= 3 then 'VOLUME_WITHOUT_PRICE' when abs(p) >= 3 and abs(z) < 1 then 'PRICE_WITHOUT_VOLUME' end as disagreement from z join r on r.symbol = z.symbol and r.session_date = z.session_date"),
+    Operator("eng_06", Z + DISAGREEMENT, run=_over_z(DISAGREEMENT)),
     Operator(
         "eng_07",
         f"""with x as ({expectation_sql(slots=24, oldest=2, covered=0.8, lookback=20, least_basis=5)}), m as (select 'basis' as measure union all select 'put_call_oi' union all select 'atm_iv' union all select 'skew' union all select 'straddle'),
@@ -35,12 +66,13 @@ OPERATORS = [
         """with m as (select 'volume' as measure union all select 'move' union all select 'range'), v as (select d.symbol, d.session_date, m.measure, case m.measure when 'volume' then cast(volume as double) when 'move' then close - open else high - low end as value from {daily} d cross join m),
         g as (select v.*, @gathered(value) over (partition by symbol, measure order by session_date rows between 60 preceding and 1 preceding) as past from v), d as (select g.*, @middle(past) as median, @length(past) as n from g), e as (select d.*, @middle(@deviations(past, median)) * 14826e-4 as mad from d),
         z as (select e.*, case when n >= 5 and mad > 1e-12 then (value - median) / mad end as z from e)
-        select 'evt_' || substr(@digest(cast(symbol as varchar(20)) || '|' || cast(session_date as varchar(10)) || '|' || measure), 1, 16) as event_id, symbol, session_date, measure, round(z, 6) as magnitude, case when abs(z) / 2 < 15e-1 then 'LOW' when abs(z) / 2 < 25e-1 then 'MEDIUM' else 'HIGH' end as severity,
-          measure || case when z > 0 then ' above' else ' below' end || ' the median of ' || cast(n as varchar(9)) || ' days' as evidence, case when n < 10 then 'THIN_HISTORY' else 'OK' end as quality from z where abs(z) >= 2""",
+        """
+        + EVENTS,
+        run=_events,
     ),
     Operator("eng_10", f"select {K}, round(@ln(@over(close, lag(close, 3) over w)), 6) + 0e0 as state_return, round(@ln(@over(lead(close, 3) over w, close)), 6) + 0e0 as outcome from {{grid}} window w as ({DAY})"),
     Operator("eng_17", "with r as (select underlying, side, iv, row_number() over (partition by underlying, side order by abs(strike - 25), strike) as k from {chain}) select underlying, round(max(case when side = 'CE' then iv end) - max(case when side = 'PE' then iv end), 6) as risk_reversal from r where k = 1 group by underlying"),
-    Operator("eng_20", f"{Z}, t as (select z.symbol, z.session_date, coalesce(z.z, 0) as vz, d.close - d.open as drive from z join {{daily}} d on d.symbol = z.symbol and d.session_date = z.session_date), s as (select *, row_number() over (partition by session_date order by round(vz + drive / 50, 6) desc, symbol) as place from t) select session_date, symbol, round(vz + drive / 50, 6) as score from s where place = 1"),
+    Operator("eng_20", Z + LEADER, run=_over_z(LEADER)),
     Operator("eng_28", "with t as (select symbol, count(*) as n, avg(close - open) / nullif(stddev_samp(close - open) / sqrt(count(*)), 0) as t from {daily} group by symbol) select symbol, case when n < 20 then 'INSUFFICIENT' when t >= 2 then 'SUPPORTED' when t <= -2 then 'REVERSED' else 'UNPROVEN' end as verdict from t"),
     Operator("eng_36", "with l as (select symbol, 'high' as kind, max(high) as level from {daily} group by symbol union all select symbol, 'close', max(close) from {daily} group by symbol union all select symbol, 'open', max(open) from {daily} group by symbol) select a.symbol, a.kind as kind_a, b.kind as kind_b from l a join l b on a.symbol = b.symbol and a.kind < b.kind and abs(a.level - b.level) <= a.level * 15e-4"),
     Operator("eng_39", "select underlying, session_date, round(price, 4) as last_price, n, round(oi, 2) as oi, round(oi - lag(oi) over (partition by underlying order by session_date), 2) + 0e0 as oi_change from {snapshots}"),
