@@ -36,8 +36,10 @@ def _without(c: Column, chars: str) -> Column:
 
 def _grams(w: Column) -> Column:
     """Buckets of all words and all pairs of neighbours."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(BUCKETS)).cast("int"))
+    # BUCKETS is a power of two.
+    bucket = lambda *x: F.xxhash64(*x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    one = F.transform(w, lambda x: bucket(x))
+    two = F.transform(F.slice(w, 2, F.size(w)), lambda x, i: bucket(F.get(w, i), x))
     return F.concat(one, two)
 
 
@@ -60,6 +62,12 @@ def _literal(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
+def _sorted_windows(hashes: Column) -> Column:
+    """(hash, place) of a text's 3-word windows, sorted; none where no hash is there twice, as in most texts."""
+    pairs = F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(pairs)).otherwise(F.slice(pairs, 1, 0))
+
+
 def _repeated_words(sorted_windows: Column) -> Column:
     """Places of the 3-word windows found twice or more. sorted_windows: (hash, place), sorted."""
     s = sorted_windows
@@ -97,14 +105,14 @@ def quality_verdicts(
     rows = rows.withColumn("w", words(F.col("t")))
     w, t = F.col("w"), F.col("t")
     lines = F.filter(F.split(t, "\n"), lambda x: _without(x, WHITE) != "")
-    windows = F.transform(F.slice(w, 3, F.size(w)), lambda x, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), x).alias("h"), i.alias("i")))
+    windows = F.transform(F.slice(w, 3, F.size(w)), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
     rows = rows.select(
         "doc_id", *names, "w", F.size("w").cast("long").alias("n_words"),
         F.length(_without(t, WHITE)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-        "trusted", _grams(w).alias("grams"), lines.alias("lines"), F.sort_array(windows).alias("s"),
+        "trusted", _grams(w).alias("grams"), lines.alias("lines"), windows.alias("windows"),
     )
-    rows = rows.withColumn("sorted", F.when(F.col("trusted").isNotNull(), F.sort_array("grams")))
+    rows = rows.withColumn("sorted", F.when(F.col("trusted").isNotNull(), F.sort_array("grams"))).withColumn("s", _sorted_windows(F.col("windows")))
     g = F.col("sorted")
     rows = rows.select(
         "doc_id", *names, "n_words", "word_chars", "n_symbols", "trusted", "grams", "sorted",
