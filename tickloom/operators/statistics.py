@@ -25,7 +25,14 @@ def two_sided(t: str) -> str:
 DEFINED = hashlib.sha256(b"close > open").hexdigest()
 #: Trades: a day of a symbol, its result, and its week.
 TRADES = "t as (select symbol, sector, session_date, cast(floor((@days(session_date) + 3) / 7e0) as bigint) as week, close - open as x from {daily})"
-T = "m as (select symbol, count(*) as n, avg(x) as mean, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) as t from t group by symbol having count(*) > 2)"
+
+
+def per_symbol(mean: str = "avg(x)") -> str:
+    """SQL of a symbol's number of trades, mean and t."""
+    return f"m as (select symbol, count(*) as n, {mean} as mean, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) as t from t group by symbol having count(*) > 2)"
+
+
+T = per_symbol()
 P = f"p as (select symbol, n, mean, t, {two_sided('t')} as p from m where t is not null)"
 RANKED = "k as (select p.*, row_number() over (order by p, symbol) as k, count(*) over () as m from p)"
 
@@ -54,8 +61,8 @@ OPERATORS = [
     ),
     Operator(
         "bkt_17",
-        f"""with {TRADES}, {T}, {P}, {RANKED}, h as (select k.*, least(max(p * (m - k + 1)) over (order by k rows between unbounded preceding and current row), 1e0) as holm from k),
-        y as (select symbol, count(*) as halves, count(case when s > 0 then 1 end) as good from (select symbol, @weekday(session_date) as half_, sum(x) as s from t group by symbol, @weekday(session_date)) z group by symbol)
+        f"""with {TRADES}, {per_symbol("@avg_along(x, session_date)")}, {P}, {RANKED}, h as (select k.*, least(max(p * (m - k + 1)) over (order by k rows between unbounded preceding and current row), 1e0) as holm from k),
+        y as (select symbol, count(*) as halves, count(case when s > 0 then 1 end) as good from (select symbol, @weekday(session_date) as half_, @sum_along(x, session_date) as s from t group by symbol, @weekday(session_date)) z group by symbol)
         select h.symbol, round(h.holm, 6) as holm, y.good, y.halves, case when h.n < 5 then 'INSUFFICIENT' when h.holm <= 5e-2 and h.mean > 0 and 2 * y.good > y.halves then 'CONFIRMED' when h.mean <= 0 then 'REJECTED' else 'UNPROVEN' end as verdict from h join y on y.symbol = h.symbol""",
     ),
     Operator(
