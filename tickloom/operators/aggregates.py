@@ -155,7 +155,7 @@ OPERATORS = [
         c as (select symbol, bound, sum(n) over (partition by symbol order by bound) as upto, sum(n) over (partition by symbol) as total from h)
         select symbol, min(case when upto >= 5e-1 * total then bound end) as p50, min(case when upto >= 9e-1 * total then bound end) as p90, min(case when upto >= 99e-2 * total then bound end) as p99 from c group by symbol""",
     ),
-    Operator("agg_46", "select symbol, cast(row_number() over (order by @exact_sum(volume * coalesce(close, open)) desc, symbol) as int) as place, round(@exact_sum(volume * coalesce(close, open)), 2) as value from {daily} group by symbol"),
+    Operator("agg_46", "select symbol, cast(row_number() over (order by @exact_sum(volume * coalesce(close, open)) desc, @nulls_last(symbol)) as int) as place, round(@exact_sum(volume * coalesce(close, open)), 2) as value from {daily} group by symbol"),
     Operator(
         "agg_47",
         """with d as (select symbol, open, close, high, low, lag(close) over (partition by symbol order by session_date) as pc from {daily})
