@@ -28,7 +28,7 @@ TABLES: dict[str, Operator] = {
         ),
         Operator(
             "daily",
-            """select user_id as symbol, session_date, min_by(price, ts) as open, max(price) as high, min(price) as low, max_by(price, ts) as close,
+            """select user_id as symbol, session_date, @first_by(price, ts) as open, max(price) as high, min(price) as low, @last_by(price, ts) as close,
             cast(sum(size) as bigint) as volume, count(*) as n, cast(user_id % 7 as int) as sector from {ticks} group by user_id, session_date""",
         ),
         Operator("market", "select session_date, slot, avg(price) as level from {ticks} group by session_date, slot"),
